@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, packing, quality, secrets, tokens
+from . import html, langid, packing, preference, quality, secrets, sharding, tokens
 from .common import read_table
 
 
+def op2_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op3_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -19,6 +23,11 @@ def op4_secret_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_report(read_table(spark, sf_dir, "documents"))
 
 
+def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read_table(spark, sf_dir, "conversations")
+    return preference.format_preferences(conversations, preference.neighbour_pairs(conversations))
+
+
 def op7_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
@@ -34,15 +43,25 @@ def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_report(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op10_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.languages_of(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_label_propagation,
         op3_html_density,
         op4_secret_worklist,
+        op6_preference_pairs,
         op7_isolation_forest,
         op8_hilbert_packing,
         op9_prefix_bpe,
+        op10_byte_gru,
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_preference_pairs": preference.SQL,
+}

@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, langid, packing, preference, quality, secrets, sharding, tokens
+from . import embeddings, html, langid, minhash, packing, preference, quality, secrets, sharding, tokens
 from .common import read_table
 
 
+def op1_itq_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op2_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,10 @@ def op4_secret_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_report(read_table(spark, sf_dir, "documents"))
 
 
+def op5_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=4)
+
+
 def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = read_table(spark, sf_dir, "conversations")
     return preference.format_preferences(conversations, preference.neighbour_pairs(conversations))
@@ -51,9 +59,11 @@ def op10_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_itq_hamming,
         op2_label_propagation,
         op3_html_density,
         op4_secret_worklist,
+        op5_lsh_forest,
         op6_preference_pairs,
         op7_isolation_forest,
         op8_hilbert_packing,

@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import packing, quality, secrets
-from ledgerloom.llm.common import checkpointed, read_table
+from ledgerloom.llm import langid, minhash, packing, quality, secrets
+from ledgerloom.llm.common import read_table, shared_folder
+
+
+def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter or without a clear language go."""
+    found = langid.languages_of(docs)
+    return found.where(found.lang_pred != langid.UND).where(found.score >= langid.MIN_SCORE).select(*docs.columns)
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules or the isolation forest reject go."""
-    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
-    kept = quality.judged(docs, labels).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """Documents that the base rules or the isolation forest reject go."""
+    return quality.keep_good(docs, read_table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
+def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays; repeated rows count as copies."""
+    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def _secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,18 +39,22 @@ def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language ID", _language),
     ("quality rules", _quality),
+    ("MinHash near-dedup", _near_dedup),
     ("secret scans", _secrets),
     ("packing", _packing),
 ]
 
-#: No stage but the packing arithmetic could be told in SQL; tests hold the run against a brute-force version.
+#: SQL can express neither the network nor the forest; tests hold the run against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; each stage's rows are written and read again before the next."""
+    """All stages in order; each stage's rows are written as Parquet to the shared folder and read again."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = checkpointed(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
     return docs

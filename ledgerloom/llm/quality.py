@@ -165,50 +165,80 @@ def best_threshold(histogram: dict[tuple[int, int], int], false_alarm_cost: floa
     return float((best[len(best) // 2] + 1) / BINS)
 
 
-def judged(docs: DataFrame, labels: DataFrame | None, fit_rows: int = FIT_ROWS, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, the counts, base_failed, kept, score and threshold of every row of ``docs``.
+class Judge:
+    """A fitted forest with its threshold; ``scores`` and ``keeps`` work on arrays of rows."""
+
+    def __init__(self, forest: IsolationForest | None, threshold: float, min_words: int):
+        self.forest, self.threshold, self.min_words = forest, threshold, min_words
+
+    def scores(self, statistics: np.ndarray) -> np.ndarray:
+        return self.forest.score(statistics) if self.forest and len(statistics) else np.full(len(statistics), 0.5)
+
+    def base_failed(self, n_words, n_repeat_words):
+        return (n_words < self.min_words) | (100 * n_repeat_words > 50 * n_words)
+
+
+def calibrated(stats: DataFrame, labels: DataFrame | None, fit_rows: int = FIT_ROWS, min_words: int = MIN_WORDS) -> Judge:
+    """Grow the forest on a bounded sample of ``stats`` and set the threshold on all labelled rows.
 
     ``labels`` has doc_id and quality (1 good, 0 bad); a null quality is no label.
     """
-    stats = checkpointed(rule_statistics(docs))
     known = None
     if labels is not None:
         known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
         known = checkpointed(stats.select("doc_id", *STATISTICS, "n_words").join(known, "doc_id"))
     # a bounded sample, the same at every run: the rows with the smallest hashes
     pools = [known.where(f"n_words >= {min_words}")] if known is not None else []
-    fitted = None
+    forest = None
     for pool in [*pools, stats.where("n_words > 0")]:
         rows = pool.select(*STATISTICS).orderBy(F.xxhash64("doc_id", *STATISTICS), *STATISTICS).limit(fit_rows).collect()
         if len(rows) >= 32:
-            fitted = IsolationForest(np.array(rows, dtype=float))
+            forest = IsolationForest(np.array(rows, dtype=float))
             break
+    judge = Judge(forest, DEFAULT_THRESHOLD, min_words)
+    if known is None or not forest:
+        return judge
 
-    def scored(pdf):
-        return fitted.score(pdf[STATISTICS].to_numpy(float)) if fitted and len(pdf) else np.full(len(pdf), 0.5)
-
-    threshold = DEFAULT_THRESHOLD
-    if known is not None and fitted:
+    def bins(batches):
+        for pdf in batches:
+            at = np.minimum((judge.scores(pdf[STATISTICS].to_numpy(float)) * BINS).astype("int64"), BINS)
+            yield pd.DataFrame({"bin": at, "quality": (pdf["quality"] != 0).astype("int64")})
 
-        def bins(batches):
-            for pdf in batches:
-                yield pd.DataFrame({"bin": np.minimum((scored(pdf) * BINS).astype("int64"), BINS), "quality": (pdf["quality"] != 0).astype("int64")})
+    labelled = known.where(f"n_words >= {min_words}").select("quality", *STATISTICS)
+    found = labelled.mapInPandas(bins, "bin long, quality long").groupBy("bin", "quality").count().collect()
+    judge.threshold = best_threshold({(r["bin"], r["quality"]): r["count"] for r in found})
+    return judge
 
-        labelled = known.where(f"n_words >= {min_words}").select("quality", *STATISTICS)
-        found = labelled.mapInPandas(bins, "bin long, quality long").groupBy("bin", "quality").count().collect()
-        threshold = best_threshold({(r["bin"], r["quality"]): r["count"] for r in found})
 
+def judged(docs: DataFrame, labels: DataFrame | None, fit_rows: int = FIT_ROWS, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, the counts, base_failed, kept, score and threshold of every row of ``docs``."""
+    stats = checkpointed(rule_statistics(docs))
+    judge = calibrated(stats, labels, fit_rows, min_words)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def verdict(batches):
         for pdf in batches:
             out = pdf[["doc_id", *COUNTS]].copy()
-            n, r = pdf["n_words"], pdf["n_repeat_words"]
-            out["base_failed"] = (n < min_words) | (100 * r > 50 * n)
-            out["score"] = scored(pdf)
-            out["kept"] = ~out["base_failed"] & (out["score"] < threshold)
-            out["threshold"] = threshold
+            out["base_failed"] = judge.base_failed(pdf["n_words"], pdf["n_repeat_words"])
+            out["score"] = judge.scores(pdf[STATISTICS].to_numpy(float))
+            out["kept"] = ~out["base_failed"] & (out["score"] < judge.threshold)
+            out["threshold"] = judge.threshold
             yield out
 
     columns = ", ".join(f"{c} long" for c in COUNTS)
     return stats.mapInPandas(verdict, f"doc_id {kind}, {columns}, base_failed boolean, score double, kept boolean, threshold double")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame | None, fit_rows: int = FIT_ROWS, min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows of ``docs`` that the verdict keeps, with all their columns; no shuffle of the texts."""
+    judge = calibrated(checkpointed(rule_statistics(docs)), labels, fit_rows, min_words)
+
+    def run(batches):
+        for pdf in batches:
+            found = [text_counts(x) for x in pdf["text"]]
+            counts = np.array([c for c, _ in found], dtype=np.int64).reshape(-1, len(COUNTS))
+            failed = judge.base_failed(counts[:, 0], counts[:, 4])
+            scores = judge.scores(np.array([s for _, s in found], dtype=float).reshape(-1, len(STATISTICS)))
+            yield pdf[~failed & (scores < judge.threshold)]
+
+    return docs.mapInPandas(run, docs.schema)

@@ -1,7 +1,7 @@
 """Near-duplicate embeddings by iterative quantisation and multi-index Hamming tables.
 
 A rotation of the centred vectors is learned on a bounded sample (at most ``FIT_ROWS``
-vectors, documented bound) by alternating between binary codes and the orthogonal matrix
+vectors, documented bound, near copies among them taken once) by alternating between binary codes and the orthogonal matrix
 that maps the vectors closest to them; bits are cut at sample medians, so they are
 balanced. Codes are split into substrings, one hash table each: near vectors agree in at
 least one substring with a probability of ``RECALL`` or more at the threshold itself (and
@@ -37,14 +37,37 @@ BLOCK = 512
 _SEED = 3
 
 
+def thinned(sample: np.ndarray, threshold: float = THRESHOLD, seed: int = _SEED) -> np.ndarray:
+    """Unit vectors of a sample without near copies, so that no large group of copies shapes the code.
+
+    Padded with random directions where hardly any vectors remain.
+    """
+    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    kept = unit[:0]
+    for i in range(0, len(unit), 256):
+        part = unit[i : i + 256]
+        if len(kept):
+            part = part[(part @ kept.T < threshold).all(1)]
+        fresh: list[int] = []
+        near = part @ part.T >= threshold
+        for j in range(len(part)):
+            if not near[j, fresh].any():
+                fresh.append(j)
+        kept = np.vstack([kept, part[fresh]])
+    lacking = 16 * unit.shape[1] - len(kept)
+    if lacking > 0:
+        extra = np.random.default_rng(seed).standard_normal((lacking, unit.shape[1]))
+        kept = np.vstack([kept, extra / np.linalg.norm(extra, axis=1, keepdims=True)])
+    return kept
+
+
 class Quantiser:
     """Rotations learned for one length of vectors: the code bits are signs of rotated coordinates."""
 
     def __init__(self, sample: np.ndarray, bits: int, rounds: int = ROUNDS, seed: int = _SEED):
         rng = np.random.default_rng(seed)
-        unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-        self.mean = unit.mean(0)
-        x = unit - self.mean
+        self.mean = sample.mean(0)
+        x = sample - self.mean
         self.planes = []
         for _ in range(-(-bits // x.shape[1])):
             turn = np.linalg.qr(rng.standard_normal((x.shape[1], x.shape[1])))[0]
@@ -61,10 +84,15 @@ class Quantiser:
         return (unit - self.mean) @ self.planes > self.cuts
 
 
-def table_plan(largest: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
-    """Bits of a substring and the number of tables for labels of up to ``largest`` vectors."""
+def table_plan(largest: int, threshold: float = THRESHOLD, recall: float = RECALL, mean_square: float = 0.0) -> tuple[int, int]:
+    """Bits of a substring and the number of tables for labels of up to ``largest`` vectors.
+
+    ``mean_square`` is the squared length of the mean unit vector, which centring takes away
+    from the cosine of a pair.
+    """
     width = min(16, max(4, round(math.log2(max(largest, 1) / BUCKET))))
-    same = 1 - math.acos(threshold) / math.pi  # a bit's chance to agree at the threshold
+    centred = max((threshold - mean_square) / max(1 - mean_square, 1e-9), 0.1)
+    same = 1 - math.acos(min(centred, 1.0)) / math.pi  # a bit's chance to agree at the threshold
     return width, math.ceil(math.log(1 - recall) / math.log(1 - same**width))
 
 
@@ -90,12 +118,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, fit_rows:
     sizes = classes.groupBy("label", "dims").count().groupBy("dims").agg(F.max("count").alias("largest")).collect()  # one row per length
     if not sizes:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    plans = {r["dims"]: table_plan(r["largest"], threshold) for r in sizes}
     draw = classes.select("dims", "embedding").orderBy(F.xxhash64("rep", F.lit(_SEED)), "rep").limit(fit_rows).collect()
     by_length: dict[int, list] = {}
     for r in draw:
         by_length.setdefault(r["dims"], []).append(r["embedding"])
-    models = {d: Quantiser(np.array(by_length.get(d) or np.eye(d)), plans[d][0] * plans[d][1]) for d in plans}
+    plans, models = {}, {}
+    for r in sizes:
+        sample = thinned(np.array(by_length.get(r["dims"]) or np.eye(r["dims"])), threshold)
+        width, tables = plans[r["dims"]] = table_plan(r["largest"], threshold, mean_square=float((sample.mean(0) ** 2).sum()))
+        models[r["dims"]] = Quantiser(sample, width * tables)
 
     def coded(batches):
         for pdf in batches:

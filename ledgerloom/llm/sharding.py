@@ -25,8 +25,8 @@ from .common import checkpointed, with_rank
 
 SHARDS = 24
 SALTS = 64
-ROUNDS = 6
-SLACK = 0.05
+ROUNDS = 8
+RESERVE = 0.03
 
 
 def _quota(n: int, shards: int) -> list[int]:
@@ -45,7 +45,7 @@ def _slice_of(position, quotas: list[int]):
     return F.when(position < head, F.floor(position / (small + 1))).otherwise(large + F.floor((position - head) / max(small, 1))).cast("int")
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, reserve: float = RESERVE) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and group_size of every row."""
     text = F.coalesce("text", F.lit(""))
     base = docs.select(
@@ -70,8 +70,11 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
     parts = F.least(F.ceil(F.col("group_size") / max(max(quotas) / 2, 1)), F.lit(SALTS)).cast("int")
     fine = checkpointed(fine.withColumn("sub", F.col("f") % parts))
     units = fine.groupBy("g", "sub", "shard").agg(F.sum("rows").alias("rows"))
-    loads = [float(q) for q in quotas]
-    caps = [q * (1 + slack) + 1 for q in quotas]
+    # unlinked rows give way at the end, so that a shard has room for linked ones up to its quota
+    loads = [0.0] * shards
+    for r in units.groupBy("shard").agg(F.sum("rows").alias("rows")).collect():
+        loads[r["shard"]] += r["rows"]
+    caps = [q * (1 - reserve) for q in quotas]
     for turn in range(rounds):
         # towards the neighbours: where most of a unit is, ties to the smaller shard
         most = units.groupBy("g", "sub").agg(

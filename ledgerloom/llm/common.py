@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_SALTS = 16
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -96,10 +99,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     e = checkpointed(e)
     before = None
     for _ in range(max_rounds):
-        # large star: each neighbour larger than a node is tied to the node's smallest neighbour
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # large star: each neighbour larger than a node is tied to the node's smallest neighbour;
+        # by (node, salt), since a node in the middle of a large star has very many neighbours
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).withColumn("s", F.pmod(F.xxhash64("v"), F.lit(_SALTS)).cast("int"))
+        low = both.groupBy("u", "s").agg(F.min("v").alias("m")).select("u", "s", F.least("u", F.min("m").over(Window.partitionBy("u"))).alias("m"))
+        e = both.where("v > u").join(low, ["u", "s"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: smaller neighbours of a node are tied to the smallest of them
         down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))

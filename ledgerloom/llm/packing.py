@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,7 @@ DIMENSIONS = 4
 BITS = 12
 BUCKETS = 256
 _SEED = 20_240_501
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 500_000
 _MISSES = 20_000
 
 
@@ -81,7 +82,11 @@ def curve_points(vectors: np.ndarray, dimensions: int = DIMENSIONS, bits: int =
 
 
 class _Ids:
-    """Encodings (16-bit ids) of the parts of texts, by the tokenizer's own library; bounded."""
+    """Encodings (16-bit ids) of the parts of texts, by the tokenizer's own library.
+
+    Kept in two bounded generations: when the newer is full it becomes the older, and what is
+    met again moves back to the newer, so that frequent parts stay.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -92,17 +97,25 @@ class _Ids:
         if self.tool.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def of(self, texts: list[str]) -> list[bytes]:
-        memo, parts = self.memo, [units(t) for t in texts]
-        missing = list(dict.fromkeys(u for p in parts for u in p if u not in memo))
-        if len(memo) + len(missing) > MEMO_ENTRIES:
-            memo.clear()
-            missing = list(dict.fromkeys(u for p in parts for u in p))
+        parts = [units(t) for t in texts]
+        met = set().union(*parts)
+        if len(self.memo) + len(met) > MEMO_ENTRIES:
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
+        missing = []
+        for u in met.difference(memo):
+            code = older.get(u)
+            if code is None:
+                missing.append(u)
+            else:
+                memo[u] = code
         for i in range(0, len(missing), _MISSES):
             block = missing[i : i + _MISSES]
             for u, e in zip(block, self.tool.encode_batch_fast(block, add_special_tokens=False), strict=True):
-                memo[u] = np.array(e.ids, "<u2").tobytes()
+                memo[u] = array("H", e.ids).tobytes()
         return [b"".join(map(memo.__getitem__, p)) for p in parts]
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 _GAP = re.compile(r" \s")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 500_000
 _NEVER = 1 << 60
 
 
@@ -83,7 +83,7 @@ class Vocabulary:
         key = left << 32 | right
         known = self._pairs.get(key)
         if known is None:
-            if len(self._pairs) >= 2 * MEMO_ENTRIES:
+            if len(self._pairs) >= 4 * MEMO_ENTRIES:
                 self._pairs.clear()
             known = self._pairs[key] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return known
@@ -207,16 +207,23 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 
 
 class Memo(dict):
-    """Encodings (little-endian 32-bit ids) of the parts that were met; emptied when it is full."""
+    """Encodings (little-endian 32-bit ids) of the parts that were met.
+
+    Kept in two bounded generations: when the newer is full it becomes the older, and what is
+    met again moves back to the newer, so that frequent parts stay.
+    """
 
     def __init__(self, v: Vocabulary, entries: int = MEMO_ENTRIES):
         super().__init__()
-        self.v, self.entries = v, entries
+        self.v, self.entries, self.older = v, entries, {}
 
     def __missing__(self, unit: str) -> bytes:
-        code = np.array(self.v.encode(unit), "<u4").tobytes()
+        code = self.older.get(unit)
+        if code is None:
+            code = array("I", self.v.encode(unit)).tobytes()
         if len(unit) <= 64:
             if len(self) >= self.entries:
+                self.older = dict(self)
                 self.clear()
             self[unit] = code
         return code

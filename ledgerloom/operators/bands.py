@@ -11,15 +11,15 @@ from ..functions.amounts import band_centre, band_distance
 def with_band_score(df: DataFrame, revenue: dict | None, assets: dict | None, revenue_col: str = "ref_revenue", assets_col: str = "ref_total_assets") -> DataFrame:
     """Add ``score``: the mean of the known log distances, the median of all for rows without any.
 
-    The median is one aggregated value that is joined back, so no window holds all rows.
+    The median is one number that is aggregated first, so no window holds all rows.
     """
     pairs = [(revenue_col, revenue), (assets_col, assets)]
     distances = [band_distance(F.col(c), band_centre((b or {}).get("min_krw"), (b or {}).get("max_krw"))) for c, b in pairs]
     known = F.array_compact(F.array(*distances))
     mean = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known))
     scored = df.withColumn("_known", mean)
-    middle = scored.agg(F.median("_known").alias("_middle"))
-    return scored.crossJoin(F.broadcast(middle)).withColumn("score", F.coalesce("_known", "_middle", F.lit(0.0))).drop("_known", "_middle")
+    middle = scored.agg(F.median("_known")).first()[0]
+    return scored.withColumn("score", F.coalesce("_known", F.lit(middle or 0.0))).drop("_known")
 
 
 def band_rank(df: DataFrame, keys: list[str], **bands) -> DataFrame:

@@ -57,8 +57,8 @@ def history_rows(snapshots: DataFrame, names: DataFrame) -> DataFrame:
 
 def selection_size(results: DataFrame, details: DataFrame) -> DataFrame:
     """Rows that the long form will have."""
-    n = len(fixed.SELECTION_ITEMS)
-    return results.agg((F.count(F.lit(1)) * n).alias("a")).crossJoin(details.agg(F.count(F.lit(1)).alias("b"))).select((F.col("a") + F.col("b")).alias("n_rows"))
+    both = results.select(F.lit(len(fixed.SELECTION_ITEMS)).cast("long").alias("n")).unionAll(details.select(F.lit(1).cast("long").alias("n")))
+    return both.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_rows"))
 
 
 def by_year(rows: DataFrame, keys: list[str], years: list[str], amount: str = "amount") -> DataFrame:

@@ -1 +1,3 @@
+"""Queries over the driver tables, jobs and ingest."""
 
+from . import more_queries, queries  # noqa: F401  (more_queries adds to queries.QUERIES)

@@ -278,13 +278,13 @@ def value_totals(spark, sf_dir):
     return results.value_totals(result_rows(spark, sf_dir), "induty_name")
 
 
-@query(f"""WITH {RESULTS}, {SNAPSHOTS}, chosen AS (SELECT * FROM results WHERE id % 2 = 0)
+@query(f"""WITH {RESULTS}, {SNAPSHOTS}, chosen AS (SELECT * FROM results WHERE revenue_cur IS NOT NULL)
 SELECT count(*) AS total, count(*) FILTER (WHERE excluded_by_stale_disclosure = 1) AS stale, count(*) FILTER (WHERE excluded_by_revenue = 1) AS out_of_revenue,
   count(*) FILTER (WHERE excluded_by_assets = 1) AS out_of_assets, count(*) FILTER (WHERE parse_status = 'FAILED' AND rcept_no IS NOT NULL) AS failed,
   count(*) FILTER (WHERE rcept_no IS NULL) AS no_disclosure, count(*) FILTER (WHERE id NOT IN (SELECT result_id FROM snapshots WHERE fiscal_year >= '2000')) AS no_history FROM chosen""")
 def selection_summary(spark, sf_dir):
     rows = result_rows(spark, sf_dir)
-    return results.selection_summary(rows, snapshots(spark, sf_dir).where("fiscal_year >= '2000'"), rows.where("id % 2 = 0").select("id"))
+    return results.selection_summary(rows, snapshots(spark, sf_dir).where("fiscal_year >= '2000'"), rows.where("revenue_cur is not null").select("id"))
 
 
 @query(f"WITH {RESULTS}, {SNAPSHOTS} SELECT id FROM results WHERE EXISTS (SELECT 1 FROM snapshots s WHERE s.result_id = results.id AND s.fiscal_year >= '2000')")
@@ -524,14 +524,13 @@ def amount_parse(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select("o_orderkey", A.won_amount(cell).alias("amount"))
 
 
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CASE WHEN length(text) < 3900 THEN '의견거절' END WHEN 1 THEN '한정' WHEN 2 THEN '적정' END AS opinion FROM documents WHERE length(text) < 3900 OR doc_id % 4 <> 0""")
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CASE WHEN length(replace(replace(text, '<', ''), '>', '')) + 14 <= 4000 THEN '의견거절' END WHEN 1 THEN '한정' WHEN 2 THEN '적정' END AS opinion FROM documents""")
 def opinion_classify(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents")
+    """Opinions count inside the opening of a report only: one kind of report states it at its end."""
     k = F.col("doc_id") % 4
     body = F.translate("text", "<>", "")
     report = F.when(k == 0, F.concat(body, F.lit(" 의견을 표명하지 않습니다"))).when(k == 1, F.concat(F.lit("제외하고는 적정하게 표시하고 있습니다 "), body)).when(k == 2, F.concat(F.lit("<b>공정하게</b> 표시하고 있습니다 "), body)).otherwise(body)
-    rows = d.where((F.length("text") < 3900) | (k != 0))
-    return rows.select("doc_id", T.audit_opinion(report).alias("opinion"))
+    return _table(spark, sf_dir, "documents").select("doc_id", T.audit_opinion(report).alias("opinion"))
 
 
 @query(r"SELECT page_id, left(regexp_replace(html, '<[^>]+>', ' ', 'g'), 4000) AS opening FROM pages")

@@ -47,13 +47,15 @@ _DROPPED = frozenset(
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|rail|footer|foot|"
-    r"masthead|topbar|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
-    r"share|sharing|social|related|recommend\w*|widget|comments?|commentlist|disqus|replies|reply|respond|pager|pagination|toolbar|form|"
-    r"site-header|page-header|header|copyright|legal|disclaimer|skip|hidden|print-only|sr-only)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad(?:s|box|slot|block|unit|container|wrap|wrapper|banner|space)?\d*|advert\w*|adsense|sponsor\w*|promo\w*|\w*banner|\w*nav|nav\w*|\w*menu|"
+    r"breadcrumbs?|\w*sidebar|side|aside|rail|\w*footer|foot|masthead|topbar|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|"
+    r"subscription|signup|login|share|sharing|social|related|recommend\w*|widget|\w*comments?|commentlist|disqus|replies|reply|respond|pager|pagination|toolbar|form|"
+    r"\w*header|copyright|legal|disclaimer|skip|hidden|print-only|sr-only)(?=$|[\s_-])",
     re.IGNORECASE,
 )
-_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: what makes even an article noise
+_FOREIGN = re.compile(r"(?:^|[\s_-])(?:\w*comments?|replies|reply|respond|ads?|advert\w*|sponsor\w*|promo\w*|related|recommend\w*|teaser)(?=$|[\s_-])", re.IGNORECASE)
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL
 )
@@ -77,11 +79,12 @@ class Node:
 def _is_noise(tag: str, attributes: str) -> bool:
     if tag in _DROPPED:
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body"):
         return False
+    words = _FOREIGN if tag in ("article", "main") else _NOISE
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
-        if name in ("class", "id") and _NOISE.search(value):
+        if name in ("class", "id") and words.search(_CAMEL.sub("-", value)):
             return True
         if name == "role" and value.strip().lower() in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
@@ -197,13 +200,16 @@ def content(body: Node) -> Node:
     while node is not body:
         path.append(node)
         node = node.parent
-    threshold = min((x.density for x in [*path, body]), default=0.0)
-    # an article that is the only one around the centre holds its heading and its other blocks
+    path.append(body)
+    threshold = min(x.density for x in path)
+    whole = next((x for x in path if x.tag in ("article", "main") and x.density >= threshold), None)
+    if whole is not None:  # an article holds its heading and its other blocks
+        return whole
     for node in path:
-        if node is not best and node.density >= threshold and (node.tag in ("article", "main") or node.chars - best.chars > best.chars):
+        # a wider node adds as much again, and not by links
+        more, linked = node.chars - best.chars, node.link_chars - best.link_chars
+        if node is not best and node.density >= threshold and 2 * more >= best.chars and 2 * linked < more:
             best = node
-            if node.tag == "article":
-                break
     return best
 
 

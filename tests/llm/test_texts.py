@@ -307,6 +307,20 @@ def test_main_text():
     assert html.main_text(long) == "T\nshort"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><div id=content><div><p>aaa bbb ccc ddd.</p><p>second para here.</p></div><div><p>third para is here.</p></div></div><div class='readerComments'><p>no no no</p></div></body>", "aaa bbb ccc ddd.\nsecond para here.\nthird para is here."),
+        ("<body><article><h1>T</h1><p>Main text is here and is long.</p><section id='comments'><article class='comment'><p>c1 c1 c1 c1 c1 c1 c1</p></article></section></article><div class=ad>x</div></body>", "T\nMain text is here and is long."),
+        ("<body><article class='comment'><p>" + "comment words " * 20 + "</p></article><article><p>Real text.</p><p>More real text.</p></article></body>", "Real text.\nMore real text."),
+        ("<body><main><div class='notice'>n n n</div><h2>H</h2><p>a b c</p><form><p>fill in</p></form><aside>s s</aside></main></body>", "H\na b c"),
+        ("<body><div class='siteHeader'><p>head head</p></div><p>Only para.</p><ul class='mainMenu'><li><a href=1>m</a></ul></body>", "Only para."),
+    ],
+)
+def test_what_surrounds_the_text_is_left_out(page, text):
+    assert html.main_text(page) == text
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/p div='\"!-&;ab\n", max_size=60))
 def test_any_markup_is_read(text):

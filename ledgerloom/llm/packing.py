@@ -17,9 +17,13 @@ repeated rows are packed once each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
+import operator
 import os
 import zlib
 from array import array
+from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -81,21 +85,58 @@ def curve_points(vectors: np.ndarray, dimensions: int = DIMENSIONS, bits: int =
     return np.clip((at + 3) / 6 * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
 
 
+def _signs() -> dict[str, int]:
+    """The sign by which vocabularies of byte-level BPE show each byte: printable ones as they are, others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def _encoder(path: str):
+    """A function from texts to their ids, one after the other, as the tokenizer's own library gives them.
+
+    For plain byte-level BPE the merges are done by a faster library on the file's own
+    vocabulary; it is used only if it encodes every token's text of the vocabulary as the
+    tokenizer's library does.
+    """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(path)
+    tool.encode_special_tokens = True
+    if tool.get_vocab_size() > 1 << 16:
+        raise ValueError("ids are kept in 16 bits")
+
+    def own(texts: list[str]) -> Iterator[list[int]]:
+        for i in range(0, len(texts), _MISSES):
+            for e in tool.encode_batch_fast(texts[i : i + _MISSES], add_special_tokens=False):
+                yield e.ids
+
+    data = json.loads(tool.to_str())
+    model, cut = data["model"], data["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and not model.get("dropout") and not model.get("byte_fallback") and not data["normalizer"]
+    if not plain or (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex")) != ("ByteLevel", False, True):
+        return own
+    import public_tokenizers
+    import tiktoken
+
+    signs, special = _signs(), {t["content"] for t in data["added_tokens"]}
+    ranks = {bytes(signs[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+    encode = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    probe = [t for t in (b.decode("utf-8", "ignore") for b in ranks) if t]
+    same = all(map(operator.eq, map(encode, probe), own(probe)))
+    return partial(map, encode) if same else own
+
+
 class _Ids:
-    """Encodings (16-bit ids) of the parts of texts, by the tokenizer's own library.
+    """Encodings (16-bit ids) of the parts of texts.
 
     Kept in two bounded generations: when the newer is full it becomes the older, and what is
     met again moves back to the newer, so that frequent parts stay.
     """
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True
-        if self.tool.get_vocab_size() > 1 << 16:
-            raise ValueError("ids are kept in 16 bits")
+        self.encode = _encoder(path)
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -112,10 +153,8 @@ class _Ids:
                 missing.append(u)
             else:
                 memo[u] = code
-        for i in range(0, len(missing), _MISSES):
-            block = missing[i : i + _MISSES]
-            for u, e in zip(block, self.tool.encode_batch_fast(block, add_special_tokens=False), strict=True):
-                memo[u] = array("H", e.ids).tobytes()
+        for u, ids in zip(missing, self.encode(missing), strict=True):
+            memo[u] = array("H", ids).tobytes()
         return [b"".join(map(memo.__getitem__, p)) for p in parts]
 
 

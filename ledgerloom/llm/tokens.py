@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 _GAP = re.compile(r" \s")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 400_000
 _NEVER = 1 << 60
 
 
@@ -45,6 +45,7 @@ class Vocabulary:
         self.pattern = regex.compile(pattern)
         self._pairs: dict[int, bool] = {}
         self._own: dict[int, bool] = {}
+        self._pieces: dict[str, list[int]] = {}
         trie = ahocorasick.Automaton()
         for b, i in ranks.items():
             trie.add_word(b.decode("latin-1"), (len(b), i))
@@ -128,7 +129,17 @@ class Vocabulary:
         return self.read(piece, last)
 
     def encode(self, text: str) -> list[int]:
-        return [t for m in self.pattern.findall(text) for t in self.encode_piece(m.encode())]
+        out: list[int] = []
+        for m in self.pattern.findall(text):
+            ids = self._pieces.get(m)
+            if ids is None:
+                ids = self.encode_piece(m.encode())
+                if len(m) <= 64:
+                    if len(self._pieces) >= MEMO_ENTRIES:
+                        self._pieces.clear()
+                    self._pieces[m] = ids
+            out += ids
+        return out
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))

@@ -87,7 +87,7 @@ def industry_prefixes(tokens: list[str] | None, children: dict[str, list[str]])
 def in_industry(code: Column, prefixes: list[str] | None) -> Column:
     if not prefixes:
         return F.lit(True)
-    return F.coalesce(any_of(*[code.startswith(p) for p in prefixes]), F.lit(False))
+    return code.isNotNull() & any_of(*[code.startswith(p) for p in prefixes])  # false for null, and still a filter that the scan takes
 
 
 def not_listed(market: Column) -> Column:

@@ -218,7 +218,6 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILARI
     # classes of equal sets; counted and joined per salt, so that large classes are spread
     fine = full.groupBy("set_key", "_salt").agg(F.min("doc_id").alias("low"))
     fine = checkpointed(fine.withColumn("rep", F.min("low").over(Window.partitionBy("set_key"))))
-    members = full.select("doc_id", "n_shingles", "set_key", "_salt").join(fine.drop("low"), ["set_key", "_salt"]).select("doc_id", "n_shingles", "rep")
     heads = fine.where("rep = low").select(F.col("rep"))
     classes = checkpointed(
         full.select(F.col("doc_id").alias("rep"), "shallow", "deep", "sketch").join(heads, "rep", "left_semi").dropDuplicates(["rep"])
@@ -242,6 +241,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILARI
     links = _edges(map_blocks(in_blocks(texts, "rep", BLOCK), ["cluster"], _confirmed(words, percent), ["a", "b"], "a long, b long"))
     components = connected_components(links).withColumnRenamed("node", "rep")
 
-    known = members.join(components, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    # classes learn their component by rep, documents by (set, salt): a class of very many copies stays spread
+    settled = fine.join(components, "rep", "left").select("set_key", "_salt", F.coalesce("component", "rep").alias("component_id"))
+    known = full.select("doc_id", "n_shingles", "set_key", "_salt").join(settled, ["set_key", "_salt"]).select("doc_id", "n_shingles", "component_id")
     bare = signed.where("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return known.unionByName(bare).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -113,7 +113,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, fit_rows:
     over = Window.partitionBy(*same)
     fine = checkpointed(fine.select(*same, "_salt", F.min("low").over(over).alias("rep"), F.sum("n").over(over).alias("copies"), F.col("low")))
     classes = fine.where("rep = low").select("rep", "label", "embedding", "copies", F.size("embedding").alias("dims"))
-    members = usable.join(fine.select(*same, "_salt", "rep", "copies"), [*same, "_salt"]).select("vec_id", "rep", "copies")
 
     sizes = classes.groupBy("label", "dims").count().groupBy("dims").agg(F.max("count").alias("largest")).collect()  # one row per length
     if not sizes:
@@ -176,10 +175,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, fit_rows:
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     components = connected_components(found, "rep", "root").withColumnRenamed("node", "rep")
     per_class = links.join(components, "rep")
-    known = members.join(per_class, "rep", "left").select(
-        "vec_id",
+    # classes learn their links by rep, vectors by (vector, salt): a class of very many copies stays spread
+    settled = fine.join(per_class, "rep", "left").select(
+        *same,
+        "_salt",
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
         F.coalesce("component", "rep").alias("component_id"),
     )
+    known = usable.join(settled, [*same, "_salt"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.coalesce(_usable(), F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return known.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -3,11 +3,14 @@
 A page becomes a tree of elements. Every node gets its composite text density: the
 characters per tag of its subtree, adjusted by the share of characters and tags that stand
 in links. A node's density sum adds up the densities of its children; the node with the
-largest sum is the centre of the content. The smallest density on the path from that node
-up to the body is the threshold: the highest ancestor (below the body) that still gains
-density sum and reaches it is the content's subtree. Menus, page headers, footers,
-sidebars, adverts, notices, forms, scripts and reader comments inside it are left out by
-tag and by the words of class and id.
+largest sum is the centre of the content; an article or main element around it is taken
+whole. Otherwise the smallest text density (characters outside links per tag, which unlike
+the composite density doesn't grow with size) on the path from the centre up to the body is
+the threshold, and the blocks beside the path are judged by it one by one, in page order.
+Below the threshold a block stays where the page's main heading joins it with the centre, or
+as prose right beside the centre; what consists mostly of links goes. No rule compares a
+block with the size of the centre. Menus, page headers, footers, sidebars, adverts, notices,
+forms, scripts and reader comments are left out by tag and by the words of class and id.
 
 Defined results: a null or empty page has an empty text; unclosed or cut-off markup is
 read as far as it goes; character references are decoded (unknown ones stay); blocks are
@@ -55,6 +58,20 @@ _NOISE = re.compile(
 )
 #: what makes even an article noise
 _FOREIGN = re.compile(r"(?:^|[\s_-])(?:\w*comments?|replies|reply|respond|ads?|advert\w*|sponsor\w*|promo\w*|related|recommend\w*|teaser)(?=$|[\s_-])", re.IGNORECASE)
+#: classes in which a word of _NOISE tells of the layout or of a heading
+_HARMLESS = re.compile(
+    r"(?:^|(?<=\s))(?:(?:\w+-)*(?:has|with|without|no)[_-][\w-]+|(?:post|entry|article|story|content|title|section|text)[_-]+header|side[_-]by[_-]side)(?=$|\s)",
+    re.IGNORECASE,
+)
+#: words that are noise alone or beside another word of surroundings, but not in a name such as long-form or social-science
+_WEAK = re.compile(r"side|rail|form|social|legal|alert|skip|respond|foot", re.IGNORECASE)
+_BESIDE = re.compile(
+    r"bar|box|block|wrap\w*|container|section|area|inner|outer|left|right|top|bottom|main|site|page|global|links?|list|items?|icons?|buttons?|btn|media|contact|"
+    r"search|mail|email|content|col|column|row|field|group|info|text|message|\d*",
+    re.IGNORECASE,
+)
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+_PROSE = frozenset("p blockquote pre ul ol dl figure table hgroup section".split()) | frozenset(_HEADINGS)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL
@@ -64,18 +81,29 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECAS
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "noise", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "parts", "noise", "chars", "tags", "link_chars", "link_tags", "head_links", "density", "sum")
 
     def __init__(self, tag, parent=None, noise=False):
         self.tag, self.parent, self.noise = tag, parent, noise
         self.parts: list = []  # nodes and texts in page order
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.chars = self.tags = self.link_chars = self.link_tags = self.head_links = 0
         self.density = self.sum = 0.0
 
     def children(self):
         return [x for x in self.parts if x.__class__ is Node]
 
 
+def _named_noise(value: str, words: re.Pattern) -> bool:
+    """Whether a class or id names surroundings; a weak word counts alone or if each other part of its name is one too."""
+    for name in _HARMLESS.sub(" ", _CAMEL.sub("-", value)).split():
+        if words.search(name):
+            parts = [x for x in re.split("[_-]+", name) if x]
+            others = [x for x in parts if not _WEAK.fullmatch(x)]
+            if len(others) in (0, len(parts)) or all(_BESIDE.fullmatch(x) or words.search(x) for x in others) or words.search("-".join(others)):
+                return True
+    return False
+
+
 def _is_noise(tag: str, attributes: str) -> bool:
     if tag in _DROPPED:
         return True
@@ -84,7 +112,7 @@ def _is_noise(tag: str, attributes: str) -> bool:
     words = _FOREIGN if tag in ("article", "main") else _NOISE
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
-        if name in ("class", "id") and words.search(_CAMEL.sub("-", value)):
+        if name in ("class", "id") and _named_noise(value, words):
             return True
         if name == "role" and value.strip().lower() in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
@@ -176,8 +204,11 @@ def densities(body: Node) -> list[Node]:
                 node.tags += x.tags + 1
                 node.link_chars += x.link_chars
                 node.link_tags += x.link_tags + (x.tag == "a")
+                node.head_links += x.head_links
         if node.tag == "a":
             node.link_chars = node.chars
+        if node.tag in _HEADINGS:
+            node.head_links = node.link_chars
     linked, total = max(body.link_chars, 0), max(body.chars, 1)
     for node in reversed(order):
         c, t = node.chars, max(node.tags, 1)
@@ -190,32 +221,86 @@ def densities(body: Node) -> list[Node]:
     return order
 
 
-def content(body: Node) -> Node:
-    """The subtree with the largest density sum, widened along its path to the body where the threshold allows."""
+def _text_density(node: Node) -> float:
+    return (node.chars - node.link_chars) / max(node.tags, 1)
+
+
+def _pieces(node: Node, below: Node):
+    """(indexes, stand-in) of the blocks beside ``below`` in its parent; texts and inline elements in a row are one block."""
+    run: list[int] = []
+
+    def loose():
+        whole = Node("", node)
+        for k in run:
+            x = node.parts[k]
+            if x.__class__ is Node:
+                whole.chars += x.chars
+                whole.tags += x.tags + 1
+                whole.link_chars += x.link_chars
+            else:
+                whole.chars += len("".join(entities.unescape(x).split()))
+        return list(run), whole
+
+    for k, x in enumerate(node.parts):
+        if x.__class__ is Node and (x is below or x.tag in _BLOCK or _left_out(x)):
+            if run:
+                yield loose()
+                run.clear()
+            if x is not below and not _left_out(x):
+                yield [k], x
+        else:
+            run.append(k)
+    if run:
+        yield loose()
+
+
+def content(body: Node) -> tuple[Node, dict[int, set[int]]]:
+    """A subtree around the largest density sum, and by node (its ``id``) the numbers of the parts that are no content."""
     order = densities(body)
     best = max(order, key=lambda x: x.sum)
     if best.sum <= 0:  # text without elements
-        return body if best is body else best
+        return best, {}
     path, node = [], best
     while node is not body:
         path.append(node)
         node = node.parent
     path.append(body)
-    threshold = min(x.density for x in path)
-    whole = next((x for x in path if x.tag in ("article", "main") and x.density >= threshold), None)
+    whole = next((x for x in path if x.tag in ("article", "main")), None)
     if whole is not None:  # an article holds its heading and its other blocks
-        return whole
-    for node in path:
-        # a wider node adds as much again, and not by links
-        more, linked = node.chars - best.chars, node.link_chars - best.link_chars
-        if node is not best and node.density >= threshold and 2 * more >= best.chars and 2 * linked < more:
-            best = node
-    return best
+        return whole, {}
+    threshold = min(map(_text_density, path))
+    # the main heading is one of the highest rank; what it joins with the centre is one article
+    rank = min((x.tag for x in order if x.tag in _HEADINGS and x.chars), default=None)
+    titled = set()
+    for x in order:
+        if rank and x.tag == rank and x.chars:
+            while x is not None and id(x) not in titled:
+                titled.add(id(x))
+                x = x.parent
+    top = next((k for k, x in enumerate(path) if id(x) in titled), 0)
+
+    def stays(level: int, x: Node) -> bool:
+        title = level <= top and id(x) in titled
+        linked, chars = (x.link_chars - x.head_links, x.chars - x.head_links) if title else (x.link_chars, x.chars)
+        if 2 * linked >= chars and not (title and not linked):
+            return False
+        if title or _text_density(x) >= threshold:
+            return True
+        if level <= top and path[level] is not body:
+            return True
+        return level <= max(top, 1) and x.tag in _PROSE
+
+    lost: dict[int, set[int]] = {}
+    for level, node in enumerate(path[1:], 1):
+        out = {k for numbers, x in _pieces(node, path[level - 1]) if x.chars and not stays(level, x) for k in numbers}
+        if out:
+            lost[id(node)] = out
+    return body, lost
 
 
-def blocks(root: Node) -> list[str]:
-    """The texts of the blocks below ``root`` in page order, white space folded."""
-    out, now = [], []
+def blocks(root: Node, lost: dict[int, set[int]] | None = None) -> list[str]:
+    """The texts of the blocks below ``root`` in page order, white space folded, without the parts in ``lost``."""
+    out, now, lost = [], [], lost or {}
 
     def flush():
         if now:
@@ -235,7 +320,8 @@ def blocks(root: Node) -> list[str]:
             if x.tag in _BLOCK:
                 flush()
                 todo.append(None)
-            todo += reversed(x.parts)
+            gone = lost.get(id(x))
+            todo += reversed(x.parts) if not gone else [p for k, p in reversed([*enumerate(x.parts)]) if k not in gone]
     flush()
     return out
 
@@ -244,7 +330,7 @@ def main_text(page: str | None) -> str:
     """The main text of a page, whole; empty if there is none."""
     if not isinstance(page, str) or not page:
         return ""
-    return "\n".join(blocks(content(parse(page))))
+    return "\n".join(blocks(*content(parse(page))))
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text", n_chars: str = "n_chars") -> DataFrame:

@@ -321,6 +321,23 @@ def test_what_surrounds_the_text_is_left_out(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize("n", [1, 3, 20, 400])
+@pytest.mark.parametrize("link", ["{}", "<a href=/x>{}</a>"])
+def test_heading_lead_and_closing_stay_at_any_length(n, link):
+    title, lead, body, closing = "T" + "itle words " * 4, "Lead words, " * 10, "The text has words, " * 5, "It ends here."
+    text = "".join(f"<p>{body}</p>" for _ in range(n))
+    page = f"""<body><div id=wrap><div class=top><a href=1>Home page</a> <a href=2>All news</a></div><div class=post><div class=entry-header><h1>{link.format(title)}</h1></div>
+<p>{lead}</p><div class=text>{text}</div><p>{closing}</p></div></div><div class=end>&copy; 2020</div></body>"""
+    want = [title, lead, *[body] * n, closing]
+    assert html.main_text(page) == "\n".join(x.strip() for x in want)
+    assert html.main_text(f"<body><h1>{title}</h1><p>{lead}</p><div>{text}</div><p>{closing}</p></body>") == "\n".join(x.strip() for x in want)
+
+
+@pytest.mark.parametrize(("name", "noise"), [("page-with-sidebar", False), ("long-form", False), ("postHeader", False), ("social-science", False), ("site-header", True), ("social-links", True), ("cookie-notice", True), ("form", True), ("main-nav", True), ("skip-link", True), ("legal-footer", True)])
+def test_compound_names(name, noise):
+    assert html._is_noise("div", f' class="{name}"') == noise
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/p div='\"!-&;ab\n", max_size=60))
 def test_any_markup_is_read(text):

@@ -7,9 +7,17 @@ to the code points of the original text, so what is found deep inside is reporte
 lies in the document. A layer that was seen at the same place before is not unwrapped
 again, which ends cycles such as archives that unpack to themselves.
 
+Base64 goes on over line ends (also escaped ones) and is tried from its first sign, from
+each line and behind each sign that is also used as a separator. All members of a compressed
+layer are read. Of one that breaks off, what comes out before is scanned, and it is counted
+in ``n_truncated``. Bytes of a compressed layer that are no UTF-8 become replacement signs;
+base64 without compression is scanned in its readable stretches.
+
 Defined results: a null text counts as empty; empty texts have no spans; a payload that
-cannot be decoded is left as it is; layers over ``max_layer_bytes`` are not unwrapped but
-counted in ``n_oversize``. Repeated rows give repeated results; other columns pass through.
+cannot be decoded is left as it is; compressed layers over ``max_layer_bytes`` are counted in
+``n_oversize`` and scanned in overlapping pieces of at most that size, but a compressed layer
+directly inside such a one is not unpacked. Repeated rows give repeated results; other
+columns pass through.
 """
 
 from __future__ import annotations
@@ -38,9 +46,24 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})+")
 _UNICODE_ONE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_PIECES = re.compile(r"[A-Za-z0-9]{16,}={0,2}")
-_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1a\x1c-\x1f\x7f]")
+_SIGN, _LINE_END = "[A-Za-z0-9+/_-]", r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*"
+# signs of 16 or more in a row; then whole lines of signs, and before them the short rest of a line
+_BASE64 = re.compile(
+    rf"(?:{_SIGN}{{4,15}}{_LINE_END}(?={_SIGN}{{16}}))?{_SIGN}{{16,}}+(?:{_LINE_END}{_SIGN}++(?![ \t]*[^\s=\"'\\<)\]}},;]))*={{0,2}}"
+)
+_NEXT_LINE = re.compile(_LINE_END)
+_SEPARATOR = re.compile(r"[+/_-]")
+# stretches of valid UTF-8 without control signs
+_READABLE = re.compile(
+    rb"(?:[\x09-\x0d\x1b\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|"
+    rb"\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})+"
+)
+
+#: the shortest secret: a stretch of fewer bytes holds none
+_LEAST = 12
+#: bytes read at once, written at once, and those that two pieces of a very large layer share
+_FEED, _PIECE, _OVERLAP = 4096, 4 << 20, 1 << 16
+_FAULTS = (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError)
 
 MAX_LAYER_BYTES = 256 << 20
 
@@ -62,14 +85,19 @@ def show_spans(spans) -> str:
 
 
 class _Layer:
-    """A decoded text; ``starts[i]``/``ends[i]`` bound the original code points behind character i."""
+    """A decoded text; ``starts[i]``/``ends[i]`` bound the original code points behind character i.
 
-    __slots__ = ("text", "starts", "ends")
+    With ``fixed``, all characters have that span, since they come out of one compressed payload.
+    """
+
+    __slots__ = ("text", "starts", "ends", "fixed")
 
-    def __init__(self, text, starts=None, ends=None):
-        self.text, self.starts, self.ends = text, starts, ends
+    def __init__(self, text, starts=None, ends=None, fixed=None):
+        self.text, self.starts, self.ends, self.fixed = text, starts, ends, fixed
 
     def span(self, start, end):
+        if self.fixed:
+            return self.fixed
         return (start, end) if self.starts is None else (self.starts[start], self.ends[end - 1])
 
     def key(self):
@@ -83,6 +111,8 @@ def _rewritten(layer: _Layer, runs) -> _Layer | None:
 
     def keep(i, j):
         parts.append(layer.text[i:j])
+        if layer.fixed:
+            return
         starts.extend(range(i, j) if layer.starts is None else layer.starts[i:j])
         ends.extend(range(i + 1, j + 1) if layer.ends is None else layer.ends[i:j])
 
@@ -91,14 +121,15 @@ def _rewritten(layer: _Layer, runs) -> _Layer | None:
         for c, s, e in chars:
             s, e = layer.span(s, e)
             parts.append(c)
-            starts.extend([s] * len(c))
-            ends.extend([e] * len(c))
+            if not layer.fixed:
+                starts.extend([s] * len(c))
+                ends.extend([e] * len(c))
         at, changed = j, True
     if not changed:
         return None
     keep(at, len(layer.text))
     text = "".join(parts)
-    return _Layer(text, starts, ends) if text and text != layer.text else None
+    return _Layer(text, starts, ends, layer.fixed) if text and text != layer.text else None
 
 
 def _percent(layer: _Layer) -> _Layer | None:
@@ -137,131 +168,211 @@ def _unicode(layer: _Layer) -> _Layer | None:
     return _rewritten(layer, runs()) if "\\" in layer.text else None
 
 
-def _unpacked(raw: bytes, limit: int) -> bytes | None:
-    """One compressed layer less; None if ``raw`` isn't compressed or broken. Raises OverflowError above ``limit``."""
+class _Cut(bytes):
+    """What came out of a compressed layer that breaks off."""
+
+
+def _tool(raw: bytes):
+    """(decompressor, bytes to feed at once, limits of its output) by the first bytes; None if they aren't those of a compressed layer."""
     if raw[:2] == b"\x1f\x8b":
-        tool = zlib.decompressobj(31)
-    elif len(raw) > 2 and raw[0] == 0x78 and not (raw[0] * 256 + raw[1]) % 31:
-        tool = zlib.decompressobj()
-    elif raw[:3] == b"BZh":
-        tool = bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\x00":
-        tool = lzma.LZMADecompressor()
-    elif raw[:4] == b"\x28\xb5\x2f\xfd":
+        return zlib.decompressobj(31), _FEED, ()
+    if len(raw) > 2 and raw[0] == 0x78 and not (raw[0] * 256 + raw[1]) % 31:
+        return zlib.decompressobj(), _FEED, ()
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor(), _FEED, (_PIECE,)
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(), _FEED, (_PIECE,)
+    if raw[:4] == b"\x28\xb5\x2f\xfd":
         import zstandard
 
-        try:
-            with zstandard.ZstdDecompressor().stream_reader(raw) as f:
-                out = f.read(limit + 1)
-        except zstandard.ZstdError:
-            return None
-        if len(out) > limit:
-            raise OverflowError
-        return out
-    else:
-        return None
-    try:
-        out = tool.decompress(raw, limit + 1)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError):
-        return None
-    if len(out) > limit:
-        raise OverflowError
-    return out
+        return zstandard.ZstdDecompressor().decompressobj(), 64, ()
+    return None
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and not _CONTROL.search(text) else None
+def _member(raw: bytes):
+    """The output of one member in pieces; returns what follows it, or None if it breaks off."""
+    given, fault = 0, len(raw)
+    while True:
+        (tool, size, limits), at, start, passed = _tool(raw), 0, 0, 0
+        try:
+            while not tool.eof:
+                feed = b""
+                if getattr(tool, "needs_input", True):
+                    # from the fault on byte by byte, so that nothing before it is lost
+                    start, feed = at, raw[at : at + (size if at < fault else 1)]
+                    at += len(feed)
+                    if not feed:
+                        return None
+                out = tool.decompress(feed, *limits)
+                passed += len(out)
+                if passed > given:
+                    yield out[len(out) - (passed - given) :]
+                    given = passed
+            return tool.unused_data + raw[at:]
+        except Exception as e:
+            if not isinstance(e, _FAULTS) and type(e).__name__ != "ZstdError":
+                raise
+            if fault < len(raw):
+                return None
+            fault = start
+
+
+def _members(raw: bytes):
+    """The output of all members of a compressed layer in pieces; a last None if it breaks off."""
+    while raw is not None and _tool(raw) is not None:
+        raw = yield from _member(raw)
+        if raw is None:
+            yield None
+            return
+        if raw[:1] == b"\x00":
+            raw = raw.lstrip(b"\x00")
 
 
-def _payload(code: str) -> bytes | None:
-    body = code.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
+def _unpacked(raw: bytes, limit: int) -> bytes | None:
+    """One compressed layer less; None if ``raw`` isn't compressed. Raises OverflowError above ``limit``."""
+    parts, n, cut = [], 0, False
+    for out in _members(raw):
+        if out is None:
+            cut = True
+            continue
+        parts.append(out)
+        n += len(out)
+        if n > limit:
+            raise OverflowError
+    if not parts:
         return None
+    return _Cut(b"".join(parts)) if cut else b"".join(parts)
+
+
+def _overlapping(pieces, limit: int):
+    """Pieces of at most ``limit`` bytes, each beginning with the end of the one before it."""
+    size = max(min(limit, _PIECE), 2)
+    shared, held, old = min(_OVERLAP, size // 2), b"", 0
+    for piece in pieces:
+        for k in range(0, len(piece or b""), size):
+            held += piece[k : k + size]
+            while len(held) >= size:
+                yield held[:size]
+                held, old = held[size - shared :], shared
+    if len(held) > old:
+        yield held
+
+
+def _run(text: str, start: int, end: int):
+    """The signs of a base64 run without its line ends, the place of each, and where payloads may begin."""
+    places, parts, lines, at = array("q"), [], [0], start
+    for m in _NEXT_LINE.finditer(text, start, end):
+        parts.append(text[at : m.start()])
+        places.extend(range(at, m.start()))
+        lines.append(len(places))
+        at = m.end()
+    parts.append(text[at:end])
+    places.extend(range(at, end))
+    code = "".join(parts).rstrip("=")
+    return code, places, sorted({*lines, *(m.end() for m in _SEPARATOR.finditer(code))})
+
+
+def _decoded(code: str) -> bytes:
+    if len(code) % 4 == 1:
+        code = code[:-1]
+    return base64.b64decode(code + "=" * (-len(code) % 4), altchars=b"-_" if "-" in code or "_" in code else None)
+
+
+def _packed(raw: bytes, where, limit: int):
+    """What lies behind the compressed layers of a payload."""
+    seen, packed, first = set(), False, raw
     try:
-        return base64.b64decode(body + "=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return None
+        while (out := _unpacked(raw, limit)) is not None:
+            if isinstance(out, _Cut):
+                yield TRUNCATED
+            digest = hashlib.sha1(raw).digest()
+            if digest in seen:  # it unpacks to itself
+                break
+            seen.add(digest)
+            raw, packed = bytes(out), True
+    except OverflowError:
+        yield OVERSIZE
+        for piece in _overlapping(_members(raw), limit):
+            yield _Layer(piece.decode("utf-8", "replace"), fixed=where)
+        return
+    if packed and raw and raw != first:
+        yield _Layer(raw.decode("utf-8", "replace"), fixed=where)
+
+
+OVERSIZE, TRUNCATED = "oversize", "truncated"
 
 
 def _blobs(layer: _Layer, limit: int):
-    """Layers behind the base64 runs of a layer; yields None for one that is too large."""
+    """Layers behind the base64 runs of a layer; OVERSIZE and TRUNCATED tell of a payload that is too large or breaks off."""
     for m in _BASE64.finditer(layer.text):
-        for start, end in _alignments(m):
-            raw = _payload(layer.text[start:end])
-            if not raw:
-                continue
-            packed, seen = False, set()
-            try:
-                while (out := _unpacked(raw, limit)) is not None:
-                    digest = hashlib.sha1(raw).digest()
-                    if digest in seen:  # it unpacks to itself
-                        break
-                    seen.add(digest)
-                    raw, packed = out, True
-            except OverflowError:
-                yield None
+        code, places, begins = _run(layer.text, m.start(), m.end())
+        code = code.replace("-", "+").replace("_", "/")
+        plain: set[int] = set()
+        for begin in begins:
+            if len(code) - begin < 4:
+                break
+            head = _decoded(code[begin : begin + 8])
+            if _tool(head) is not None and len(code) - begin >= 16:
+                # two bytes tell little of zlib: try a part first
+                if head[0] != 0x78 or len(code) - begin < 8192 or _unpacked(_decoded(code[begin : begin + 4096]), 1 << 30):
+                    yield from _packed(_decoded(code[begin:]), layer.span(places[begin], m.end()), limit)
+            if begin % 4 in plain:
                 continue
-            text = _readable(raw)
-            if text is None:
-                continue
-            if packed:
-                s, e = layer.span(start, end)
-                yield _Layer(text, array("q", [s]) * len(text), array("q", [e]) * len(text))
-            else:
-                starts, ends, at = array("q"), array("q"), 0
+            plain.add(begin % 4)
+            raw = _decoded(code[begin:])
+            for x in _READABLE.finditer(raw):
+                if x.end() - x.start() < _LEAST:
+                    continue
+                text, at, starts, ends = x[0].decode(), x.start(), array("q"), array("q")
                 for c in text:
                     n = len(c.encode()) if ord(c) > 127 else 1
-                    s, e = layer.span(start + at * 8 // 6, start + -(-(at + n) * 8 // 6))
+                    s, e = layer.span(places[begin + at * 8 // 6], places[begin - (-(at + n) * 8 // 6) - 1] + 1)
                     starts.append(s)
                     ends.append(e)
                     at += n
                 yield _Layer(text, starts, ends)
 
 
-def _alignments(m):
-    """The whole run, then the parts between signs that are also used as separators."""
-    yield m.start(), m.end()
-    if any(c in m[0] for c in "+/_-"):
-        for x in _PIECES.finditer(m.string, m.start(), m.end()):
-            if (x.start(), x.end()) != (m.start(), m.end()):
-                yield x.start(), x.end()
+def _below(layer: _Layer, limit: int):
+    yield from filter(None, (_percent(layer), _unicode(layer)))
+    yield from _blobs(layer, limit)
 
 
-def unwrap(text: str, max_layer_bytes: int = MAX_LAYER_BYTES) -> tuple[list, list, int, int]:
-    """Base spans, all spans, the number of layers below the text, and of layers left as too large."""
+def _unwrap(text: str, max_layer_bytes: int = MAX_LAYER_BYTES) -> tuple[list, list, int, int, int]:
+    """As ``unwrap``, and the number of compressed layers that break off."""
     base = find_spans(text)
-    spans, layers, oversize = set(base), 0, 0
-    work, seen = [_Layer(text)] if text else [], set()
+    spans, layers, marks = set(base), 0, {OVERSIZE: 0, TRUNCATED: 0}
+    work, seen = [_below(_Layer(text), max_layer_bytes)] if text else [], set()
     while work:
-        layer = work.pop()
-        blobs = list(_blobs(layer, max_layer_bytes))
-        oversize += blobs.count(None)
-        for below in (_percent(layer), _unicode(layer), *blobs):
-            if below is None:
-                continue
-            if (key := below.key()) in seen:
-                continue
+        # one layer at a time at each depth: pieces of very large layers aren't held together
+        below = next(work[-1], None)
+        if below is None:
+            work.pop()
+        elif below.__class__ is str:
+            marks[below] += 1
+        elif (key := below.key()) not in seen:
             seen.add(key)
             layers += 1
             for s, k, e in find_spans(below.text):
                 s, e = below.span(s, e)
                 spans.add((s, k, e))
-            work.append(below)
-    return base, sorted(spans), layers, oversize
+            work.append(_below(below, max_layer_bytes))
+    return base, sorted(spans), layers, marks[OVERSIZE], marks[TRUNCATED]
+
+
+def unwrap(text: str, max_layer_bytes: int = MAX_LAYER_BYTES) -> tuple[list, list, int, int]:
+    """Base spans, all spans, the number of layers below the text, and of layers taken in pieces as too large."""
+    return _unwrap(text, max_layer_bytes)[:4]
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", max_layer_bytes: int = MAX_LAYER_BYTES) -> DataFrame:
     """Replace the text column by what was found in it.
 
     Adds n_assign, n_access, n_hex, base_spans, spans (strings kind:start:end, comma-joined),
-    n_layers and n_oversize; every row stays. One pass over the rows, no shuffle.
+    n_layers, n_oversize and n_truncated; every row stays. One pass over the rows, no shuffle.
     """
     keep = [c for c in docs.columns if c != text]
-    found = ["n_assign", "n_access", "n_hex", "base_spans", "spans", "n_layers", "n_oversize"]
+    found = ["n_assign", "n_access", "n_hex", "base_spans", "spans", "n_layers", "n_oversize", "n_truncated"]
     clash = set(keep) & set(found)
     docs = docs.drop(*clash)
     keep = [c for c in keep if c not in clash]
@@ -270,17 +381,17 @@ def scan_secrets(docs: DataFrame, text: str = "text", max_layer_bytes: int = MAX
         for pdf in batches:
             rows = []
             for x in pdf[text]:
-                base, spans, layers, large = unwrap(x if isinstance(x, str) else "", max_layer_bytes)
+                base, spans, *layers = _unwrap(x if isinstance(x, str) else "", max_layer_bytes)
                 counts = [0, 0, 0]
                 for _, k, _ in base:
                     counts[k] += 1
-                rows.append((*counts, show_spans(base), show_spans(spans), layers, large))
+                rows.append((*counts, show_spans(base), show_spans(spans), *layers))
             out = pdf[keep].reset_index(drop=True)
             out[found] = pd.DataFrame(rows, columns=found, index=out.index)
             yield out
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.select(keep).dtypes)
-    more = "n_assign long, n_access long, n_hex long, base_spans string, spans string, n_layers long, n_oversize long"
+    more = "n_assign long, n_access long, n_hex long, base_spans string, spans string, n_layers long, n_oversize long, n_truncated long"
     return docs.select(*keep, text).mapInPandas(run, f"{kinds}, {more}" if kinds else more)
 
 

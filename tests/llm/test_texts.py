@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import html as entities
 import json
+import lzma
 import random
 import re
 import zlib
@@ -79,6 +80,68 @@ def test_oversize_layers_are_counted():
     assert secrets.unwrap(blob, max_layer_bytes=100)[3] == 1
 
 
+NOISE = "".join(random.Random(5).choice("abcdefghij klmnop\n") for _ in range(3000)).encode()
+SECRET = b"\npassword: hunter2222\n"
+
+
+def lines(raw, width=76, end="\n"):
+    code = base64.b64encode(raw).decode()
+    return end.join(code[i : i + width] for i in range(0, len(code), width))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n    ", "\\n"])
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, bytes])
+def test_wrapped_base64_is_one_payload(pack, end):
+    text = f"key: {lines(pack(NOISE + SECRET), end=end)}{end}The end."
+    assert "assign:" in found(text), text[-300:]
+    assert all(e <= text.index("The end.") for _, _, e in secrets.unwrap(text)[1])
+
+
+def test_wrapped_base64_maps_back():
+    text = "x\n" + lines(b"0123456789 " * 5 + b"token=abcdefgh1 end", 40) + "\ny"
+    # bytes 55 to 70 lie in signs 73 to 94, of 40 a line
+    assert (2 + 73 + 1, 0, 2 + 93 + 2 + 1) in secrets.unwrap(text)[1]
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress])
+def test_all_members_are_read(pack):
+    assert "assign:2:" in found(f"x {base64.b64encode(pack(NOISE) + pack(b'') + pack(SECRET)).decode()} y")
+
+
+def test_all_zstd_frames_are_read():
+    pack = pytest.importorskip("zstandard").ZstdCompressor().compress
+    assert "assign:2:" in found(f"x {base64.b64encode(pack(NOISE) + pack(SECRET) + b'junk').decode()} y")
+
+
+@pytest.mark.parametrize("bad", [b"\xff", b"\x00", b"\x00\x01\xfe\x80"])
+def test_unpacked_layers_need_not_be_clean_text(bad):
+    assert "assign:" in found(base64.b64encode(gzip.compress(NOISE + bad + SECRET)).decode())
+    assert "assign:" in found(base64.b64encode(b"some text " + bad + SECRET).decode())
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, bytes])
+def test_payloads_begin_behind_separators(pack):
+    for before in ("blob/", "a-b_c/", "some/longer/path/to/", "x+"):
+        for raw in (SECRET, NOISE + SECRET):
+            assert "assign:" in found(f"see {before}{base64.b64encode(pack(raw)).decode()} end")
+
+
+def test_layers_that_break_off_are_scanned_and_counted(spark):
+    packed = gzip.compress(SECRET + random.Random(1).randbytes(9000))
+    for raw in (packed[:-4000], packed[:5000] + bytes(50) + packed[5050:], packed[:-8] + b"12345678"):
+        text = base64.b64encode(raw).decode()
+        assert "assign:" in found(text)
+    row = secrets.scan_secrets(spark.createDataFrame([(1, base64.b64encode(packed[:-4000]).decode())], "doc_id long, text string")).first()
+    assert row["n_truncated"] == 1 and "assign:" in row["spans"]
+
+
+def test_oversize_layers_are_scanned():
+    for at in (0, 40, 80, 90, 95, 5000, 9000):
+        blob = base64.b64encode(gzip.compress(b"a " * at + SECRET + b" a" * (5000 - at // 2))).decode()
+        _, spans, _, large = secrets.unwrap(blob, max_layer_bytes=100)
+        assert large == 1 and spans == [(0, 0, len(blob))]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="ab%\\u0061=:token \"'A+/_-é\n", max_size=60))
 def test_any_text_is_scanned(text):

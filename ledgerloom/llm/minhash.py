@@ -4,9 +4,10 @@ Each tree of the forest is an order of the documents by a run of MinHash values;
 that share a long prefix of a run are neighbours. The depth follows the region: where few
 documents share the first ``SHALLOW`` values all of them are candidates; a region with more
 than ``REGION`` documents is taken at the next depth; one that is still large is compared
-block by block, so that no candidate is dropped. Candidates whose sketches (one byte of 64
-MinHash values) agree too little to be similar are passed over, the others tie documents
-into candidate clusters. Inside each cluster every pair of documents is compared by full
+block by block, so that no candidate is dropped. Candidates are passed over only where a bound
+proves that they aren't similar: each document counts its shingles in ``SKETCH`` bins, and the
+sum of the smaller counts of two documents is at least the number of shingles they share. The
+others tie documents into candidate clusters. Inside each cluster every pair of documents is compared by full
 shingle sets, again block by block, and confirmed links make the components.
 
 Documents with equal shingle sets are one class and are compared once. Edges are stars, at
@@ -34,8 +35,7 @@ SIMILARITY = 80  # percent
 TREES = 20
 SHALLOW = 3
 DEPTH = 4
-SKETCH = 64
-SKETCH_SHARE = 0.6
+SKETCH = 512
 REGION = 32
 BLOCK = 512
 _SEED = 17
@@ -121,6 +121,12 @@ def _tree_keys(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return shallow.view(np.int64), h.view(np.int64)
 
 
+def _sketch(shingles: np.ndarray) -> bytes:
+    """How many shingles fall into each bin, up to 255."""
+    bins = np.bincount((shingles % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+    return np.minimum(bins, 255).astype(np.uint8).tobytes()
+
+
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, set_key, shallow, deep (keys by tree), sketch; one pass over the texts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -135,8 +141,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     continue
                 low = min_hashes(s)
                 shallow, deep = _tree_keys(low)
-                sketch = (low[:SKETCH] & np.uint64(255)).astype(np.uint8).tobytes()
-                rows.append((doc, len(s), hashlib.md5(s.tobytes()).digest(), shallow, deep, sketch))
+                rows.append((doc, len(s), hashlib.md5(s.tobytes()).digest(), shallow, deep, _sketch(s)))
             yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "shallow", "deep", "sketch"])
 
     return docs.select("doc_id", "text").mapInPandas(
@@ -144,26 +149,40 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     )
 
 
-def _tied(part: pd.DataFrame) -> list[tuple]:
-    """Star edges of the documents of a block whose sketches agree enough."""
-    ids = part["rep"].to_numpy()
-    own, apart = part["own"].to_numpy(), part["lo"].iloc[0] != part["hi"].iloc[0]
-    s = np.frombuffer(b"".join(part["sketch"]), np.uint8).reshape(len(ids), SKETCH)
-    if len(ids) == 2:
-        if apart and own[0] == own[1] or np.count_nonzero(s[0] == s[1]) < SKETCH_SHARE * SKETCH:
+def _tied(percent: int):
+    def work(part: pd.DataFrame) -> list[tuple]:
+        """Star edges of the documents of a block that may be similar by the bound of their sketches."""
+        ids = part["rep"].to_numpy()
+        own, apart = part["own"].to_numpy(), part["lo"].iloc[0] != part["hi"].iloc[0]
+        if len(ids) == 2 and apart and own[0] == own[1]:
             return []
-        return [(int(max(ids)), int(min(ids)))]
-    a, b = [], []
-    for i in range(len(ids) - 1):
-        near = np.count_nonzero(s[i + 1 :] == s[i], axis=1) >= SKETCH_SHARE * SKETCH
-        if apart:
-            near &= own[i + 1 :] != own[i]
-        hit = np.flatnonzero(near) + i + 1
-        a.append(np.full(len(hit), i))
-        b.append(hit)
-    root = smallest_reachable(ids, np.concatenate(a), np.concatenate(b))
-    moved = root != ids
-    return list(zip(ids[moved].tolist(), root[moved].tolist(), strict=True))
+        s = np.frombuffer(b"".join(part["sketch"]), np.uint8).reshape(len(ids), SKETCH)
+        sizes = s.sum(1, dtype=np.int64)
+        open_ended = s.max(1) == 255  # counts that stop at 255 prove nothing
+        a, b = [], []
+        group = np.arange(len(ids))
+        for i in range(len(ids) - 1):
+            if (group == group[0]).all():
+                break
+            most = np.minimum(s[i + 1 :], s[i]).sum(1, dtype=np.int64)
+            near = 100 * most >= percent * (sizes[i] + sizes[i + 1 :] - most)
+            near |= open_ended[i + 1 :] | open_ended[i]
+            if apart:
+                near &= own[i + 1 :] != own[i]
+            hit = np.flatnonzero(near) + i + 1
+            if len(hit):
+                a.append(np.full(len(hit), i))
+                b.append(hit)
+                if len(ids) > 2:
+                    joined = np.isin(group, group[np.r_[i, hit]])
+                    group[joined] = group[joined].min()
+        if not a:
+            return []
+        root = smallest_reachable(ids, np.concatenate(a), np.concatenate(b))
+        moved = root != ids
+        return list(zip(ids[moved].tolist(), root[moved].tolist(), strict=True))
+
+    return work
 
 
 def _confirmed(words: int, percent: int):
@@ -232,7 +251,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILARI
     large = with_bucket_size(deeper, ["tree", "key"], "rep")
     blocks = in_blocks(small.unionByName(large), "rep", BLOCK)
     sketched = blocks.join(classes.select("rep", "sketch"), "rep")
-    tied = _edges(map_blocks(sketched, ["tree", "key"], _tied, ["a", "b"], "a long, b long"))
+    tied = _edges(map_blocks(sketched, ["tree", "key"], _tied(percent), ["a", "b"], "a long, b long"))
 
     # candidate clusters, and inside them the links by full sets
     clusters = connected_components(tied).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,27 @@ def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     assert as_dict(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4)) == brute(rows, 4)
 
 
+def test_pairs_whose_min_hashes_agree_little_are_compared(spark):
+    # similarity 0.8, in the same region of a tree, but fewer than 39 of the first 64 values agree
+    rows = []
+    for n in (10439, 17871, 43817):
+        words = [f"w{n}x{k}" for k in range(13)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join([*words[:-1], "z"]))]
+    got = as_dict(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == brute(rows, 5) and [got[d][1] for d in range(6)] == [0, 0, 2, 2, 4, 4]
+
+
+@pytest.mark.parametrize("n", [5, 40, 900, 200_000])
+def test_the_sketch_rejects_no_similar_pair(n):
+    rng = np.random.default_rng(n)
+    for share in (0.8, 0.81, 0.95):
+        both = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        more = int(n / share) - n
+        sets = [np.r_[both, rng.integers(0, 1 << 63, k, dtype=np.uint64)] for k in (more // 2, more - more // 2)]
+        part = pd.DataFrame({"rep": [1, 2], "own": 0, "lo": 0, "hi": 0, "sketch": [minhash._sketch(x) for x in sets]})
+        assert minhash._tied(80)(part) == [(2, 1)]
+
+
 def test_odd_texts(spark):
     rows = [(1, None), (2, ""), (3, " \n\t "), (4, "One two"), (5, "one TWO"), (6, "one two three"), (7, "é ünd ß"), (8, "É ünd ß"), (9, "a b c d"), (10, "a b c d")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rep", F.lit(0)).withColumn("cluster", F.lit("x"))

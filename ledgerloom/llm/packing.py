@@ -11,28 +11,27 @@ checkpoint folder; a distributed rank of the keys alone, with running token sums
 each document's place with its ids; one pass that cuts the pieces. Ties on the curve are
 ordered by doc_id and then by row, so a large group of copies is spread over partitions.
 
-Defined results: a null text counts as empty and is one piece with the end id alone;
+Defined results: a null text counts as empty and is one piece with the end id alone; a
+special token written out in a text is that token's id, as the tokenizers library has it;
 repeated rows are packed once each; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import json
-import operator
 import os
 import zlib
-from array import array
-from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, with_rank
-from .tokens import units
+from .parts import Encoder, large_strings, text_chunks
 
 SEQUENCE = 2048
 END_ID = 1
@@ -40,8 +39,6 @@ DIMENSIONS = 4
 BITS = 12
 BUCKETS = 256
 _SEED = 20_240_501
-MEMO_ENTRIES = 500_000
-_MISSES = 20_000
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -92,111 +89,142 @@ def _signs() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def _encoder(path: str):
-    """A function from texts to their ids, one after the other, as the tokenizer's own library gives them.
+def merges_by_rank(path: str) -> bool:
+    """Whether merging the adjacent pair whose joined token has the smallest id gives this tokenizer file's ids for any text.
 
-    For plain byte-level BPE the merges are done by a faster library on the file's own
-    vocabulary; it is used only if it encodes every token's text of the vocabulary as the
-    tokenizer's library does.
+    The file is plain byte-level BPE, its merges stand in the order of the ids of what they
+    make, and every token's own bytes merge to that token. That is enough. Take the first
+    pair that is merged by id into a token t, but not by the file's merges. Until then both
+    ways were alike, and no merge crossed the ends of t, so inside t the same merges were made
+    as if t stood alone. Alone, its two last parts merge by a pair of the list; since the
+    merges with smaller ids are all done, these parts are that pair, which is a contradiction.
     """
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    tool = Tokenizer.from_file(path)
-    tool.encode_special_tokens = True
-    if tool.get_vocab_size() > 1 << 16:
-        raise ValueError("ids are kept in 16 bits")
-
-    def own(texts: list[str]) -> Iterator[list[int]]:
-        for i in range(0, len(texts), _MISSES):
-            for e in tool.encode_batch_fast(texts[i : i + _MISSES], add_special_tokens=False):
-                yield e.ids
-
-    data = json.loads(tool.to_str())
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
     model, cut = data["model"], data["pre_tokenizer"] or {}
-    plain = model["type"] == "BPE" and not model.get("dropout") and not model.get("byte_fallback") and not data["normalizer"]
-    if not plain or (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex")) != ("ByteLevel", False, True):
-        return own
-    import public_tokenizers
-    import tiktoken
-
-    signs, special = _signs(), {t["content"] for t in data["added_tokens"]}
-    ranks = {bytes(signs[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
-    encode = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    probe = [t for t in (b.decode("utf-8", "ignore") for b in ranks) if t]
-    same = all(map(operator.eq, map(encode, probe), own(probe)))
-    return partial(map, encode) if same else own
-
-
-class _Ids:
-    """Encodings (16-bit ids) of the parts of texts.
-
-    Kept in two bounded generations: when the newer is full it becomes the older, and what is
-    met again moves back to the newer, so that frequent parts stay.
+    if model["type"] != "BPE" or model.get("dropout") or model.get("byte_fallback") or data["normalizer"] or model.get("continuing_subword_prefix"):
+        return False
+    if model.get("end_of_word_suffix") or (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex")) != ("ByteLevel", False, True):
+        return False
+    vocabulary, signs = model["vocab"], set(_signs())
+    special = {t["content"] for t in data["added_tokens"]}
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    made = [vocabulary.get(a + b, -1) for a, b in pairs]
+    if any(x < 0 or x >= y for x, y in zip(made, made[1:])) or not all(signs.issuperset(t) for t in vocabulary if t not in special):
+        return False
+    rank = {p: k for k, p in enumerate(pairs)}
+    never = len(rank)
+    for token in vocabulary.keys() - special:
+        parts = list(token)
+        while len(parts) > 1:
+            costs = [rank.get(p, never) for p in zip(parts, parts[1:])]
+            if (least := min(costs)) == never:
+                return False
+            at = costs.index(least)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return True
+
+
+def id_width(path: str) -> int:
+    """Bytes that every id of the tokenizer file fits in, 2 or 4."""
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
+    vocabulary = data["model"]["vocab"]
+    most = max([*(vocabulary.values() if isinstance(vocabulary, dict) else [len(vocabulary)]), *(t["id"] for t in data["added_tokens"])])
+    return 2 if most < 1 << 16 else 4
+
+
+class TextIds:
+    """The ids that the tokenizer file gives texts, by its own library; where ``by_rank`` is proved, by a faster one.
+
+    What the file calls an added token stands for its id wherever it occurs in a text, as the
+    library has it; a text that holds one is encoded by the library.
     """
 
-    def __init__(self, path: str):
-        self.encode = _encoder(path)
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        parts = [units(t) for t in texts]
-        met = set().union(*parts)
-        if len(self.memo) + len(met) > MEMO_ENTRIES:
-            self.older, self.memo = self.memo, {}
-        memo, older = self.memo, self.older
-        missing = []
-        for u in met.difference(memo):
-            code = older.get(u)
-            if code is None:
-                missing.append(u)
-            else:
-                memo[u] = code
-        for u, ids in zip(missing, self.encode(missing), strict=True):
-            memo[u] = array("H", ids).tobytes()
-        return [b"".join(map(memo.__getitem__, p)) for p in parts]
-
-
-_TOOLS: dict[str, _Ids] = {}
-
-
-def _encoded(path: str):
-    hashed = np.random.default_rng(_SEED + 1).integers(0, BUCKETS, 1 << 16)
-
+    def __init__(self, path: str, by_rank: bool):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tool = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            data = json.load(f)
+        self.added = [t["content"] for t in data["added_tokens"]]
+        self.fast = None
+        if by_rank:
+            import public_tokenizers
+            import tiktoken
+
+            signs = _signs()
+            ranks = {bytes(signs[c] for c in t): i for t, i in data["model"]["vocab"].items() if t not in self.added}
+            lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+            lengths[list(ranks.values())] = [len(b) for b in ranks]
+            tool = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.fast = Encoder(tool.encode_to_numpy, lengths)
+
+    def __call__(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin (and the end)."""
+        apart = np.zeros(len(texts), bool)
+        if self.fast:
+            for token in self.added:
+                apart |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+            ids, bounds = self.fast(pc.if_else(pa.array(apart), "", texts) if apart.any() else texts)
+            if not apart.any():
+                return ids, bounds
+            found = [ids[s:e] for s, e in zip(bounds, bounds[1:])]
+        else:
+            apart[:] = True
+            found = [None] * len(texts)
+        at = np.flatnonzero(apart)
+        for i in range(0, len(at), 256):
+            some = at[i : i + 256]
+            for k, e in zip(some, self.tool.encode_batch_fast([texts[int(k)].as_py() for k in some], add_special_tokens=False), strict=True):
+                found[k] = np.array(e.ids, np.uint32)
+        return np.concatenate([*found, np.zeros(0, np.uint32)]).astype(np.uint32), np.r_[0, np.cumsum([len(x) for x in found], dtype=np.int64)]
+
+
+_TOOLS: dict[tuple[str, bool], TextIds] = {}
+#: tokens whose buckets are counted at once
+_COUNTED = 1 << 20
+
+
+def hashed_counts(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many of each text's ids fall into each of BUCKETS buckets."""
+    bucket = (ids * np.uint32(2_654_435_761)) >> np.uint32(32 - BUCKETS.bit_length() + 1)
+    out = np.zeros((len(bounds) - 1, BUCKETS), np.float32)
+    at = 0
+    while at < len(out):
+        end = max(at + 1, min(int(np.searchsorted(bounds, bounds[at] + _COUNTED, "right")) - 1, at + 4096))
+        owner = np.repeat(np.arange(end - at) * BUCKETS, np.diff(bounds[at : end + 1]))
+        counts = np.bincount(owner + bucket[bounds[at] : bounds[end]], minlength=(end - at) * BUCKETS)
+        out[at:end] = counts.reshape(end - at, BUCKETS)
+        at = end
+    return out
+
+
+def _encoded(path: str, by_rank: bool, width: int):
     def run(batches):
-        ids = _TOOLS.setdefault(path, _Ids(path)) if path not in _TOOLS else _TOOLS[path]
+        key = (path, by_rank)
+        tool = _TOOLS[key] if key in _TOOLS else _TOOLS.setdefault(key, TextIds(path, by_rank))
         pack = zstandard.ZstdCompressor(level=1)
-        for pdf in batches:
-            texts = [x if isinstance(x, str) else "" for x in pdf["text"]]
-            codes: list[bytes] = []
-            at = 0
-            while at < len(texts):  # some MB of text at a time
-                end, size = at, 0
-                while end < len(texts) and (size < 4 << 20 or end == at):
-                    size += len(texts[end])
-                    end += 1
-                codes += ids.of(texts[at:end])
-                at = end
-            vectors = np.zeros((len(codes), BUCKETS), np.float32)
-            for k, code in enumerate(codes):
-                vectors[k] = np.bincount(hashed[np.frombuffer(code, "<u2")], minlength=BUCKETS)
-            out = pdf[["uid", "doc_id"]].reset_index(drop=True)
-            out["hkey"] = hilbert_key(curve_points(np.sqrt(vectors)))
-            out["n_tokens"] = np.array([len(c) // 2 + 1 for c in codes], dtype=np.int64)
-            out["ids"] = [pack.compress(c) for c in codes]
-            yield out
+        for rows in text_chunks(batches, "text"):
+            ids, bounds = tool(large_strings(rows["text"]))
+            places = hilbert_key(curve_points(np.sqrt(hashed_counts(ids, bounds))))
+            code = ids.astype(f"<u{width}").data.cast("B")
+            packed = [pack.compress(code[s * width : e * width]) for s, e in zip(bounds.tolist(), bounds[1:].tolist())]
+            out = rows.select(["uid", "doc_id"]).append_column("hkey", pa.array(places, pa.int64()))
+            out = out.append_column("n_tokens", pa.array(np.diff(bounds) + 1, pa.int64())).append_column("ids", pa.array(packed, pa.binary()))
+            yield from out.to_batches()
 
     return run
 
 
-def _cut(length: int, end_id: int):
+def _cut(length: int, end_id: int, width: int):
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
         for pdf in batches:
             rows = []
             for doc, at, n, code in zip(pdf["doc_id"], pdf["place_start"], pdf["n_tokens"], pdf["ids"], strict=True):
-                ids = np.append(np.frombuffer(unpack.decompress(code), "<u2"), end_id).astype("<u4")
+                ids = np.append(np.frombuffer(unpack.decompress(code), f"<u{width}"), end_id).astype("<u4")
                 start = 0
                 while start < n:
                     offset = (at + start) % length
@@ -216,9 +244,11 @@ def pack_documents(docs: DataFrame, path: str, length: int = SEQUENCE, end_id: i
     """
     rows = docs.select("doc_id", "text").withColumn("uid", F.monotonically_increasing_id())
     kind = docs.schema["doc_id"].dataType.simpleString()
-    coded = checkpointed(rows.mapInPandas(_encoded(path), f"uid long, doc_id {kind}, hkey long, n_tokens long, ids binary"))
+    width = id_width(path)
+    coded = rows.mapInArrow(_encoded(path, merges_by_rank(path), width), f"uid long, doc_id {kind}, hkey long, n_tokens long, ids binary")
+    coded = checkpointed(coded)
     placed = with_rank(coded.select("uid", "doc_id", "hkey", "n_tokens"), "hkey", "doc_id", "uid", rank="place", weight="n_tokens")
     both = coded.select("uid", "doc_id", "n_tokens", "ids").join(placed.select("uid", "place_start"), "uid")
     return both.mapInPandas(
-        _cut(length, end_id), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+        _cut(length, end_id, width), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )

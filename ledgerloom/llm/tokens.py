@@ -7,29 +7,24 @@ encoding is read off backwards. Since the table of a prefix never depends on wha
 appending bytes only adds entries, and an edit keeps every entry before it
 (:class:`PrefixTable`).
 
-The job itself is one pass over the rows: each task keeps a bounded memo of the pieces it
-has met, whose encodings are joined per document.
+The job itself is one pass over the rows: the distinct parts of a chunk of texts are split
+into pieces (:mod:`parts`), and each worker keeps a bounded memo of the pieces it has met.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from array import array
 from collections.abc import Iterable
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: A text may be cut before a space that has a sign other than white space on one side:
-#: this doesn't change how it is split into pieces. Texts with wider gaps are cut by the
-#: slower expression.
-_GAP = re.compile(r" \s")
-_CUT = re.compile(r"(?<=\S)(?= \S)")
+from .parts import Encoder, large_strings, text_chunks
 
 MEMO_ENTRIES = 400_000
 _NEVER = 1 << 60
@@ -45,7 +40,6 @@ class Vocabulary:
         self.pattern = regex.compile(pattern)
         self._pairs: dict[int, bool] = {}
         self._own: dict[int, bool] = {}
-        self._pieces: dict[str, list[int]] = {}
         trie = ahocorasick.Automaton()
         for b, i in ranks.items():
             trie.add_word(b.decode("latin-1"), (len(b), i))
@@ -129,17 +123,7 @@ class Vocabulary:
         return self.read(piece, last)
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for m in self.pattern.findall(text):
-            ids = self._pieces.get(m)
-            if ids is None:
-                ids = self.encode_piece(m.encode())
-                if len(m) <= 64:
-                    if len(self._pieces) >= MEMO_ENTRIES:
-                        self._pieces.clear()
-                    self._pieces[m] = ids
-            out += ids
-        return out
+        return [i for m in self.pattern.findall(text) for i in self.encode_piece(m.encode())]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -198,15 +182,6 @@ class PrefixTable:
         return [t for _, p, table in self.pieces for t in self.v.read(p.encode(), table)]
 
 
-def units(text: str) -> list[str]:
-    """Cut a text at spaces so that each part splits into pieces on its own as it does inside the text."""
-    if text.endswith(" ") or _GAP.search(text):
-        return _CUT.split(text)
-    first, *rest = text.split(" ")
-    out = [" " + w for w in rest]
-    return [first, *out] if first else out
-
-
 _VOCABULARIES: dict[tuple[str, str], Vocabulary] = {}
 
 
@@ -218,29 +193,43 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 
 
 class Memo(dict):
-    """Encodings (little-endian 32-bit ids) of the parts that were met.
+    """Encodings (little-endian 32-bit ids) of the pieces that were met.
 
     Kept in two bounded generations: when the newer is full it becomes the older, and what is
-    met again moves back to the newer, so that frequent parts stay.
+    met again moves back to the newer, so that frequent pieces stay.
     """
 
     def __init__(self, v: Vocabulary, entries: int = MEMO_ENTRIES):
         super().__init__()
         self.v, self.entries, self.older = v, entries, {}
 
-    def __missing__(self, unit: str) -> bytes:
-        code = self.older.get(unit)
+    def __missing__(self, piece: str) -> bytes:
+        code = self.older.get(piece)
         if code is None:
-            code = array("I", self.v.encode(unit)).tobytes()
-        if len(unit) <= 64:
+            code = array("I", self.v.encode_piece(piece.encode())).tobytes()
+        if len(piece) <= 64:
             if len(self) >= self.entries:
                 self.older = dict(self)
                 self.clear()
-            self[unit] = code
+            self[piece] = code
         return code
 
+    def ids(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, self.v.pattern.findall(text))), "<u4")
 
-_MEMOS: dict[tuple[str, str], Memo] = {}
+
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder(path: str, pattern: str) -> Encoder:
+    """One encoder with its memo per Python worker."""
+    if (path, pattern) not in _ENCODERS:
+        v = vocabulary(path, pattern)
+        lengths = np.zeros(max(v.bytes_of) + 1, np.int64)
+        for i, b in v.bytes_of.items():
+            lengths[i] = len(b)
+        _ENCODERS[path, pattern] = Encoder(Memo(v).ids, lengths)
+    return _ENCODERS[path, pattern]
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -252,29 +241,34 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != ids)
 
     def run(batches):
-        memo = _MEMOS.setdefault((path, pattern), Memo(vocabulary(path, pattern)))
-        for pdf in batches:
-            pdf[ids] = [b"".join(map(memo.__getitem__, units(x))) if isinstance(x, str) else b"" for x in pdf[text]]
-            yield pdf
+        encode = encoder(path, pattern)
+        for rows in text_chunks(batches, text):
+            found, bounds = encode(large_strings(rows[text]))
+            raw = found.astype("<u4").data.cast("B")
+            codes = [bytes(raw[4 * s : 4 * e]) for s, e in zip(bounds.tolist(), bounds[1:].tolist())]
+            yield from rows.append_column(ids, pa.array(codes, pa.binary())).to_batches()
 
-    return docs.drop(ids).mapInPandas(run, f"{kinds}, {ids} binary")
+    return docs.drop(ids).mapInArrow(run, f"{kinds}, {ids} binary")
 
 
 def token_report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """The digest columns of query op9: ids by the prefix tables, then the bytes they decode to."""
 
     def run(batches):
-        v = vocabulary(path, pattern)
-        memo = _MEMOS.setdefault((path, pattern), Memo(v))
-        decode = v.bytes_of.__getitem__
-        for pdf in batches:
-            rows = []
-            for x in pdf["text"]:
-                raw = b"".join(map(memo.__getitem__, units(x))) if isinstance(x, str) else b""
-                decoded = b"".join(map(decode, np.frombuffer(raw, "<u4").tolist()))
-                rows.append((len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-            out = pdf[["doc_id"]].reset_index(drop=True)
-            out[["n_tokens", "ids_sha256", "decoded_sha256"]] = pd.DataFrame(rows, columns=["n", "i", "d"], index=out.index)
-            yield out
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        encode, v = encoder(path, pattern), vocabulary(path, pattern)
+        signs = pa.array([v.bytes_of.get(i, b"") for i in range(max(v.bytes_of) + 1)], pa.large_binary())
+        for rows in text_chunks(batches, "text"):
+            ids, bounds = encode(large_strings(rows["text"]))
+            raw, decoded, begins = ids.astype("<u4").data.cast("B"), b"", np.zeros(len(ids) + 1, np.int64)
+            if len(ids):
+                _, places, decoded = signs.take(pa.array(ids)).buffers()
+                begins = np.frombuffer(places, np.int64)[: len(ids) + 1]
+            decoded = memoryview(decoded)
+            hashed = [hashlib.sha256(raw[4 * s : 4 * e]).hexdigest() for s, e in zip(bounds.tolist(), bounds[1:].tolist())]
+            ends = begins[bounds].tolist()
+            back = [hashlib.sha256(decoded[s:e]).hexdigest() for s, e in zip(ends, ends[1:])]
+            out = rows.select(["doc_id"]).append_column("n_tokens", pa.array(np.diff(bounds), pa.int64()))
+            yield from out.append_column("ids_sha256", pa.array(hashed, pa.string())).append_column("decoded_sha256", pa.array(back, pa.string())).to_batches()
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

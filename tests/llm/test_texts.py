@@ -14,6 +14,7 @@ from urllib.parse import quote
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerloom.llm import html, packing, quality, secrets, tokens
+from ledgerloom.llm.parts import large_strings, text_chunks
 from ledgerloom.llm.queries import op3_html_density, op4_secret_worklist, op7_isolation_forest, op8_hilbert_packing, op9_prefix_bpe
 
 from ..conftest import SF
@@ -314,7 +316,6 @@ def test_hilbert_curve_steps_to_neighbours():
 
 def check_packing(pieces, docs):
     tool = Tokenizer.from_file(BYTE)
-    tool.encode_special_tokens = True
     want = {d: np.array([*tool.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for d, t in docs}
     by, seq = {}, {}
     for p in pieces:
@@ -343,6 +344,65 @@ def test_packing_of_odd_texts(spark):
     assert packing.pack_documents(df.limit(0), BYTE).collect() == []
 
 
+def test_special_tokens_are_the_library_s_ids():
+    tool = packing.TextIds(BYTE, packing.merges_by_rank(BYTE))
+    ids, bounds = tool(large_strings(pa.array(["hello <|endoftext|> world", None, "plain words", "<|endoftext|>"])))
+    assert tool.fast and bounds.tolist() == [0, 4, 4, 6, 7]
+    assert ids.tolist() == [31373, 220, 50256, 995, *Tokenizer.from_file(BYTE).encode("plain words").ids, 50256]
+
+
+def test_ids_by_rank_are_used_only_where_proved(tmp_path):
+    assert packing.merges_by_rank(BYTE)
+    for change in (lambda m: m["merges"].append(m["merges"].pop(0)), lambda m: m.update(byte_fallback=True)):
+        data = json.loads(open(BYTE, encoding="utf-8").read())
+        change(data["model"])
+        other = tmp_path / "other.json"
+        other.write_text(json.dumps(data))
+        assert not packing.merges_by_rank(str(other))
+    ids, bounds = packing.TextIds(BYTE, False)(large_strings(pa.array(["two words", "", "é"])))
+    assert ids.tolist() == [i for t in ("two words", "é") for i in Tokenizer.from_file(BYTE).encode(t).ids] and bounds.tolist()[1:3] == [2, 2]
+
+
+_TEXT_IDS: list = []
+ODD_PARTS = st.lists(st.sampled_from([*"ab1'.\n\t é日", "  ", "\xa0", "\u2003", "\u3000", "\x85", "\x1c", " the", " don't", "\u200b", "“", "\u180e", "<|endoftext|>"]), max_size=20).map("".join)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(ODD_PARTS, st.text(max_size=20), st.none()), max_size=8))
+def test_parts_encode_as_whole_texts(texts):
+    tool = _TEXT_IDS or _TEXT_IDS.append(packing.TextIds(BYTE, True)) or _TEXT_IDS
+    ids, bounds = tool[0](large_strings(pa.array(texts, pa.string())))
+    want = [tool[0].tool.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [ids[s:e].tolist() for s, e in zip(bounds, bounds[1:])] == want
+
+
+def test_chunks_keep_rows_in_order():
+    rows = [(i, "x" * (i * 7 % 50)) for i in range(100)]
+    batches = [pa.RecordBatch.from_pydict({"i": [i for i, _ in part], "text": [t for _, t in part]}) for part in (rows[:3], rows[3:4], rows[4:90], rows[90:])]
+    for size in (1, 40, 1000, 10**6):
+        got = [(i, t) for c in text_chunks(batches, "text", size) for i, t in zip(c["i"].to_pylist(), c["text"].to_pylist())]
+        assert got == rows
+    assert list(text_chunks([], "text")) == []
+
+
+def test_hashed_counts_are_plain_counts():
+    ids, bounds = np.arange(1000, dtype=np.uint32), np.array([0, 0, 300, 1000, 1000])
+    got = packing.hashed_counts(ids, bounds)
+    assert got.sum(1).tolist() == [0, 300, 700, 0]
+    one = packing.hashed_counts(np.array([7, 7, 9], np.uint32), np.array([0, 3]))
+    assert sorted(one[one > 0].tolist()) == [1.0, 2.0]
+
+
+def test_neighbours_on_the_curve_are_alike(spark):
+    """Neighbours in sequences share more words than those of a hash order."""
+    rnd = random.Random(5)
+    topics = [[f"{t}word{i}" for i in range(30)] for t in "abcdef"]
+    docs = [(i, " ".join(rnd.choice(topics[i % 6]) for _ in range(200))) for i in range(240)]
+    got = packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string"), BYTE, length=1 << 20).orderBy("sequence_id", "offset").collect()
+    same = [a["doc_id"] % 6 == b["doc_id"] % 6 for a, b in zip(got, got[1:])]
+    assert sum(same) / len(same) > 0.5  # 1/6 in any order that doesn't depend on the words
+
+
 def test_repeated_rows_are_packed_once_each(spark):
     df = spark.createDataFrame([(1, "same words")] * 3, "doc_id long, text string")
     got = packing.pack_documents(df, BYTE).collect()

@@ -15,17 +15,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 SALTS = 16
 
 
 def with_bucket_size(rows: DataFrame, keys: list[str], row_id: str, size: str = "bucket_size") -> DataFrame:
-    """Add the number of rows of each row's bucket; buckets of one row are left out.
+    """Add the number of rows of each row's bucket; buckets of one row are left out."""
+    return with_group_count(rows, keys, row_id, size).where(F.col(size) > 1)
+
+
+def with_group_count(rows: DataFrame, keys: list[str], row_id: str, size: str) -> DataFrame:
+    """Add the number of rows of each row's group.
 
-    Counted and joined per (bucket, salt), so that a bucket with many rows is spread.
+    Counted and joined per (group, salt), so that a group with many rows is spread.
     """
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64(row_id, F.lit(5)), F.lit(SALTS)).cast("int"))
     counts = rows.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn(size, F.sum("_n").over(Window.partitionBy(*keys))).where(F.col(size) > 1).drop("_n")
+    counts = counts.withColumn(size, F.sum("_n").over(Window.partitionBy(*keys))).drop("_n")
     return rows.join(counts, [*keys, "_salt"]).drop("_salt")
 
 
@@ -93,6 +100,94 @@ def _whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[
         yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
 
 
+def _stars(near: Callable[[pd.DataFrame], Callable[[int, np.ndarray], np.ndarray]], row: list[str], keys: list[str]):
+    """Star edges among the rows of a block: each row of the right side against those of the left side.
+
+    With ``keys``, the right side is one row, and all rows of the left side that are near to it
+    are told, with the keys and the rest of ``row``.
+    """
+
+    def work(part: pd.DataFrame) -> list[tuple]:
+        if len(row) > 1 and len(set(part[row[0]])) < len(part):
+            part = part.drop_duplicates(subset=[*row, "left", "right"])
+        ids = part[row[0]].to_numpy()
+        left, right = part["left"].to_numpy(), part["right"].to_numpy()
+        if len(ids) < 2 or not left.any() or not right.any():
+            return []
+        test, group = near(part), np.arange(len(ids))
+        all_pairs = bool(left.all() and right.all())
+        lefts = np.flatnonzero(left)
+        for i in np.flatnonzero(right):
+            others = lefts[np.searchsorted(lefts, i + 1) :] if all_pairs else lefts
+            # what is tied already needn't be compared
+            others = others[group[others] != group[i]]
+            if len(others):
+                hit = others[test(int(i), others)]
+                if len(hit):
+                    joined = np.isin(group, group[np.r_[i, hit]])
+                    group[joined] = group[joined].min()
+        if keys:
+            middle = int(np.flatnonzero(right)[0])
+            tied = left & (group == group[middle])
+            more = [[part[k].iloc[0]] * int(tied.sum()) for k in keys] + [part[k].to_numpy()[tied].tolist() for k in row[1:]]
+            return list(zip(ids[tied].tolist(), [int(ids[middle])] * int(tied.sum()), *more, strict=True))
+        low = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(low, group, ids)
+        roots = low[group]
+        moved = roots != ids
+        return list(zip(ids[moved].tolist(), roots[moved].tolist(), strict=True))
+
+    return work
+
+
+def edges_in_groups(
+    rows: DataFrame, keys: list[str], row: list[str], attach: Callable[[DataFrame], DataFrame], near, block: int, size: str = "bucket_size"
+) -> DataFrame:
+    """Distinct edges (a, b) whose components are those of all near pairs of each group.
+
+    ``rows`` has the keys, the columns ``row`` that name a row (the first one is the id that
+    edges tell of) and the group's size. ``attach`` joins what ``near`` compares. Groups of up
+    to ``block`` rows are compared pair by pair in one task. In a larger one all rows are first
+    compared with one middle row, in blocks; only rows that aren't near to it are then compared
+    with all rows of the group, again in blocks. A group of copies takes linear work so.
+    """
+    rows = rows.select(*keys, *row, size)
+    id_, zero, yes, no = row[0], F.lit(0), F.lit(True), F.lit(False)
+
+    def compared(parts: DataFrame, with_keys: bool) -> DataFrame:
+        told = [*keys, *row[1:]] if with_keys else []
+        types = dict(rows.dtypes)
+        schema = ", ".join(["a long", "b long", *(f"{k} {types[k]}" for k in told)])
+        return map_blocks(attach(parts), keys, _stars(near, row, keys if with_keys else []), ["a", "b", *told], schema)
+
+    whole = rows.where(F.col(size) <= block).drop(size)
+    edges = compared(whole.select("*", zero.alias("lo"), zero.alias("hi"), yes.alias("left"), yes.alias("right")), False)
+    large = rows.where(F.col(size) > block)
+    if large.isEmpty():
+        return checkpointed(edges.distinct())
+    parts = F.ceil(F.col(size) / block).cast("int")
+    own = F.pmod(F.xxhash64(id_, F.lit(9)), parts).cast("int")
+    middle = large.groupBy(*keys).agg(F.min(F.struct(*row)).alias("m"), F.max(size).alias(size)).select(*keys, "m.*", size)
+    members = large.select(*keys, *row, own.alias("lo"), zero.alias("hi"), yes.alias("left"), no.alias("right"))
+    middles = middle.select(*keys, *row, F.explode(F.sequence(zero, parts - 1)).alias("lo"), zero.alias("hi"), no.alias("left"), yes.alias("right"))
+    star = checkpointed(compared(members.unionByName(middles), True))
+    # rows that the middle one isn't near to
+    known = star.select(*keys, F.col("a").alias(id_), *row[1:]).unionByName(middle.select(*keys, *row)).distinct()
+    apart = checkpointed(large.join(known, [*keys, *row], "left_anti"))
+    out = edges.unionByName(star.where("a <> b").select("a", "b"))
+    if not apart.isEmpty():
+        apart = with_group_count(apart, keys, id_, "open")
+        counts = apart.groupBy(*keys).agg(F.max("open").alias("open"))
+        salted = counts.withColumn("_salt", F.explode(F.sequence(zero, F.lit(SALTS - 1))))
+        slices = F.ceil(F.col("open") / block).cast("int")
+        lefts = large.withColumn("_salt", F.pmod(F.xxhash64(id_, F.lit(5)), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"])
+        lefts = lefts.select(*keys, *row, own.alias("lo"), F.explode(F.sequence(zero, slices - 1)).alias("hi"), yes.alias("left"), no.alias("right"))
+        slot = F.pmod(F.xxhash64(id_, F.lit(13)), slices).cast("int")
+        rights = apart.select(*keys, *row, F.explode(F.sequence(zero, parts - 1)).alias("lo"), slot.alias("hi"), no.alias("left"), yes.alias("right"))
+        out = out.unionByName(compared(lefts.unionByName(rights), False))
+    return checkpointed(out.distinct())
+
+
 def smallest_reachable(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each of ``ids``, the smallest id reachable over the links (positions a, b)."""
     by_id = np.argsort(ids, kind="stable")

@@ -1,21 +1,30 @@
 """MinHash near-duplicates by an LSH forest, confirmed on full shingle sets.
 
-Each tree of the forest is an order of the documents by a run of MinHash values; documents
-that share a long prefix of a run are neighbours. The depth follows the region: where few
-documents share the first ``SHALLOW`` values all of them are candidates; a region with more
-than ``REGION`` documents is taken at the next depth; one that is still large is compared
-block by block, so that no candidate is dropped. Candidates are passed over only where a bound
-proves that they aren't similar: each document counts its shingles in ``SKETCH`` bins, and the
-sum of the smaller counts of two documents is at least the number of shingles they share. The
-others tie documents into candidate clusters. Inside each cluster every pair of documents is compared by full
-shingle sets, again block by block, and confirmed links make the components.
-
-Documents with equal shingle sets are one class and are compared once. Edges are stars, at
-most one per document and block, never all pairs.
+Each tree of the forest is an order of the documents by a signature, a run of ``DEPTH``
+MinHash values. The orders are range-sorted over the cluster; the longest common prefix of
+each document with its sorted neighbours tells which documents lie in a region, at any depth.
+The depth follows the region: a document takes the least depth from ``SHALLOW`` on at which
+at most ``REGION`` documents share its prefix, at most the full length. All documents of a
+region are candidates, also where it is large at the full length.
+
+A pair of similarity 0.8 agrees in a full signature with a probability of 0.8**DEPTH, so all
+trees miss it with one below 4e-5, however deep the regions are; that is the only loss.
+Candidates are passed over only where a bound proves that they aren't similar: each document
+counts its shingles in ``SKETCH`` bins, and the sum of the smaller counts of two documents is
+at least the number of shingles they share. The others tie documents into candidate clusters.
+Inside each cluster full shingle sets are compared, and confirmed links make the components.
+
+Regions and clusters of more than ``BLOCK`` documents are compared in blocks, first all with
+one middle document (linear), then those it isn't linked with against all
+(:func:`blocks.edges_in_groups`). Documents with equal shingle sets are one class and are
+compared once. Edges are stars, at most one per document and block, never all pairs.
 
 Defined results: null texts and texts without words have no shingles and link with nothing;
 shorter texts than a shingle are one shingle; exact and repeated rows link with each other;
-an empty table gives no rows.
+rows that share a doc_id but not the text are one document with several texts, which links
+with whatever one of them links with; a row with a null doc_id links as others do, but isn't
+the smallest of its group, and component_id is null where no row of the group has a doc_id;
+doc_ids are longs below 2**63 - 2**41; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,14 +36,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import SALTS, in_blocks, map_blocks, smallest_reachable, with_bucket_size
+from .blocks import SALTS, edges_in_groups, with_bucket_size
 from .common import checkpointed, connected_components
 
 WORDS = 5
 SIMILARITY = 80  # percent
-TREES = 20
+TREES = 26
 SHALLOW = 3
-DEPTH = 4
+DEPTH = 5
 SKETCH = 512
 REGION = 32
 BLOCK = 512
@@ -48,8 +57,8 @@ _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
 _PLACE = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
-_MULTIPLY = _RNG.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)
-_ADD = _RNG.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64)
+_MULTIPLY = _RNG.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)[:, None] | np.uint32(1)
+_ADD = _RNG.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)[:, None]
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -102,23 +111,14 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 def min_hashes(shingles: np.ndarray) -> np.ndarray:
-    """The smallest of each hash function's values over a set, 32 bits each."""
-    low = np.full(TREES * DEPTH, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(shingles), 2048):
-        part = shingles[i : i + 2048]
-        np.minimum(low, (part[:, None] * _MULTIPLY + _ADD).min(0), out=low)
-    return low >> np.uint64(32)
-
-
-def _tree_keys(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per tree a hash of the first SHALLOW and of the first DEPTH values."""
-    runs = low.reshape(TREES, DEPTH)
-    h = np.zeros(TREES, np.uint64)
-    for d in range(DEPTH):
-        h = _mixed(h * _STEP + runs[:, d] + np.uint64(d + 1))
-        if d == SHALLOW - 1:
-            shallow = h
-    return shallow.view(np.int64), h.view(np.int64)
+    """The smallest of each hash function's 32-bit values over a set."""
+    low = np.full(TREES * DEPTH, np.iinfo(np.uint32).max, np.uint32)
+    short = (shingles >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(short), 512):
+        values = _MULTIPLY * short[i : i + 512]
+        values += _ADD
+        np.minimum(low, values.min(1), out=low)
+    return low
 
 
 def _sketch(shingles: np.ndarray) -> bytes:
@@ -127,141 +127,186 @@ def _sketch(shingles: np.ndarray) -> bytes:
     return np.minimum(bins, 255).astype(np.uint8).tobytes()
 
 
+#: ids of rows without a doc_id, above all others
+_NAMELESS = (1 << 63) - (1 << 41)
+
+
+def row_node(doc_id: str = "doc_id", text_key: str = "text_key"):
+    """The id by which a row is compared: its doc_id, else a number from its text above all doc_ids."""
+    return F.coalesce(F.col(doc_id), F.lit(_NAMELESS) + F.pmod(F.col(text_key), F.lit(1 << 40)))
+
+
+def text_key(text: str = "text"):
+    """A number by which the rows of one doc_id with different texts are told apart."""
+    return F.xxhash64(F.coalesce(F.concat(F.lit("t"), F.col(text)), F.lit("")))
+
+
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, set_key, shallow, deep (keys by tree), sketch; one pass over the texts."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """doc_id, node, text_key, n_shingles, set_key, runs (a signature by tree), sketch; one pass over the texts."""
+    rows = docs.select("doc_id", text_key().alias("text_key"), "text").withColumn("node", row_node())
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            found = []
+            for text in pdf["text"]:
                 s = shingle_set(text, words)
                 if not len(s):
-                    rows.append((doc, 0, None, None, None, None))
+                    found.append((0, None, None, None))
                     continue
-                low = min_hashes(s)
-                shallow, deep = _tree_keys(low)
-                rows.append((doc, len(s), hashlib.md5(s.tobytes()).digest(), shallow, deep, _sketch(s)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "shallow", "deep", "sketch"])
+                raw = min_hashes(s).astype(">u4").tobytes()  # bytes in this order sort as the values do
+                runs = [raw[i : i + 4 * DEPTH] for i in range(0, len(raw), 4 * DEPTH)]
+                found.append((len(s), hashlib.md5(s.tobytes()).digest(), runs, _sketch(s)))
+            out = pdf[["doc_id", "node", "text_key"]].reset_index(drop=True)
+            more = ["n_shingles", "set_key", "runs", "sketch"]
+            out[more] = pd.DataFrame(found, columns=more, index=out.index)
+            yield out
+
+    return rows.mapInPandas(run, "doc_id long, node long, text_key long, n_shingles long, set_key binary, runs array<binary>, sketch binary")
+
+
+def _neighbours(batches) -> pd.DataFrame | None:
+    """All rows of one sorted partition, and the values of their runs."""
+    held = [pdf for pdf in batches if len(pdf)]
+    if not held:
+        return None
+    rows = pd.concat(held, ignore_index=True)
+    return rows, np.frombuffer(b"".join(rows["run"]), ">u4").reshape(len(rows), DEPTH)
 
-    return docs.select("doc_id", "text").mapInPandas(
-        run, f"doc_id {kind}, n_shingles long, set_key binary, shallow array<long>, deep array<long>, sketch binary"
-    )
 
+def _prefix_lengths(rows: pd.DataFrame, runs: np.ndarray) -> np.ndarray:
+    """The longest common prefix of each row with the one before it, -1 where another tree begins."""
+    out = np.full(len(rows), -1)
+    same = rows["tree"].to_numpy()[1:] == rows["tree"].to_numpy()[:-1]
+    alike = np.logical_and.accumulate(runs[1:] == runs[:-1], axis=1).sum(1)
+    out[1:] = np.where(same, alike, -1)
+    return out
 
-def _tied(percent: int):
-    def work(part: pd.DataFrame) -> list[tuple]:
-        """Star edges of the documents of a block that may be similar by the bound of their sketches."""
-        ids = part["rep"].to_numpy()
-        own, apart = part["own"].to_numpy(), part["lo"].iloc[0] != part["hi"].iloc[0]
-        if len(ids) == 2 and apart and own[0] == own[1]:
-            return []
-        s = np.frombuffer(b"".join(part["sketch"]), np.uint8).reshape(len(ids), SKETCH)
+
+def forest_regions(classes: DataFrame) -> DataFrame:
+    """(rep, text_key, region, depth, bucket_size) of the documents that share a region with another one, by tree.
+
+    ``classes`` has rep, text_key and runs. The runs of all trees are range-sorted. A region
+    may lie over several partitions: of each partition, the prefixes of its first and last row
+    with their numbers of rows (a handful of numbers) are added up on the driver.
+    """
+    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = classes.select("rep", "text_key", F.posexplode("runs").alias("tree", "run"))
+    order = ["tree", "run", "rep", "text_key"]
+    placed = checkpointed(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+    depths = range(SHALLOW, DEPTH + 1)
+
+    def borders(batches):
+        if (found := _neighbours(batches)) is None:
+            return
+        rows, runs = found
+        common, out = _prefix_lengths(rows, runs), []
+        for d in depths:
+            starts = np.flatnonzero(common < d)
+            ends = np.append(starts[1:], len(rows))
+            for k in {0, len(starts) - 1}:
+                at = starts[k]
+                out.append((int(rows["tree"].iloc[at]), d, rows["run"].iloc[at][: 4 * d], int(ends[k] - at)))
+        yield pd.DataFrame(out, columns=["tree", "depth", "prefix", "n"])
+
+    at_borders: dict[tuple[int, int, bytes], int] = {}
+    for r in placed.mapInPandas(borders, "tree int, depth int, prefix binary, n long").collect():  # a few rows per partition
+        key = r["tree"], r["depth"], bytes(r["prefix"])
+        at_borders[key] = at_borders.get(key, 0) + r["n"]
+
+    def regions(batches):
+        if (found := _neighbours(batches)) is None:
+            return
+        rows, runs = found
+        common, tree = _prefix_lengths(rows, runs), rows["tree"].to_numpy()
+        depth, size = np.zeros(len(rows), np.int32), np.zeros(len(rows), np.int64)
+        for d in depths:
+            starts = np.flatnonzero(common < d)
+            ends = np.append(starts[1:], len(rows))
+            sizes = ends - starts
+            for k in {0, len(starts) - 1}:
+                sizes[k] = at_borders[int(tree[starts[k]]), d, rows["run"].iloc[starts[k]][: 4 * d]]
+            now = np.repeat(sizes, ends - starts)
+            fits = (depth == 0) & ((now <= REGION) | (d == DEPTH))
+            depth[fits], size[fits] = d, now[fits]
+        key = _mixed(tree.astype(np.uint64) * _STEP + depth.astype(np.uint64))
+        for d in range(DEPTH):
+            key = np.where(d < depth, _mixed(key * _STEP + runs[:, d].astype(np.uint64) + np.uint64(1)), key)
+        out = rows[["rep", "text_key"]].assign(region=key.view(np.int64), depth=depth, bucket_size=size)
+        yield out[size > 1]
+
+    return checkpointed(placed.mapInPandas(regions, "rep long, text_key long, region long, depth int, bucket_size long"))
+
+
+def _may_be_similar(percent: int):
+    def near(part: pd.DataFrame):
+        """Whether documents may be similar by the bound of their sketches."""
+        s = np.frombuffer(b"".join(part["sketch"]), np.uint8).reshape(len(part), SKETCH)
         sizes = s.sum(1, dtype=np.int64)
         open_ended = s.max(1) == 255  # counts that stop at 255 prove nothing
-        a, b = [], []
-        group = np.arange(len(ids))
-        for i in range(len(ids) - 1):
-            if (group == group[0]).all():
-                break
-            most = np.minimum(s[i + 1 :], s[i]).sum(1, dtype=np.int64)
-            near = 100 * most >= percent * (sizes[i] + sizes[i + 1 :] - most)
-            near |= open_ended[i + 1 :] | open_ended[i]
-            if apart:
-                near &= own[i + 1 :] != own[i]
-            hit = np.flatnonzero(near) + i + 1
-            if len(hit):
-                a.append(np.full(len(hit), i))
-                b.append(hit)
-                if len(ids) > 2:
-                    joined = np.isin(group, group[np.r_[i, hit]])
-                    group[joined] = group[joined].min()
-        if not a:
-            return []
-        root = smallest_reachable(ids, np.concatenate(a), np.concatenate(b))
-        moved = root != ids
-        return list(zip(ids[moved].tolist(), root[moved].tolist(), strict=True))
-
-    return work
-
-
-def _confirmed(words: int, percent: int):
-    def work(part: pd.DataFrame) -> list[tuple]:
-        """Star edges of the documents of a block that are linked by their full sets."""
-        ids = part["rep"].to_numpy()
-        own, apart = part["own"].to_numpy(), part["lo"].iloc[0] != part["hi"].iloc[0]
+
+        def test(i: int, others: np.ndarray) -> np.ndarray:
+            most = np.minimum(s[others], s[i]).sum(1, dtype=np.int64)
+            return (100 * most >= percent * (sizes[i] + sizes[others] - most)) | open_ended[others] | open_ended[i]
+
+        return test
+
+    return near
+
+
+def _similar(words: int, percent: int):
+    def near(part: pd.DataFrame):
+        """Whether documents are similar by their full sets."""
         sets = [shingle_set(x, words) for x in part["text"]]
         sizes = np.array([len(x) for x in sets])
-        starts = np.r_[0, np.cumsum(sizes)[:-1]]
+        starts = np.r_[0, np.cumsum(sizes)]
         # numbers instead of hashes; a document's own numbers are marked to count what others share with it
         numbers = np.unique(np.concatenate(sets), return_inverse=True)[1]
         marked = np.zeros(int(numbers.max()) + 1, np.int32)
-        a, b = [], []
-        group = np.arange(len(ids))
-        for i in range(len(ids) - 1):
-            if (group == group[0]).all():
-                break
-            mine = numbers[starts[i] : starts[i] + sizes[i]]
+
+        def test(i: int, others: np.ndarray) -> np.ndarray:
+            mine = numbers[starts[i] : starts[i + 1]]
             marked[mine] = 1
-            shared = np.add.reduceat(marked[numbers[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1])
+            low, high = others[0], others[-1] + 1
+            shared = np.add.reduceat(marked[numbers[starts[low] : starts[high]]], starts[low:high] - starts[low])[others - low]
             marked[mine] = 0
-            near = 100 * shared >= percent * (sizes[i] + sizes[i + 1 :] - shared)
-            if apart:
-                near &= own[i + 1 :] != own[i]
-            hit = np.flatnonzero(near) + i + 1
-            if len(hit):
-                a.append(np.full(len(hit), i))
-                b.append(hit)
-                joined = np.isin(group, group[np.r_[i, hit]])
-                group[joined] = group[joined].min()
-        if not a:
-            return []
-        root = smallest_reachable(ids, np.concatenate(a), np.concatenate(b))
-        moved = root != ids
-        return list(zip(ids[moved].tolist(), root[moved].tolist(), strict=True))
+            return 100 * shared >= percent * (sizes[i] + sizes[others] - shared)
 
-    return work
+        return test
 
-
-def _edges(df: DataFrame) -> DataFrame:
-    return checkpointed(df.distinct())
+    return near
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of (doc_id, text); doc_id is a long.
+    """doc_id, n_shingles, component_id, kept, text_key, group_id of every row of (doc_id, text).
 
     Documents are linked with 100 * shared shingles >= percent * all shingles of both.
+    group_id is alike for all rows of a group, also where they have no doc_id; null without shingles.
     """
-    signed = checkpointed(signatures(docs, words))
-    full = signed.where("set_key is not null").withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    signed = checkpointed(signatures(docs.select(F.col("doc_id").cast("long"), "text"), words))
+    full = signed.where("set_key is not null").withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
     # classes of equal sets; counted and joined per salt, so that large classes are spread
-    fine = full.groupBy("set_key", "_salt").agg(F.min("doc_id").alias("low"))
+    fine = full.groupBy("set_key", "_salt").agg(F.min("node").alias("low"), F.min_by("text_key", "node").alias("text_key"))
     fine = checkpointed(fine.withColumn("rep", F.min("low").over(Window.partitionBy("set_key"))))
-    heads = fine.where("rep = low").select(F.col("rep"))
-    classes = checkpointed(
-        full.select(F.col("doc_id").alias("rep"), "shallow", "deep", "sketch").join(heads, "rep", "left_semi").dropDuplicates(["rep"])
+    heads = fine.where("rep = low").select("rep", "text_key", "set_key")
+    member = full.select(F.col("node").alias("rep"), "text_key", "set_key", "runs", "sketch")
+    classes = checkpointed(member.join(heads, ["rep", "text_key", "set_key"], "left_semi").dropDuplicates(["rep", "text_key"]))
+
+    row = ["rep", "text_key"]
+    sketches = classes.select(*row, "sketch")
+    tied = edges_in_groups(
+        forest_regions(classes.select(*row, "runs")), ["region"], row, lambda x: x.join(sketches, row), _may_be_similar(percent), BLOCK
     )
-
-    # the forest: (tree, key at a depth) with the documents of the region
-    light = classes.select("rep", F.posexplode(F.arrays_zip("shallow", "deep")).alias("tree", "k"))
-    light = light.select("rep", "tree", F.col("k.shallow").alias("key"), F.col("k.deep").alias("deep"))
-    regions = checkpointed(with_bucket_size(light, ["tree", "key"], "rep"))
-    small = regions.where(f"bucket_size <= {REGION}").drop("deep")
-    deeper = regions.where(f"bucket_size > {REGION}").select("rep", (F.col("tree") + TREES).alias("tree"), F.col("deep").alias("key"))
-    large = with_bucket_size(deeper, ["tree", "key"], "rep")
-    blocks = in_blocks(small.unionByName(large), "rep", BLOCK)
-    sketched = blocks.join(classes.select("rep", "sketch"), "rep")
-    tied = _edges(map_blocks(sketched, ["tree", "key"], _tied(percent), ["a", "b"], "a long, b long"))
-
     # candidate clusters, and inside them the links by full sets
     clusters = connected_components(tied).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    placed = with_bucket_size(checkpointed(clusters), ["cluster"], "rep")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(placed, "rep").dropDuplicates(["rep"])
-    links = _edges(map_blocks(in_blocks(texts, "rep", BLOCK), ["cluster"], _confirmed(words, percent), ["a", "b"], "a long, b long"))
+    placed = checkpointed(with_bucket_size(clusters.join(classes.select(*row), "rep"), ["cluster"], "rep"))
+    texts = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), "text").select(row_node().alias("rep"), "text_key", "text")
+    links = edges_in_groups(placed, ["cluster"], row, lambda x: x.join(texts, row), _similar(words, percent), BLOCK)
     components = connected_components(links).withColumnRenamed("node", "rep")
 
     # classes learn their component by rep, documents by (set, salt): a class of very many copies stays spread
-    settled = fine.join(components, "rep", "left").select("set_key", "_salt", F.coalesce("component", "rep").alias("component_id"))
-    known = full.select("doc_id", "n_shingles", "set_key", "_salt").join(settled, ["set_key", "_salt"]).select("doc_id", "n_shingles", "component_id")
-    bare = signed.where("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return known.unionByName(bare).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    settled = fine.join(components, "rep", "left").select("set_key", "_salt", F.coalesce("component", "rep").alias("group_id"))
+    known = full.select("doc_id", "n_shingles", "text_key", "set_key", "_salt").join(settled, ["set_key", "_salt"]).drop("set_key", "_salt")
+    known = known.withColumn("component_id", F.when(F.col("group_id") < _NAMELESS, F.col("group_id")))
+    bare = signed.where("set_key is null").select("doc_id", "n_shingles", "text_key", F.lit(None).cast("long").alias("group_id"), F.col("doc_id").alias("component_id"))
+    both = known.unionByName(bare).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return both.select("doc_id", "n_shingles", "component_id", "kept", "text_key", "group_id")

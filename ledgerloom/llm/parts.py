@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: bytes of text that are encoded together; one text may be longer, and then is a chunk of its own
-CHUNK = 32 << 20
+CHUNK = 16 << 20
 
 
 def text_chunks(batches: Iterable[pa.RecordBatch], text: str, size: int = CHUNK) -> Iterator[pa.Table]:

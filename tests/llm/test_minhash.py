@@ -91,8 +91,8 @@ def test_the_sketch_rejects_no_similar_pair(n):
         both = rng.integers(0, 1 << 63, n, dtype=np.uint64)
         more = int(n / share) - n
         sets = [np.r_[both, rng.integers(0, 1 << 63, k, dtype=np.uint64)] for k in (more // 2, more - more // 2)]
-        part = pd.DataFrame({"rep": [1, 2], "own": 0, "lo": 0, "hi": 0, "sketch": [minhash._sketch(x) for x in sets]})
-        assert minhash._tied(80)(part) == [(2, 1)]
+        part = pd.DataFrame({"rep": [1, 2], "sketch": [minhash._sketch(x) for x in sets]})
+        assert minhash._may_be_similar(80)(part)(0, np.array([1])).all()
 
 
 def test_odd_texts(spark):
@@ -102,6 +102,54 @@ def test_odd_texts(spark):
     assert minhash.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_large_groups_with_rows_apart(spark, monkeypatch):
+    """The middle row of a large cluster is near to few others; links among the rest are found by blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 6)
+    monkeypatch.setattr(minhash, "REGION", 4)
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(60):  # chains: each text is near to the one before it only
+        if i % 15:
+            words = [*words[2:], f"w{100 + 2 * i}", f"w{101 + 2 * i}"]
+        rows.append((i if i % 2 else 500 - i, " ".join(words)))
+    rnd.shuffle(rows)
+    assert as_dict(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4)) == brute(rows, 4)
+
+
+def test_regions_have_the_least_depth_that_fits(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "REGION", 3)
+    rnd = random.Random(8)
+    runs = {i: [tuple(rnd.choice([[1], [1, 2], [1, 2, 3]][d % 3]) for d in range(minhash.DEPTH)) for _ in range(2)] for i in range(60)}
+    raw = [(i, 0, [np.array(r, ">u4").tobytes() for r in rs]) for i, rs in runs.items()]
+    df = spark.createDataFrame(raw, "rep long, text_key long, runs array<binary>").repartition(5)
+    got = {}
+    for r in minhash.forest_regions(df).collect():
+        got.setdefault(r["region"], []).append(r)
+    want = []
+    for t in range(2):
+        done = set()
+        for d in range(minhash.SHALLOW, minhash.DEPTH + 1):
+            by = {}
+            for i in runs.keys() - done:
+                by.setdefault(runs[i][t][:d], set()).add(i)
+            for members in by.values():
+                if len(members) <= 3 or d == minhash.DEPTH:
+                    done |= members
+                    if len(members) > 1:
+                        want.append((d, sorted(members)))
+    assert sorted((rs[0]["depth"], sorted(r["rep"] for r in rs)) for rs in got.values()) == sorted(want)
+    assert all(r["bucket_size"] == len(rs) for rs in got.values() for r in rs)
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (7, "g h i j k l"), (7, "m n o p q r"), (9, "M n o p q r"), (None, "g h i j k l"), (None, None)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"] or 0), (r["component_id"] or 0), r["kept"]) for r in got) == [(0, 0, True)] * 3 + [(0, 7, False)] + [(7, 7, True)] * 2 + [(9, 7, False)]
+    groups = [r["group_id"] for r in got if r["doc_id"] is None and r["component_id"] is None and r["n_shingles"]]
+    assert len(groups) == 2 and len(set(groups)) == 1
+
+
 def test_repeated_rows(spark):
     got = minhash.near_duplicates(spark.createDataFrame([(5, "a b c d e"), (5, "a b c d e"), (3, "A b c d e")], "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(3, 3), (5, 3), (5, 3)]

@@ -258,7 +258,7 @@ LETTERS = st.text(alphabet="ab eé  \n\t\r1239.,!'st 　\x1c\x85漢字😀%lrve
 def test_encoding_equals_the_library(vocabulary, library, text):
     want = library.encode_ordinary(text)
     assert vocabulary.encode(text) == want
-    assert [t for u in tokens.units(text) for t in vocabulary.encode(u)] == want
+    assert tokens.encoder(MULTI, public_tokenizers.PATTERN)(large_strings(pa.array([text])))[0].tolist() == want
     assert vocabulary.decode(want) == text.encode()
 
 

@@ -3,8 +3,7 @@
 A page becomes a tree of elements. Every node gets its composite text density: the
 characters per tag of its subtree, adjusted by the share of characters and tags that stand
 in links. A node's density sum adds up the densities of its children; the node with the
-largest sum is the centre of the content; an article or main element around it is taken
-whole. Otherwise the smallest text density (characters outside links per tag, which unlike
+largest sum is the centre of the content, whatever its tag. The smallest text density (characters outside links per tag, which unlike
 the composite density doesn't grow with size) on the path from the centre up to the body is
 the threshold, and the blocks beside the path are judged by it one by one, in page order.
 Below the threshold a block stays where the page's main heading joins it with the centre, or
@@ -46,7 +45,7 @@ _SELF_CLOSING = {
 }
 _DROPPED = frozenset(
     "head script style noscript template svg math canvas object embed iframe audio video nav footer aside form button select input "
-    "textarea label dialog menu search map".split()
+    "textarea dialog menu search map".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _NOISE = re.compile(
@@ -265,9 +264,6 @@ def content(body: Node) -> tuple[Node, dict[int, set[int]]]:
         path.append(node)
         node = node.parent
     path.append(body)
-    whole = next((x for x in path if x.tag in ("article", "main")), None)
-    if whole is not None:  # an article holds its heading and its other blocks
-        return whole, {}
     threshold = min(map(_text_density, path))
     # the main heading is one of the highest rank; what it joins with the centre is one article
     rank = min((x.tag for x in order if x.tag in _HEADINGS and x.chars), default=None)

@@ -13,11 +13,16 @@ layer are read. Of one that breaks off, what comes out before is scanned, and it
 in ``n_truncated``. Bytes of a compressed layer that are no UTF-8 become replacement signs;
 base64 without compression is scanned in its readable stretches.
 
+Escapes that lie more than ``DEEP`` layers deep are taken off at once by one pass from left to
+right, so that a text of nothing but escaped escapes takes linear time; the layers between
+aren't scanned one by one there.
+
 Defined results: a null text counts as empty; empty texts have no spans; a payload that
 cannot be decoded is left as it is; compressed layers over ``max_layer_bytes`` are counted in
-``n_oversize`` and scanned in overlapping pieces of at most that size, but a compressed layer
-directly inside such a one is not unpacked. Repeated rows give repeated results; other
-columns pass through.
+``n_oversize``, unpacked as a stream through all compressed layers inside them, and scanned in
+overlapping pieces: memory doesn't grow with them. What is longer than the overlap of 64 KB
+may be found in two spans there, and base64 is then decoded piece by piece. Repeated rows give
+repeated results; other columns pass through.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ import base64
 import binascii
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -65,7 +71,9 @@ _LEAST = 12
 _FEED, _PIECE, _OVERLAP = 4096, 4 << 20, 1 << 16
 _FAULTS = (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError)
 
-MAX_LAYER_BYTES = 256 << 20
+MAX_LAYER_BYTES = 32 << 20
+#: from so many layers on escapes are taken off all at once
+DEEP = 24
 
 
 def find_spans(text: str) -> list[tuple[int, int, int]]:
@@ -168,6 +176,72 @@ def _unicode(layer: _Layer) -> _Layer | None:
     return _rewritten(layer, runs()) if "\\" in layer.text else None
 
 
+_HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
+#: escapes as they end: the sign before the digits, and their number
+_ENDINGS = (("%", 2), ("\\x", 2), ("\\u", 4), ("\\U", 8))
+
+
+def _settled(layer: _Layer) -> _Layer | None:
+    """The layer without any escapes, nested ones too: each sign is put down, and what then ends in an escape is replaced."""
+    out: list[tuple[str, int, int]] = []  # signs, bytes above 127 as \udcXX, with their places
+
+    def ending() -> tuple[int, int] | None:
+        """How many signs the escape at the end has, and its code."""
+        if out[-1][0] == "}":
+            for n in range(5, min(len(out), 10) + 1):
+                if out[-n][0] == "\\":
+                    shown = "".join(c for c, _, _ in out[-n:])
+                    m = _UNICODE_ONE.fullmatch(shown)
+                    return (n, int(m[1], 16)) if m and m[1] and int(m[1], 16) < 0x110000 else None
+            return None
+        if out[-1][0] not in _HEX_DIGITS:
+            return None
+        for sign, digits in _ENDINGS:
+            n = len(sign) + digits
+            if len(out) >= n and out[-n][0] == sign[0]:
+                shown = "".join(c for c, _, _ in out[-n:])
+                if shown.startswith(sign) and _HEX_DIGITS.issuperset(shown[len(sign) :]):
+                    code = int(shown[len(sign) :], 16)
+                    if sign == "%" and code > 127:
+                        return n, 0xDC00 + code
+                    return (n, code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
+        return None
+
+    changed = False
+    for i, c in enumerate(layer.text):
+        out.append((c, i, i + 1))
+        while (found := ending()) is not None:
+            n, code = found
+            out[-n:] = [(chr(code), out[-n][1], out[-1][2])]
+            changed = True
+    if not changed:
+        return None
+
+    def runs():
+        at, last = 0, len(out)
+        while at < last:
+            c, s, e = out[at]
+            if not "\udc80" <= c <= "\udcff" or e - s == 1:
+                if c != layer.text[s:e]:
+                    yield s, e, [(c, s, e)]
+                at += 1
+                continue
+            end = at
+            while end < last and "\udc80" <= out[end][0] <= "\udcff" and out[end][2] - out[end][1] > 1:
+                end += 1
+            chars, k = [], at
+            for x in bytes(ord(b) - 0xDC00 for b, _, _ in out[at:end]).decode("utf-8", "surrogateescape"):
+                n = 1 if "\udc80" <= x <= "\udcff" else len(x.encode())
+                s, e = out[k][1], out[k + n - 1][2]
+                # a byte that is no part of a character stays escaped
+                chars += [(x, s, e)] if n > 1 else [(d, s, e) for d in f"%{ord(x) - 0xDC00:02X}"]
+                k += n
+            yield out[at][1], out[end - 1][2], chars
+            at = end
+
+    return _rewritten(layer, runs())
+
+
 class _Cut(bytes):
     """What came out of a compressed layer that breaks off."""
 
@@ -244,6 +318,65 @@ def _unpacked(raw: bytes, limit: int) -> bytes | None:
     return _Cut(b"".join(parts)) if cut else b"".join(parts)
 
 
+def _inflated(pieces):
+    """The output of the members that come in pieces; None where one breaks off."""
+    tool, limits, held = None, (), b""
+    for piece in pieces:
+        if piece is None:
+            yield None
+            continue
+        held, at = held + piece, 0
+        while at < len(held):
+            if tool is None:
+                while held[at : at + 1] == b"\x00":
+                    at += 1
+                if len(held) - at < 8:
+                    break
+                if (found := _tool(held[at : at + 8])) is None:
+                    return
+                tool, _, limits = found
+            feed = held[at : at + _FEED]
+            at += len(feed)
+            try:
+                while True:
+                    out = tool.decompress(feed, *limits)
+                    if out:
+                        yield out
+                    if tool.eof:
+                        at, tool = at - len(tool.unused_data), None
+                        break
+                    if getattr(tool, "needs_input", True):
+                        break
+                    feed = b""
+            except Exception as e:
+                if not isinstance(e, _FAULTS) and type(e).__name__ != "ZstdError":
+                    raise
+                yield None
+                return
+        held = held[at:]
+    if tool is not None:
+        yield None
+
+
+def _stream(pieces, seen: frozenset = frozenset()):
+    """The pieces, through all compressed layers that are in them, one in the other."""
+    head, cut = b"", False
+    pieces = iter(pieces)
+    for piece in pieces:
+        cut |= piece is None
+        head += piece or b""
+        if len(head) >= _FEED:
+            break
+    if cut:
+        yield None
+    whole = itertools.chain([head], pieces)
+    start = head[:_FEED]
+    if start in seen or not _unpacked(start, 1 << 30):  # it unpacks to itself, or is no compressed layer
+        yield from whole
+    else:
+        yield from _stream(_inflated(whole), seen | {start})
+
+
 def _overlapping(pieces, limit: int):
     """Pieces of at most ``limit`` bytes, each beginning with the end of the one before it."""
     size = max(min(limit, _PIECE), 2)
@@ -258,6 +391,15 @@ def _overlapping(pieces, limit: int):
         yield held
 
 
+def _told(pieces, cut: list[bool]):
+    """The pieces; ``cut`` gets an entry for each that tells of a layer that breaks off."""
+    for piece in pieces:
+        if piece is None:
+            cut.append(True)
+        else:
+            yield piece
+
+
 def _run(text: str, start: int, end: int):
     """The signs of a base64 run without its line ends, the place of each, and where payloads may begin."""
     places, parts, lines, at = array("q"), [], [0], start
@@ -292,8 +434,11 @@ def _packed(raw: bytes, where, limit: int):
             raw, packed = bytes(out), True
     except OverflowError:
         yield OVERSIZE
-        for piece in _overlapping(_members(raw), limit):
+        cut: list[bool] = []
+        for piece in _overlapping(_told(_stream(_members(raw)), cut), limit):
             yield _Layer(piece.decode("utf-8", "replace"), fixed=where)
+        if cut:
+            yield TRUNCATED
         return
     if packed and raw and raw != first:
         yield _Layer(raw.decode("utf-8", "replace"), fixed=where)
@@ -333,8 +478,8 @@ def _blobs(layer: _Layer, limit: int):
                 yield _Layer(text, starts, ends)
 
 
-def _below(layer: _Layer, limit: int):
-    yield from filter(None, (_percent(layer), _unicode(layer)))
+def _below(layer: _Layer, limit: int, depth: int = 0):
+    yield from filter(None, (_settled(layer),) if depth == DEEP else (_percent(layer), _unicode(layer)))
     yield from _blobs(layer, limit)
 
 
@@ -356,7 +501,7 @@ def _unwrap(text: str, max_layer_bytes: int = MAX_LAYER_BYTES) -> tuple[list, li
             for s, k, e in find_spans(below.text):
                 s, e = below.span(s, e)
                 spans.add((s, k, e))
-            work.append(_below(below, max_layer_bytes))
+            work.append(_below(below, max_layer_bytes, len(work)))
     return base, sorted(spans), layers, marks[OVERSIZE], marks[TRUNCATED]
 
 
@@ -430,5 +575,6 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
 def secrets_report(docs: DataFrame) -> DataFrame:
     """The digest columns of query op4."""
     return scan_secrets(docs.select("doc_id", "text")).select(
-        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_layers"
-    )
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans",
+        "n_layers", "n_oversize", "n_truncated",
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,11 +19,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in local tests, a temporary folder is made.
+    Only a session in local mode, as in tests, gets a temporary folder where that is unset;
+    on a cluster it is an error, since executors don't share such a folder.
     """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
 
@@ -32,6 +37,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def drawn(df: DataFrame, rows: int, most: int, *keys: str, seed: int = 0) -> DataFrame:
+    """About ``most`` of the ``rows`` rows of ``df``, the same ones at each run: those whose hash of ``keys`` is small.
+
+    Nothing is sorted, and each partition gives its share only. Many equal rows fall in or out
+    together, so what is brought to the driver is also limited to four times ``most``.
+    """
+    share = min(1.0, most / max(rows, 1))
+    return df.where(F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 40)) < int(share * (1 << 40))).limit(4 * most)
+
+
 def with_rank(df: DataFrame, *keys: str, rank: str = "rank", partitions: int | None = None, weight: str | None = None) -> DataFrame:
     """Add the gapless position (from 0) of each row in the order of ``keys``.
 

@@ -3,18 +3,21 @@
 A rotation of the centred vectors is learned on a bounded sample (at most ``FIT_ROWS``
 vectors, documented bound, near copies among them taken once) by alternating between binary codes and the orthogonal matrix
 that maps the vectors closest to them; bits are cut at sample medians, so they are
-balanced. Codes are split into substrings, one hash table each: near vectors agree in at
-least one substring with a probability of ``RECALL`` or more at the threshold itself (and
-more above it); the width of the substrings follows the size of the largest label and the
-number of tables follows from width and threshold. Whatever meets in a table is ranked by
-the cosine of the original vectors in double precision.
+balanced. Codes are split into substrings, one hash table each; the width of the substrings
+follows the size of the largest label, and the number of tables is planned so that a pair at
+the threshold itself agrees in a substring with a probability of ``RECALL`` (pairs above it
+with more). Centring by the mean takes more from the cosine of vectors that lie on the mean's
+side, so the plan takes the ``SIDE`` quantile of the sample's products with the mean.
+Whatever meets in a table is ranked by the cosine of the original vectors in double precision.
 
 Equal vectors of one label are compared once. A pair that meets in several tables counts
 in the first one only; links are counted inside blocks, and no pairs are emitted.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components,
-and vectors without a label, link with nothing; vectors of different lengths never link;
-repeated rows count as vectors of their own; an empty table gives no rows.
+and vectors without a label, link with nothing; very small and very large components are
+scaled before lengths are taken; vectors of different lengths never link; repeated rows count
+as vectors of their own; different vectors with one vec_id are one vec_id with the links of
+all of them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,23 +29,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import SALTS, in_blocks, map_blocks, smallest_reachable, with_bucket_size
-from .common import checkpointed, connected_components
+from .common import checkpointed, connected_components, drawn
 
 THRESHOLD = 0.93
 FIT_ROWS = 8192
 RECALL = 0.998
+SIDE = 0.99
 ROUNDS = 50
 BUCKET = 32
 BLOCK = 512
 _SEED = 3
 
 
+def unit_vectors(vectors: np.ndarray) -> np.ndarray:
+    """Rows divided by their lengths; first by the largest component, so that no square is lost or too large."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
 def thinned(sample: np.ndarray, threshold: float = THRESHOLD, seed: int = _SEED) -> np.ndarray:
     """Unit vectors of a sample without near copies, so that no large group of copies shapes the code.
 
     Padded with random directions where hardly any vectors remain.
     """
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    unit = unit_vectors(sample)
     kept = unit[:0]
     for i in range(0, len(unit), 256):
         part = unit[i : i + 256]
@@ -80,18 +90,20 @@ class Quantiser:
         self.cuts = np.median(x @ self.planes, axis=0)
 
     def bits(self, vectors: np.ndarray) -> np.ndarray:
-        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        return (unit - self.mean) @ self.planes > self.cuts
+        return (unit_vectors(vectors) - self.mean) @ self.planes > self.cuts
 
 
-def table_plan(largest: int, threshold: float = THRESHOLD, recall: float = RECALL, mean_square: float = 0.0) -> tuple[int, int]:
-    """Bits of a substring and the number of tables for labels of up to ``largest`` vectors.
+def centred_cosine(sample: np.ndarray, threshold: float) -> float:
+    """The cosine that is left after centring of a pair of unit vectors at the threshold, on the side of the mean."""
+    mean = sample.mean(0)
+    square, side = float(mean @ mean), float(np.quantile(sample @ mean, SIDE))
+    lost = 2 * side - square
+    return max((threshold - lost) / max(1 - lost, 1e-9), 0.1)
 
-    ``mean_square`` is the squared length of the mean unit vector, which centring takes away
-    from the cosine of a pair.
-    """
+
+def table_plan(largest: int, centred: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
+    """Bits of a substring and the number of tables for labels of up to ``largest`` vectors, for pairs of a cosine after centring."""
     width = min(16, max(4, round(math.log2(max(largest, 1) / BUCKET))))
-    centred = max((threshold - mean_square) / max(1 - mean_square, 1e-9), 0.1)
     same = 1 - math.acos(min(centred, 1.0)) / math.pi  # a bit's chance to agree at the threshold
     return width, math.ceil(math.log(1 - recall) / math.log(1 - same**width))
 
@@ -114,22 +126,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, fit_rows:
     fine = checkpointed(fine.select(*same, "_salt", F.min("low").over(over).alias("rep"), F.sum("n").over(over).alias("copies"), F.col("low")))
     classes = fine.where("rep = low").select("rep", "label", "embedding", "copies", F.size("embedding").alias("dims"))
 
-    sizes = classes.groupBy("label", "dims").count().groupBy("dims").agg(F.max("count").alias("largest")).collect()  # one row per length
+    counts = classes.groupBy("label", "dims").count().groupBy("dims")
+    sizes = counts.agg(F.max("count").alias("largest"), F.sum("count").alias("n")).collect()  # one row per length
     if not sizes:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    draw = classes.select("dims", "embedding").orderBy(F.xxhash64("rep", F.lit(_SEED)), "rep").limit(fit_rows).collect()
+    draw = drawn(classes.select("rep", "dims", "embedding"), sum(r["n"] for r in sizes), fit_rows, "rep", seed=_SEED).collect()
     by_length: dict[int, list] = {}
-    for r in draw:
+    for r in sorted(draw):
         by_length.setdefault(r["dims"], []).append(r["embedding"])
     plans, models = {}, {}
     for r in sizes:
         sample = thinned(np.array(by_length.get(r["dims"]) or np.eye(r["dims"])), threshold)
-        width, tables = plans[r["dims"]] = table_plan(r["largest"], threshold, mean_square=float((sample.mean(0) ** 2).sum()))
+        width, tables = plans[r["dims"]] = table_plan(r["largest"], centred_cosine(sample, threshold))
         models[r["dims"]] = Quantiser(sample, width * tables)
 
     def coded(batches):
         for pdf in batches:
-            out = pdf[["rep"]].copy()
             keys = np.empty(len(pdf), dtype=object)
             for d, at in pdf.groupby("dims").indices.items():
                 width, tables = plans[d]
@@ -137,20 +149,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, fit_rows:
                 found = bits.reshape(len(at), tables, width) @ (1 << np.arange(width))
                 for i, k in zip(at, found.astype(np.int64), strict=True):
                     keys[i] = k
-            out["keys"] = keys
-            yield out
+            yield pdf.assign(keys=keys)
 
-    codes = classes.select("rep", "embedding", "dims").mapInPandas(coded, "rep long, keys array<long>")
-    classes = checkpointed(classes.join(codes, "rep"))
-    light = classes.select("rep", "label", "dims", F.posexplode("keys").alias("table", "key"))
+    classes = classes.withColumn("class", F.monotonically_increasing_id())
+    kinds = ", ".join(f"{c} {t}" for c, t in classes.dtypes)
+    classes = checkpointed(classes.mapInPandas(coded, f"{kinds}, keys array<long>"))
+    light = classes.select("class", "label", "dims", F.posexplode("keys").alias("table", "key"))
     bucket = ["label", "dims", "table", "key"]
-    blocks = in_blocks(with_bucket_size(light, bucket, "rep"), "rep", BLOCK)
-    full = blocks.join(classes.select("rep", "embedding", "copies", "keys"), "rep")
+    blocks = in_blocks(with_bucket_size(light, bucket, "class"), "class", BLOCK)
+    full = blocks.join(classes.select("class", "rep", "embedding", "copies", "keys"), "class").drop("class")
 
     def compare(part):
         ids = part["rep"].to_numpy()
         x = np.stack(part["embedding"].to_numpy()).astype(float)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = unit_vectors(x)
         keys, copies = np.stack(part["keys"].to_numpy()), part["copies"].to_numpy()
         table, own, lo, hi = int(part["table"].iloc[0]), part["own"].to_numpy(), part["lo"].iloc[0], part["hi"].iloc[0]
         near = x @ x.T >= threshold

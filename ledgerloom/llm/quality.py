@@ -6,7 +6,7 @@ statistics: random splits on random statistics; documents that few splits set ap
 anomalous. The score 2**(-path/expected path) is compared with a threshold that is
 calibrated on all labelled rows, through a histogram of scores by label.
 
-The forest is fitted on at most ``FIT_ROWS`` rows (documented bound): labelled rows
+The forest is fitted on about ``FIT_ROWS`` rows (documented bound): labelled rows
 where there are labels, else any rows. Counts, scores and the threshold cover all rows.
 
 Defined results: a null or empty text has zero counts and fails the base rules; rows are
@@ -20,10 +20,11 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, drawn
 
 FIT_ROWS = 8192
 TREES = 100
@@ -36,7 +37,7 @@ MIN_WORDS = 50
 _SEED = 7
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-STATISTICS = ["f_word", "f_symbols", "f_repeat", "f_upper"]
+STATISTICS = ["f_word", "f_symbols", "f_dup_lines", "f_repeat", "f_upper"]
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -77,24 +78,28 @@ def text_counts(text: str | None) -> tuple[tuple[int, ...], tuple[float, ...]]:
             again[found + k] = True
         repeat = int(again.sum())
     w = max(n, 1)
-    stats = (word_chars / w, symbols / w, repeat / w, upper / w)
+    stats = (word_chars / w, symbols / w, dup / max(len(lines), 1), repeat / w, upper / w)
     return (n, word_chars, symbols, dup, repeat), stats
 
 
-def rule_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, the five counts and the statistics of each row; one pass, no shuffle."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _counted(docs: DataFrame, keep: list[str], mark: str = "") -> DataFrame:
+    """The columns ``keep`` with the five counts and the statistics of each row's text; one pass, no shuffle."""
 
     def run(batches):
-        for pdf in batches:
-            found = [text_counts(x) for x in pdf["text"]]
-            out = pdf[["doc_id"]].reset_index(drop=True)
-            out[COUNTS] = pd.DataFrame([c for c, _ in found], columns=COUNTS, dtype="int64")
-            out[STATISTICS] = pd.DataFrame([s for _, s in found], columns=STATISTICS, dtype="float64")
-            yield out
+        for batch in batches:
+            found = [text_counts(x) for x in batch.column("text").to_pylist()]
+            columns = [batch.column(c) for c in keep]
+            columns += [pa.array([c[k] for c, _ in found], pa.int64()) for k in range(len(COUNTS))]
+            columns += [pa.array([s[k] for _, s in found], pa.float64()) for k in range(len(STATISTICS))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(mark + c for c in (*COUNTS, *STATISTICS))])
+
+    kinds = [f"`{c}` {t}" for c, t in docs.select(keep).dtypes] + [f"{mark}{c} long" for c in COUNTS] + [f"{mark}{c} double" for c in STATISTICS]
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, ", ".join(kinds))
+
 
-    columns = [f"{c} long" for c in COUNTS] + [f"{c} double" for c in STATISTICS]
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, {', '.join(columns)}")
+def rule_statistics(docs: DataFrame) -> DataFrame:
+    """doc_id, the five counts and the statistics of each row."""
+    return _counted(docs, ["doc_id"])
 
 
 def expected_path(n) -> np.ndarray:
@@ -191,9 +196,9 @@ def calibrated(stats: DataFrame, labels: DataFrame | None, fit_rows: int = FIT_R
     pools = [known.where(f"n_words >= {min_words}")] if known is not None else []
     forest = None
     for pool in [*pools, stats.where("n_words > 0")]:
-        rows = pool.select(*STATISTICS).orderBy(F.xxhash64("doc_id", *STATISTICS), *STATISTICS).limit(fit_rows).collect()
+        rows = drawn(pool.select("doc_id", *STATISTICS), pool.count(), fit_rows, "doc_id", *STATISTICS, seed=_SEED).select(*STATISTICS).collect()
         if len(rows) >= 32:
-            forest = IsolationForest(np.array(rows, dtype=float))
+            forest = IsolationForest(np.array(sorted(rows), dtype=float))
             break
     judge = Judge(forest, DEFAULT_THRESHOLD, min_words)
     if known is None or not forest:
@@ -229,16 +234,24 @@ def judged(docs: DataFrame, labels: DataFrame | None, fit_rows: int = FIT_ROWS,
     return stats.mapInPandas(verdict, f"doc_id {kind}, {columns}, base_failed boolean, score double, kept boolean, threshold double")
 
 
+#: before the names of the columns that keep_good adds for a while
+_MARK = "_rule_"
+
+
 def keep_good(docs: DataFrame, labels: DataFrame | None, fit_rows: int = FIT_ROWS, min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of ``docs`` that the verdict keeps, with all their columns; no shuffle of the texts."""
-    judge = calibrated(checkpointed(rule_statistics(docs)), labels, fit_rows, min_words)
+    """The rows of ``docs`` that the verdict keeps, with all their columns; no shuffle of the texts.
+
+    Each text is counted once: the rows with their statistics are written to the shared folder.
+    """
+    rows = checkpointed(_counted(docs, docs.columns, _MARK))
+    stats = rows.select("doc_id", *(F.col(_MARK + c).alias(c) for c in (*COUNTS, *STATISTICS)))
+    judge, columns = calibrated(stats, labels, fit_rows, min_words), docs.columns
 
     def run(batches):
-        for pdf in batches:
-            found = [text_counts(x) for x in pdf["text"]]
-            counts = np.array([c for c, _ in found], dtype=np.int64).reshape(-1, len(COUNTS))
-            failed = judge.base_failed(counts[:, 0], counts[:, 4])
-            scores = judge.scores(np.array([s for _, s in found], dtype=float).reshape(-1, len(STATISTICS)))
-            yield pdf[~failed & (scores < judge.threshold)]
+        for batch in batches:
+            of = lambda c: batch.column(_MARK + c).to_numpy(zero_copy_only=False)
+            failed = judge.base_failed(of("n_words"), of("n_repeat_words"))
+            scores = judge.scores(np.stack([of(c) for c in STATISTICS], axis=1))
+            yield batch.select(columns).filter(pa.array(~failed & (scores < judge.threshold)))
 
-    return docs.mapInPandas(run, docs.schema)
+    return rows.mapInArrow(run, docs.schema)

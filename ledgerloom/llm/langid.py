@@ -230,7 +230,7 @@ def predict(docs: DataFrame, model: BiGRU | None, text: str = "text", lang_pred:
             pdf[lang_pred], pdf[score] = pred, best
             yield pdf
 
-    return docs.mapInPandas(run, f"{kinds}, {lang_pred} string, {score} double")
+    return docs.mapInPandas(run, f"{kinds}, `{lang_pred}` string, `{score}` double")
 
 
 def held_out():
@@ -238,7 +238,11 @@ def held_out():
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def languages_of(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with held_out, lang_pred and score; learns from rows that aren't held out."""
-    model = train(docs.where(~F.coalesce(held_out(), F.lit(False))).select("doc_id", "text", "lang"))
-    return predict(docs.drop("held_out").withColumn("held_out", F.coalesce(held_out(), F.lit(False))), model)
+def languages_of(docs: DataFrame, lang_pred: str = "lang_pred", score: str = "score", held: str = "held_out") -> DataFrame:
+    """All columns of ``docs`` with held_out, lang_pred and score; learns from rows that aren't held out.
+
+    Columns of ``docs`` with the names of the three are replaced.
+    """
+    out = F.coalesce(held_out(), F.lit(False))
+    model = train(docs.where(~out).select("doc_id", "text", "lang"))
+    return predict(docs.drop(held).withColumn(held, out), model, lang_pred=lang_pred, score=score)

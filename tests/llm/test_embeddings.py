@@ -68,6 +68,33 @@ def test_odd_vectors_link_with_nothing(spark):
     assert got == {i: (0, i, True) for i in (1, 2, 3, 4, 5, 6, 7, 10, 11)} | {8: (1, 8, True), 9: (1, 8, False)}
 
 
+def test_very_small_and_very_large_components(spark):
+    rng = np.random.default_rng(6)
+    rows = vectors(40)
+    for k, scale in enumerate((1e-200, 1e200, 5e-324 * 2**40, 1e-300)):
+        v = rng.standard_normal(16)
+        rows += [(100 + 10 * k + i, [float(x) for x in (v + rng.standard_normal(16) * 0.01) * scale], 0) for i in range(3)]
+    scaled = [(i, [x / max(map(abs, v)) for x in v], lab) for i, v, lab in rows]
+    assert as_dict(embeddings.near_duplicates(spark.createDataFrame(rows, KIND.replace("float", "double")))) == brute(scaled)
+
+
+def test_one_vec_id_with_several_vectors(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(spark.createDataFrame(rows, KIND)).collect())
+    assert got == [(1, 2, 1), (1, 2, 1), (2, 1, 1), (3, 1, 1)]
+
+
+def test_the_plan_counts_what_centring_takes():
+    rng = np.random.default_rng(3)
+    unit = embeddings.unit_vectors(rng.standard_normal((3000, 32)) + np.r_[2.0, np.zeros(31)])
+    left = embeddings.centred_cosine(unit, 0.93)
+    pairs = unit[:1000] * 0.93 + np.sqrt(1 - 0.93**2) * embeddings.unit_vectors(
+        (x := rng.standard_normal((1000, 32))) - (x * unit[:1000]).sum(1, keepdims=True) * unit[:1000]
+    )
+    a, b = unit[:1000] - unit.mean(0), pairs - unit.mean(0)
+    assert 0.1 < left < np.quantile((a * b).sum(1) / np.linalg.norm(a, axis=1) / np.linalg.norm(b, axis=1), 0.1) < 0.93
+
+
 def test_empty_table_and_repeated_rows(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], KIND)).collect() == []
     got = embeddings.near_duplicates(spark.createDataFrame([(1, [1.0, 0.0], 0)] * 3, KIND)).collect()
@@ -76,7 +103,7 @@ def test_empty_table_and_repeated_rows(spark):
 
 def test_more_width_needs_more_tables():
     plans = [embeddings.table_plan(n) for n in (10, 1_000, 100_000, 10_000_000)]
-    assert embeddings.table_plan(1_000, mean_square=0.5)[1] > plans[1][1]
+    assert embeddings.table_plan(1_000, centred=0.7)[1] > plans[1][1]
     assert plans == sorted(plans)
 
 

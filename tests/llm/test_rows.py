@@ -196,6 +196,31 @@ def test_stages_take_odd_rows(spark):
                 assert out.columns == table.columns
 
 
+def test_near_dedup_keeps_rows_without_an_id(spark):
+    from corpus_pipeline import STAGES
+
+    stage = dict(STAGES)["MinHash near-dedup"]
+    texts = [" ".join(f"{w}{i}" for i in range(30)) for w in "abc"]
+    rows = [(None, texts[0], 1), (None, texts[0], 2), (None, texts[1], 3), (7, texts[1], 4), (8, texts[2], 5), (8, texts[2], 6), (8, texts[0] + " x", 7), (9, None, 8), (9, "", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score int").withColumn("text_key", F.lit("clash"))
+    got = stage(spark, df, SF)
+    assert got.columns == df.columns
+    # the rows with 8 are one document, so texts 0 and 2 are of one group, whose smallest doc_id is 8
+    left = sorted((r["doc_id"] or 0, r["score"]) for r in got.collect())
+    assert len(left) == 4 and [d for d, _ in left] == [7, 8, 9, 9] and left[0] == (7, 4)
+
+
+def test_columns_named_as_results_stay(spark):
+    from corpus_pipeline import STAGES
+
+    text = " ".join(f"word{i} the" for i in range(60))
+    df = spark.createDataFrame([(1, text, "en", "mine", 5)], "doc_id long, text string, lang string, score string, f_word int")
+    for name, stage in STAGES[2:4]:
+        assert [tuple(r) for r in stage(spark, df, SF).collect()] == [(1, text, "en", "mine", 5)], name
+    found = langid.languages_of(df, "_l", "_s", "_h").first()
+    assert found["score"] == "mine" and found["_l"] == "en"
+
+
 @pytest.mark.parametrize("missing", ["rows"])
 def test_unlabelled_corpus(spark, missing):
     df = spark.createDataFrame([(1, "some text")], "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))

@@ -115,6 +115,55 @@ def test_all_zstd_frames_are_read():
     assert "assign:2:" in found(f"x {base64.b64encode(pack(NOISE) + pack(SECRET) + b'junk').decode()} y")
 
 
+def test_deep_escapes_take_linear_time():
+    import time
+
+    for nested, open_ in (("%" + "25" * 40_000 + "41KIAABCDEFGHIJKLMNOPQRST", "%"), ("\\u005c" + "u005c" * 15_000 + "u0041KIAABCDEFGHIJKLMNOPQRST", "\\")):
+        began = time.process_time()
+        spans = secrets.unwrap("x " + nested)[1]
+        assert time.process_time() - began < 30
+        assert (2, 1, 2 + len(nested)) in spans and nested.startswith(open_)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["%", "25", "41", "\\", "u0025", "x41", "U00000041", "u{41}", "5c", "C3", "%C3%A9", "é", "2", "5", "u", "z"]), max_size=14).map("".join))
+def test_settled_layers_hold_no_escapes(text):
+    layer = secrets._settled(secrets._Layer(text))
+    if layer is not None:
+        assert len(layer.starts) == len(layer.ends) == len(layer.text)
+        assert all(0 <= s < e <= len(text) for s, e in zip(layer.starts, layer.ends))
+    # the same as taking off layers one by one, where these end
+    plain = secrets._Layer(text)
+    while True:
+        if (below := secrets._percent(plain)) is None and (below := secrets._unicode(plain)) is None:
+            break
+        plain = below
+    if "\\" not in text and not re.search("%[89A-Fa-f]", plain.text):
+        assert (layer.text if layer else text) == plain.text
+
+
+def test_layers_in_oversize_ones_are_streamed():
+    inner = gzip.compress(b"x y " * 100_000 + b" password=hunter2hunter2 ")
+    outer = zlib.compress(gzip.compress(inner + gzip.compress(b" token=abcdef123456")))
+    text = "blob " + base64.b64encode(outer).decode()
+    _, spans, layers, oversize, truncated = secrets._unwrap(text, 1 << 12)
+    assert (5, 0, len(text)) in spans and oversize == 1 and not truncated
+    broken = "blob " + base64.b64encode(zlib.compress(gzip.compress(b"x y " * 100_000 + b"password=hunter2hunter2" + bytes(100))[:-30])).decode()
+    assert secrets._unwrap(broken, 1 << 12)[3:] == (1, 1)
+
+
+def test_memory_of_large_layers_is_flat():
+    import resource
+
+    size = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    packer = zlib.compressobj(1)
+    raw = b"".join(packer.compress(b"some words of a log " * 50_000) for _ in range(300)) + packer.compress(b" password=hunter2hunter2 ") + packer.flush()
+    text = base64.b64encode(raw).decode()
+    _, spans, _, oversize, _ = secrets._unwrap(text)
+    assert (0, 0, len(text)) in spans and oversize == 1
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - size < 400 << 10  # KB, for 300 MB
+
+
 @pytest.mark.parametrize("bad", [b"\xff", b"\x00", b"\x00\x01\xfe\x80"])
 def test_unpacked_layers_need_not_be_clean_text(bad):
     assert "assign:" in found(base64.b64encode(gzip.compress(NOISE + bad + SECRET)).decode())

@@ -17,6 +17,7 @@ kinds the threshold is ``DEFAULT_THRESHOLD``.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,8 @@ MIN_WORDS = 50
 _SEED = 7
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-STATISTICS = ["f_word", "f_symbols", "f_dup_lines", "f_repeat", "f_upper"]
+#: f_repeat is the share of words in repeated windows or in repeated lines, whichever is larger
+STATISTICS = ["f_word", "f_symbols", "f_repeat", "f_upper"]
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -78,7 +80,12 @@ def text_counts(text: str | None) -> tuple[tuple[int, ...], tuple[float, ...]]:
             again[found + k] = True
         repeat = int(again.sum())
     w = max(n, 1)
-    stats = (word_chars / w, symbols / w, dup / max(len(lines), 1), repeat / w, upper / w)
+    # words of repeated lines, first ones included: lines of one or two words needn't make a repeated window
+    in_lines = 0
+    if dup:
+        times = Counter(lines)
+        in_lines = sum(k * len(x.split()) for x, k in times.items() if k > 1)
+    stats = (word_chars / w, symbols / w, max(repeat, in_lines) / w, upper / w)
     return (n, word_chars, symbols, dup, repeat), stats
 
 

@@ -248,6 +248,12 @@ def test_counts_equal_plain_ones(text):
     assert quality.text_counts(text)[0] == plain_counts(text)
 
 
+def test_repeated_lines_reach_the_forest():
+    text = "\n".join(f"Read more\nword{i} only{i}" for i in range(60))
+    counts, stats = quality.text_counts(text)
+    assert counts[3] == 59 and counts[4] == 0 and stats[quality.STATISTICS.index("f_repeat")] == 0.5
+
+
 def test_forest_sets_outliers_apart():
     rng = np.random.default_rng(1)
     x = np.vstack([rng.normal(0, 1, (500, 3)), [[9, 9, 9]]])

@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.amounts import RATIO_INPUTS, is_extreme, missing_ratio_inputs, report_ratios
 from ..functions.text import is_unreliable_opinion, stripped
+from .ordering import materialised, ranked
 
 MAX_PEERS = 8
 MAX_REGION = 15
 MIN_SAMPLE = 2
 PREFIXES = [3, 2]
+#: places of the global order of amounts that one task looks at
+BLOCK = 10_000
 
 
 def year_order(year: Column) -> list[Column]:
@@ -63,34 +66,40 @@ def nearest(targets: DataFrame, pool: DataFrame, limit: int, code: str = "induty
     The longer common prefix counts if two or more other companies have it, else the shorter
     one. No pairs of an industry are formed: the nearest of a target stand within ``limit``
     distinct amounts on either side of its own, and of each amount only the ``limit`` + 1
-    smallest ids can be among them.
+    smallest ids can be among them. The amounts of all industries and both prefixes stand in
+    one global order, which is cut into blocks of ``BLOCK`` places, each with the ``limit``
+    places beside it; so an industry with very many companies is spread over tasks.
+    Both tables are used several times: pass written ones.
     """
-    found = counts = None
-    for n in PREFIXES:
-        prefix = F.substring(code, 1, n).alias("prefix")
-        mine = targets.where(F.length(code) >= n).select(F.col(key).alias("target_id"), F.col(amount).alias("at"), prefix)
-        theirs = pool.where(F.length(code) >= n).select(F.col(key).alias("peer_id"), F.col(amount).alias("at"), prefix)
-        first = Window.partitionBy("prefix", "at").orderBy("peer_id")
-        few = theirs.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit + 1)
-        amounts = few.groupBy("prefix", "at").agg(F.collect_list("peer_id").alias("ids"))
-        amounts = mine.select("prefix", "at").distinct().join(amounts, ["prefix", "at"], "full")
-        # distinct amounts of targets that nobody in the pool has stand between the others and widen the frame
-        held = F.count("ids").over(Window.partitionBy("prefix").orderBy("at"))
-        placed = amounts.withColumn("place", held)
-        side = F.struct(F.col("at").alias("amount"), "ids")
-        around = Window.partitionBy("prefix").orderBy("place").rangeBetween(-limit, limit)
-        placed = placed.withColumn("near", F.collect_list(F.when(F.col("ids").isNotNull(), side)).over(around)).select("prefix", "at", "near")
-        pairs = mine.join(placed, ["prefix", "at"]).select("target_id", "at", F.explode("near").alias("v"))
-        pairs = pairs.select("target_id", F.abs(F.col("v.amount") - F.col("at")).alias("distance"), F.explode("v.ids").alias("peer_id")).where("target_id <> peer_id")
-        by = Window.partitionBy("target_id").orderBy("distance", "peer_id")
-        ranked = pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit).withColumn("level", F.lit(n))
-        found = ranked if found is None else found.unionByName(ranked)
-        sizes = theirs.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
-        own = theirs.select(F.col("peer_id").alias("target_id"), "prefix").withColumn("self", F.lit(1))
-        c = mine.join(sizes, "prefix").join(own, ["target_id", "prefix"], "left")
-        c = c.select("target_id", (F.col("n") - F.coalesce("self", F.lit(0))).alias("n"), F.lit(n).alias("level"))
-        counts = c if counts is None else counts.unionByName(c)
-    level = counts.where(F.col("n") >= MIN_SAMPLE).groupBy("target_id").agg(F.max("level").alias("level"))
+    levels = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.substring(code, 1, n).alias("prefix")) for n in PREFIXES])).alias("l")
+    group = ["level", "prefix"]
+
+    def by_level(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(F.col(key).alias(name), F.col(amount).alias("at"), levels).select(name, "at", "l.*").where(F.length("prefix") == F.col("level"))
+
+    mine, theirs = by_level(targets, "target_id"), by_level(pool, "peer_id")
+    first = Window.partitionBy(*group, "at").orderBy("peer_id")
+    few = theirs.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit + 1)
+    amounts = few.groupBy(*group, "at").agg(F.collect_list("peer_id").alias("ids"))
+    amounts = mine.select(*group, "at").distinct().join(amounts, [*group, "at"], "full")
+    # amounts of targets that nobody in the pool has stand between the others and are not counted
+    placed = ranked(amounts, [*group, "at"], counted=F.col("ids").isNotNull())
+    block = lambda c: F.floor(c / BLOCK)
+    copies = F.when(F.col("ids").isNull(), F.array(block(F.col("place")))).otherwise(F.sequence(block(F.col("place") - limit), block(F.col("place") + limit)))
+    placed = placed.withColumn("block", F.explode(copies))
+    around = Window.partitionBy("block").orderBy("place").rangeBetween(-limit, limit)
+    side = F.struct(*group, F.col("at").alias("amount"), "ids")
+    placed = placed.withColumn("near", F.collect_list(F.when(F.col("ids").isNotNull(), side)).over(around)).where(F.col("block") == block(F.col("place")))
+    placed = placed.select(*group, "at", F.filter("near", lambda v: (v["level"] == F.col("level")) & (v["prefix"] == F.col("prefix"))).alias("near"))
+    pairs = mine.join(placed, [*group, "at"]).select("target_id", "level", "at", F.explode("near").alias("v"))
+    pairs = pairs.select("target_id", "level", F.abs(F.col("v.amount") - F.col("at")).alias("distance"), F.explode("v.ids").alias("peer_id")).where("target_id <> peer_id")
+    by = Window.partitionBy("target_id", "level").orderBy("distance", "peer_id")
+    found = pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit)
+    # the longest prefix that enough other companies have
+    sizes = theirs.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    own = pool.select(F.col(key).alias("target_id"), F.lit(1).alias("self"))
+    others = mine.join(sizes, group).join(own, "target_id", "left").select("target_id", "level", (F.col("n") - F.coalesce("self", F.lit(0))).alias("n"))
+    level = others.where(F.col("n") >= MIN_SAMPLE).groupBy("target_id").agg(F.max("level").alias("level"))
     return found.join(level, ["target_id", "level"]).select("target_id", "peer_id", "level", "rank", "distance")
 
 
@@ -101,7 +110,7 @@ def select_peers(targets: DataFrame, pool: DataFrame, limit: int = MAX_PEERS) ->
 
 def region_group(targets: DataFrame, pool: DataFrame, limit: int = MAX_REGION) -> DataFrame:
     """The target, then its neighbours; amounts under unreliable opinions are hidden, never the target's."""
-    near = nearest(targets, pool, limit).select("target_id", F.col("peer_id").alias("result_id"), "rank")
+    near = materialised(nearest(targets, pool, limit).select("target_id", F.col("peer_id").alias("result_id"), "rank"))
     own = near.select("target_id").distinct().select("target_id", F.col("target_id").alias("result_id"), F.lit(0).alias("rank"))
     rows = own.unionByName(near).join(pool, "result_id")
     is_target = F.col("rank") == 0
@@ -143,10 +152,11 @@ def peer_rows(pairs: DataFrame, pool: DataFrame) -> DataFrame:
 
 def report_payload(results: DataFrame, snapshots: DataFrame, pool: DataFrame) -> DataFrame:
     """(result_id, payload): the JSON of a company's report, for companies with a usable year."""
+    pool = materialised(pool)
     years = usable_years(snapshots)
     row = F.struct(F.col("fiscal_year").alias("year"), *[F.col(c) for c in RATIO_INPUTS])
     financials = years.groupBy("result_id").agg(F.array_sort(F.collect_list(row)).alias("financials"))
-    pairs = select_peers(pool, pool)
+    pairs = materialised(select_peers(pool, pool))
     peers = peer_rows(pairs, pool).join(industry_average(pairs, pool), "target_id").withColumnRenamed("target_id", "result_id")
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     company = F.struct(*[blank(c) for c in ("corp_name", "address", "ceo_name", "induty_name", "auditor_name", "audit_opinion")])

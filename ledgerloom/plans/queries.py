@@ -15,6 +15,7 @@ from ..functions import amounts as A
 from ..functions import fixed
 from ..functions import text as T
 from ..operators import bands, history, latest, matching, peers, predicates, quality, reshape, results
+from ..operators.ordering import materialised
 from . import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -400,7 +401,7 @@ RELIABLE = "(SELECT * FROM pool WHERE coalesce(audit_opinion, '') NOT LIKE '%의
 
 
 def _pool(spark, sf_dir) -> DataFrame:
-    return peers.peer_pool(result_rows(spark, sf_dir), snapshots(spark, sf_dir))
+    return materialised(peers.peer_pool(result_rows(spark, sf_dir), snapshots(spark, sf_dir)))
 
 
 @query(f"WITH {POOL} SELECT result_id, year, revenue, round(gross_margin, 9) AS gross_margin, round(operating_margin, 9) AS operating_margin FROM pool")
@@ -541,7 +542,7 @@ def tag_strip_window(spark, sf_dir):
 @query(f"""WITH {POOL}, {_nearest_sql(RELIABLE, 8)} SELECT u.result_id, count(*) AS n_years, min(u.fiscal_year) AS first_year, any_value(coalesce(k.n, 0)) AS n_peers
 FROM usable u LEFT JOIN (SELECT target_id, count(*) AS n FROM near GROUP BY 1) k ON k.target_id = u.result_id GROUP BY 1""")
 def payload_json(spark, sf_dir):
-    p = peers.report_payload(result_rows(spark, sf_dir).withColumn("auditor_name", F.col("auditor_name")), snapshots(spark, sf_dir), _pool(spark, sf_dir))
+    p = peers.report_payload(result_rows(spark, sf_dir).withColumn("auditor_name", F.col("auditor_name")), snapshots(spark, sf_dir), peers.peer_pool(result_rows(spark, sf_dir), snapshots(spark, sf_dir)))
     kind = "struct<financials:array<struct<year:string>>,peers:array<struct<name:string>>>"
     j = F.from_json("payload", kind)
     return p.select("result_id", F.size(j["financials"]).cast("bigint").alias("n_years"), j["financials"][0]["year"].alias("first_year"), F.coalesce(F.size(j["peers"]), F.lit(0)).cast("bigint").alias("n_peers"))

@@ -42,7 +42,8 @@ def signed_by_item(item: Column, value: Column) -> Column:
 
 
 def first_amount(*cells: Column) -> Column:
-    return F.coalesce(*[won_amount(c) for c in cells])
+    values = F.transform(F.array(*cells), won_amount)
+    return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
 
 
 def missing_items(values: dict[str, Column]) -> Column:

@@ -48,7 +48,7 @@ def repair_swapped(index: DataFrame, profiles: DataFrame, attributes: list[str])
     number = corporate_number(F.col("jurir_no"))
     mine = index.join(members, "corp_code").withColumn("_number", F.col("jurir_no"))
     source = mine.where("jurir_no is not null and jurir_no <> ''").select("name", "unit", F.col("_number").alias("_want"), F.struct(*attributes).alias("_from"))
-    source = source.groupBy("name", "unit", "_want").agg(F.first("_from").alias("_from"))
+    source = source.groupBy("name", "unit", "_want").agg(F.min("_from").alias("_from"))
     known = [c for c in profiles.columns if c in attributes and c != "jurir_no"]
     wanted = profiles.select("corp_code", number.alias("_want"), *[F.col(c).alias(f"_p_{c}") for c in known])
     fixed = mine.join(wanted, "corp_code").join(source, ["name", "unit", "_want"], "left")

@@ -71,11 +71,12 @@ def listing(results: DataFrame, job_id: int, keys: list[tuple[str, str]] = (), n
     return found.count(), page(found, list(keys), number, size)
 
 
-def value_histogram(df: DataFrame, column: str, q: str | None = None, limit: int = 2000) -> DataFrame:
-    """Non-blank values with their counts, the most frequent first."""
+def value_histogram(df: DataFrame, column: str, q: str | None = None, limit: int | None = 2000) -> DataFrame:
+    """Non-blank values with their counts, the most frequent first; all of them, unordered, with no ``limit``."""
     c = F.col(column)
     rows = df.where(~is_blank(c)).where(P.text_filter(c, P.checked_text(q)))
-    return rows.groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(min(max(limit, 1), 2000))
+    counts = rows.groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return counts if limit is None else counts.orderBy(F.desc("n"), "value").limit(max(limit, 1))
 
 
 def value_totals(df: DataFrame, column: str) -> DataFrame:

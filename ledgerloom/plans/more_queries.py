@@ -55,19 +55,21 @@ def quota_by_day(spark, sf_dir):
 # ---- matching
 
 
-@query("SELECT p_partkey, CAST(p_size AS VARCHAR) AS jurir_no, p_name AS induty_name FROM part WHERE p_partkey IN (SELECT p_partkey FROM part)")
+@query("""SELECT p.p_partkey, CAST(p.p_size AS VARCHAR) AS jurir_no, CASE WHEN p.p_partkey % 5 <> 0 OR m.p_partkey IS NULL THEN p.p_name END AS induty_name
+FROM part p JOIN part m ON m.p_partkey = CASE WHEN p.p_partkey % 2 = 0 THEN p.p_partkey + 1 ELSE p.p_partkey - 1 END""")
 def permutation_repair(spark, sf_dir):
-    """Pairs of rows whose attributes were swapped come back to their own codes."""
+    """Pairs of rows whose attributes were swapped come back to their own codes; where no row has a code's number, its profile is taken."""
     p = _table(spark, sf_dir, "part")
     pair = F.floor(F.col("p_partkey") / 2)
     own = p.select(F.col("p_partkey").alias("k"), F.concat_ws("-", F.col("p_size").cast("string"), F.col("p_partkey").cast("string")).alias("jurir_no"), F.col("p_name").alias("induty_name"))
     mate = F.when(F.col("k") % 2 == 0, F.col("k") + 1).otherwise(F.col("k") - 1)
-    swapped = own.select(mate.alias("k"), F.replace("jurir_no", F.lit("-"), F.lit("")).alias("jurir_no"), "induty_name")
+    lost = F.when(F.col("k") % 5 != 0, F.replace("jurir_no", F.lit("-"), F.lit("")))
+    swapped = own.select(mate.alias("k"), lost.alias("jurir_no"), "induty_name")
     index = p.select(F.col("p_partkey").alias("k"), F.col("p_partkey").cast("string").alias("corp_code"), pair.cast("string").alias("corp_name_norm"), F.lit("10").alias("crawl_induty_code")).join(swapped, "k")
     profiles = own.select(F.col("k").cast("string").alias("corp_code"), "jurir_no")
     fixed = matching.repair_swapped(index.drop("k"), profiles, ["jurir_no", "induty_name"])
     number = F.col("corp_code").cast("bigint")
-    size = F.expr("substring(jurir_no, 1, length(jurir_no) - length(corp_code))")
+    size = F.expr("substring(replace(jurir_no, '-', ''), 1, length(replace(jurir_no, '-', '')) - length(corp_code))")
     return fixed.select(number.alias("p_partkey"), size.alias("jurir_no"), "induty_name")
 
 
@@ -191,10 +193,9 @@ def reparse_overwrites(spark, sf_dir):
     return quality.overwritten(s, parsed, "k", ["revenue"]).groupBy("changed").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {SNAPSHOTS} SELECT count(*) * 24 AS n_rows FROM snapshots""")
+@query(f"""WITH {SNAPSHOTS} SELECT count(*) * 24 + (SELECT count(*) FROM orders WHERE o_orderkey % 3 = 0) AS n_rows FROM snapshots""")
 def selection_size(spark, sf_dir):
-    s = snapshots(spark, sf_dir)
-    return reshape.selection_size(s, s.limit(0))
+    return reshape.selection_size(snapshots(spark, sf_dir), _table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0"))
 
 
 @query(f"""WITH {SNAPSHOTS} SELECT period, count(*) AS n FROM (SELECT CASE WHEN year(o_orderdate) = CAST(fiscal_year AS INTEGER) THEN 'cur' WHEN year(o_orderdate) = CAST(fiscal_year AS INTEGER) + 1 THEN 'prv' END AS period

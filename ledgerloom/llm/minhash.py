@@ -192,9 +192,19 @@ def forest_regions(classes: DataFrame) -> DataFrame:
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = classes.select("rep", "text_key", F.posexplode("runs").alias("tree", "run"))
     order = ["tree", "run", "rep", "text_key"]
-    placed = checkpointed(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
     depths = range(SHALLOW, DEPTH + 1)
 
+    def neighbours(batches):
+        """Leaves out rows that share no region with the row before or behind; the first and last ones of a partition stay."""
+        if (found := _neighbours(batches)) is None:
+            return
+        near = np.append(_prefix_lengths(*found), SHALLOW) >= SHALLOW
+        near[0] = True
+        yield found[0][near[:-1] | near[1:]]
+
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed = checkpointed(ordered.mapInPandas(neighbours, ordered.schema))
+
     def borders(batches):
         if (found := _neighbours(batches)) is None:
             return

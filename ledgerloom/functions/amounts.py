@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,15 +19,26 @@ def whole_number(c: Column) -> Column:
     return F.coalesce(text.try_cast("decimal(38,10)").try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it stands in there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def won_amount(c: Column) -> Column:
     """The amount of a statement's cell: rule signs dropped, dashes are zero, parentheses negative."""
-    raw = stripped(F.coalesce(c, F.lit("")))
-    raw = F.when(raw.rlike(f"[{fixed.RULE_CHARS}]"), stripped(F.regexp_replace(raw, f"^[{fixed.RULE_CHARS}]+|[{fixed.RULE_CHARS}]+$", ""))).otherwise(raw)
-    bracketed = raw.startswith("(") & raw.endswith(")")
-    body = F.when(bracketed, F.regexp_replace(raw, r"^\(|\)$", "")).otherwise(raw)
-    body = F.regexp_replace(body, r"(?U)[,\s]", "")
-    value = F.when(body.isin(fixed.ZERO_AMOUNTS), F.lit(0).cast("decimal(20,0)")).otherwise(F.nullif(body, F.lit("")).try_cast("decimal(20,0)"))
-    return F.when(bracketed, -value).otherwise(value).try_cast("bigint")
+
+    def without_rules(raw: Column) -> Column:
+        edges = F.regexp_replace(raw, f"^[{fixed.RULE_CHARS}]+|[{fixed.RULE_CHARS}]+$", "")
+        return F.when(raw.rlike(f"[{fixed.RULE_CHARS}]"), stripped(edges)).otherwise(raw)
+
+    def amount(raw: Column) -> Column:
+        bracketed = raw.startswith("(") & raw.endswith(")")
+        body = F.regexp_replace(F.when(bracketed, F.regexp_replace(raw, r"^\(|\)$", "")).otherwise(raw), r"(?U)[,\s]", "")
+        zero = F.lit(0).cast("decimal(20,0)")
+        value = _bound(body, lambda x: F.when(x.isin(fixed.ZERO_AMOUNTS), zero).otherwise(F.nullif(x, F.lit("")).try_cast("decimal(20,0)")))
+        return F.when(bracketed, -value).otherwise(value).try_cast("bigint")
+
+    return _bound(_bound(stripped(F.coalesce(c, F.lit(""))), without_rules), amount)
 
 
 def signed_by_label(label: Column, value: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import address_parts, company_name, corporate_number, names_align
+from .ordering import materialised, ranked_within
 from .predicates import in_region
 
 ALLOWED_SHARE = 0.30
@@ -82,27 +83,47 @@ def resolve_homonyms(results: DataFrame, codes: DataFrame, filings: DataFrame, p
 
     A code is taken if it isn't used in the job, has filings, and lies where the result's
     address lies (or in the job's region, if that can't be told). Results of one name choose
-    one after the other by id, each taking the code out of the others' choice; this greedy
-    step runs per name, on the few rows that share it.
+    one after the other by id, the most recently changed code first, each taking its code out
+    of the others' choice. Where all addresses of a name tell the district, results and codes
+    of a district are matched by their places in two distributed orders. Only names with an
+    address that doesn't tell it are resolved name by name, in linear work and without pairs.
     """
     latest = filings.groupBy("corp_code").agg(F.max("rcept_no").alias("rcept_no"))
     lost = results.join(latest.select("corp_code"), "corp_code", "left_anti")
-    want = lost.select("id", company_name(F.col("corp_name")).alias("name"), F.col("corp_code").alias("assigned"), address_parts(F.col("address")).alias("w")).where("name <> ''")
+    want = lost.select("id", company_name(F.col("corp_name")).alias("name"), address_parts(F.col("address")).alias("w")).where("name <> ''").select("id", "name", "w.sido", "w.sigungu")
+    want = materialised(want)
     usable = codes.join(results.select("corp_code").distinct(), "corp_code", "left_anti").join(latest, "corp_code").join(profiles.select("corp_code", F.col("address").alias("_a")), "corp_code")
     usable = usable.select("corp_code", "rcept_no", company_name(F.col("corp_name")).alias("name"), F.coalesce("modify_date", F.lit("")).alias("modify_date"), address_parts(F.col("_a")).alias("p"))
-    near = F.when(F.col("w.sido").isNotNull(), (F.col("p.sido") == F.col("w.sido")) & (F.col("w.sigungu").isNull() | F.coalesce(F.col("p.sigungu") == F.col("w.sigungu"), F.lit(False))))
-    near = near.otherwise(in_region(F.col("p.sido"), F.col("p.sigungu"), region))
-    pairs = want.join(usable, "name").where(F.coalesce(near, F.lit(False))).select("name", "id", "corp_code", "rcept_no", "modify_date")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+    usable = usable.select("corp_code", "rcept_no", "name", "modify_date", "p.sido", "p.sigungu")
+    usable = materialised(usable.withColumn("in_region", in_region(F.col("sido"), F.col("sigungu"), region)))
+    vague = want.where("sido is null or sigungu is null").select("name").distinct()
+
+    place = ["name", "sido", "sigungu"]
+    mine = ranked_within(want.join(vague, "name", "left_anti"), place, [F.col("id")])
+    newest = [F.col("modify_date").desc(), F.col("corp_code").desc()]
+    theirs = ranked_within(usable.where("sido is not null and sigungu is not null").select(*place, "corp_code", "rcept_no", "modify_date"), place, newest)
+    exact = mine.join(theirs, [*place, "place"]).select("id", "corp_code", "rcept_no")
+
+    def greedy(want: pd.DataFrame, usable: pd.DataFrame) -> pd.DataFrame:
+        want, usable = (x.astype(object).where(x.notna(), None) for x in (want, usable))
+        usable = usable.sort_values(["modify_date", "corp_code"], ascending=False)
+        free: dict[tuple, list[tuple]] = {}  # by district, by province, in the region: the last one is next
+        for row in reversed(list(usable.itertuples(index=False))):
+            keys = {(row.sido, None)} if row.sido else set()
+            keys |= {(row.sido, row.sigungu)} if row.sigungu else set()
+            keys |= {(None, None)} if row.in_region else set()
+            for key in keys:
+                free.setdefault(key, []).append((row.corp_code, row.rcept_no))
         taken, out = set(), []
-        pdf = pdf.sort_values(["id", "modify_date", "corp_code"], ascending=[True, False, False])
-        for id_, own in pdf.groupby("id", sort=False):
-            for row in own.itertuples():
-                if row.corp_code not in taken:
-                    taken.add(row.corp_code)
-                    out.append((id_, row.corp_code, row.rcept_no))
-                    break
+        for row in want.sort_values("id").itertuples(index=False):
+            own = free.get((row.sido, row.sigungu or None), [])
+            while own and own[-1][0] in taken:
+                own.pop()
+            if own:
+                code, rcept_no = own.pop()
+                taken.add(code)
+                out.append((row.id, code, rcept_no))
         return pd.DataFrame(out, columns=["id", "corp_code", "rcept_no"])
 
-    return pairs.groupBy("name").applyInPandas(greedy, "id long, corp_code string, rcept_no string")
+    rest = want.join(vague, "name", "left_semi").groupBy("name").cogroup(usable.join(vague, "name", "left_semi").groupBy("name"))
+    return exact.unionByName(rest.applyInPandas(greedy, "id long, corp_code string, rcept_no string"))

@@ -27,13 +27,13 @@ def materialised(df: DataFrame) -> DataFrame:
 
 
 def ranked(df: DataFrame, keys: list, place: str = "place", counted=None) -> DataFrame:
-    """Add the place (from 1) of each row in the order of ``keys``; with ``counted``, only such rows are counted.
+    """Add the place (from 1) of each row in the order of ``keys``; ``counted`` says which rows count, or how often each does.
 
     The rows are range-partitioned and sorted; a row's place is its place in its partition plus
     the rows of the partitions before it. Two numbers per partition reach the driver.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    one = F.lit(1) if counted is None else counted.cast("int")
+    one = F.lit(1) if counted is None else counted.cast("long")
     placed = materialised(
         df.withColumn("_one", one).repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
     )
@@ -44,3 +44,24 @@ def ranked(df: DataFrame, keys: list, place: str = "place", counted=None) -> Dat
     offsets = df.sparkSession.createDataFrame(before, "_part int, _before long")
     inside = F.sum("_one").over(Window.partitionBy("_part").orderBy("_row"))
     return placed.withColumn(place, inside).join(F.broadcast(offsets), "_part").withColumn(place, F.col(place) + F.col("_before")).drop("_part", "_row", "_one", "_before")
+
+
+def ranked_within(df: DataFrame, groups: list[str], keys: list, place: str = "place") -> DataFrame:
+    """Add the place (from 1) of each row inside its group in the order of ``keys``.
+
+    All groups stand one behind the other in one range-sorted order, so that a group with very
+    many rows is spread. A row's place is its place in its partition plus the group's rows in
+    the partitions before it; of a group there is one number per partition.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*groups, *keys]
+    placed = materialised(df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}))
+    earlier = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    counts = counts.select(F.col("_part").alias("_p"), "_before", *[F.col(g).alias(f"_g_{g}") for g in groups])
+    same = F.col("_part") == F.col("_p")
+    for g in groups:
+        same &= F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    inside = F.row_number().over(Window.partitionBy("_part", *groups).orderBy("_row"))
+    rows = placed.withColumn("_inside", inside).join(counts, same)
+    return rows.select(*df.columns, (F.col("_inside") + F.col("_before")).alias(place))

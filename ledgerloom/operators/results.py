@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
 from . import predicates as P
+from .ordering import ranked_within
 
 SEARCHED = ["corp_name", "address", "ceo_name", "induty_name", "auditor_name"]
 CONTAINS = ["corp_name", "address", "induty_name"]
@@ -57,6 +58,11 @@ def order(keys: list[tuple[str, str]], tie: str = "id") -> list[Column]:
     return [F.col(c).desc_nulls_last() if way == "desc" else F.col(c).asc_nulls_last() for c, way in keys] + [F.col(tie).asc()]
 
 
+def with_place(df: DataFrame, keys: list[tuple[str, str]], groups: list[str], tie: str = "id") -> DataFrame:
+    """Add each row's place in the order of its job, also where one job has very many rows."""
+    return ranked_within(df, groups, order(keys, tie))
+
+
 def page(df: DataFrame, keys: list[tuple[str, str]], number: int = 1, size: int = 50, tie: str = "id") -> DataFrame:
     if number < 1 or not 1 <= size <= 500:
         raise P.BadRequest("page from 1, size from 1 to 500")

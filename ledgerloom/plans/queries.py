@@ -256,7 +256,7 @@ def tri_state_flags(spark, sf_dir):
 def multi_sort_nulls_last(spark, sf_dir):
     keys = results.sort_keys("revenue_cur:desc,unknown:asc,induty_name:asc,revenue_cur:asc", ["revenue_cur", "induty_name"])
     rows = result_rows(spark, sf_dir).where("job_id = 1")
-    return rows.select("id", "induty_name", "revenue_cur", F.row_number().over(Window.partitionBy("job_id").orderBy(*results.order(keys))).cast("bigint").alias("place"))
+    return results.with_place(rows.select("job_id", "id", "induty_name", "revenue_cur"), keys, ["job_id"]).drop("job_id")
 
 
 @query(f"WITH {RESULTS} SELECT id, revenue_cur FROM results WHERE job_id = 1 ORDER BY revenue_cur DESC NULLS LAST, id LIMIT 20 OFFSET 20")

@@ -104,6 +104,57 @@ def test_homonyms(spark):
     assert [tuple(r) for r in matching.resolve_homonyms(res, codes, fil, prof).collect()] == [(1, "REAL0001", "20240401000001")]
 
 
+def test_homonyms_equal_choosing_one_by_one(spark):
+    import random
+
+    rnd = random.Random(4)
+    places = ["경남 김해시", "경남 창원시", "부산 중구", "경남", "어디", ""]
+    names = ["유성", "(주)유성", "한빛", "대한"]
+    res = [(i, f"D{i}", rnd.choice(names), rnd.choice(places[:3] if i % 3 else places)) for i in range(40)]
+    res = [(i, c, n, "부산 중구" if n == "대한" else a) for i, c, n, a in res]
+    cod = [(f"C{i:02d}", rnd.choice(names), rnd.choice(["2024", "2023", None]), rnd.choice(places)) for i in range(50)]
+    kinds = ["id long, corp_code string, corp_name string, address string", "corp_code string, corp_name string, modify_date string", "corp_code string, rcept_no string", "corp_code string, address string"]
+    tables = [res, [c[:3] for c in cod], [(c[0], "R" + c[0]) for c in cod], [(c[0], c[3]) for c in cod]]
+    got = matching.resolve_homonyms(*[spark.createDataFrame(t, k) for t, k in zip(tables, kinds, strict=True)], region={"sido": ["경남"]})
+
+    def parts(a):
+        words = a.split()
+        sido = {"경남": "경상남도", "부산": "부산광역시"}.get(words[0]) if words else None
+        return sido, words[1] if sido and len(words) > 1 else None
+
+    taken, expected = set(), set()
+    for i, _, n, a in res:
+        w = parts(a)
+        for c, m, _, b in sorted(cod, key=lambda c: (c[2] or "", c[0]), reverse=True):
+            p = parts(b)
+            near = p[0] == w[0] and w[1] in (None, p[1]) if w[0] else p[0] == "경상남도"
+            if c not in taken and m.replace("(주)", "") == n.replace("(주)", "") and near:
+                taken.add(c)
+                expected.add((i, c, "R" + c))
+                break
+    assert {tuple(r) for r in got.collect()} == expected and len(expected) > 10
+
+
+def test_places_and_median(spark):
+    from statistics import median
+
+    from ledgerloom.operators.ordering import ranked_within
+
+    rows = [(g, v, i) for i, (g, v) in enumerate([(1, 5), (1, None), (None, 2), (None, 2), (1, 5), (2, 1), (1, 9)] * 5)]
+    df = spark.createDataFrame(rows, "job_id int, v int, id long")
+    got = {(r["job_id"], r["id"]): r["place"] for r in results.with_place(df, [("v", "desc")], ["job_id"]).collect()}
+    for g in (1, 2, None):
+        own = sorted((x for x in rows if x[0] == g), key=lambda x: (x[1] is None, -(x[1] or 0), x[2]))
+        assert [got[g, x[2]] for x in own] == list(range(1, len(own) + 1))
+    assert ranked_within(df.where("id < 0"), ["job_id"], ["id"]).count() == 0
+    for v in ([3.0], [1.0, 2.0], [2.0, 2.0, 7.0, None], [1.0, 1.0, 1.0, 4.0, 6.0, 9.0], []):
+        known = [x for x in v if x is not None]
+        assert bands.median(spark.createDataFrame([(x,) for x in v], "v double"), "v") == (median(known) if known else None)
+    some = spark.createDataFrame([(1, i, None if i % 3 == 0 else i * 10**9) for i in range(1, 9)], "job_id int, id long, ref_revenue long").withColumn("ref_total_assets", F.lit(None).cast("long"))
+    ranks = bands.band_rank(some, ["job_id"], revenue={"min_krw": 10**9, "max_krw": 4 * 10**9}, assets=None)
+    assert [r["band_rank"] for r in ranks.orderBy("score", "id").collect()] == list(range(1, 9))
+
+
 def test_nearest_with_ties_and_fallback(spark):
     pool = spark.createDataFrame([(1, "25119", 100), (2, "25120", 100), (3, "25110", 100), (4, "25900", 500), (5, "251", 90), (6, "25", 100), (7, "46100", 1)], "result_id long, induty_code string, revenue long")
     got = {}

@@ -26,6 +26,11 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], load_order: str) ->
     return old.join(last, keys, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
+def with_values(state: DataFrame, new: DataFrame, load_order: str) -> DataFrame:
+    """A table of (key, value) with new values set, such as times of the last load; the last of each key counts."""
+    return latest_per_key(state.unionByName(new), ["key"], [load_order])
+
+
 def upsert_counts(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """How many keys an upsert would insert and update."""
     known = old.select(*keys).distinct().withColumn("known", F.lit(1))

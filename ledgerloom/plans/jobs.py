@@ -77,6 +77,11 @@ def without_job(table: DataFrame, job_id: int) -> DataFrame:
     return table.where(F.col("job_id") != job_id)
 
 
+def listed(table: DataFrame) -> DataFrame:
+    """Jobs, the latest first."""
+    return table.orderBy(F.desc("id"))
+
+
 def candidates(index: DataFrame, job: Job, children: dict[str, list[str]]) -> DataFrame:
     """Companies of the index that a job asks for: not listed, in its regions and industries."""
     prefixes = predicates.industry_prefixes(list(job.industry), children)

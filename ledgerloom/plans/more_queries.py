@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import amounts as A
+from ..functions import fixed
 from ..functions import text as T
 from ..operators import history, latest, matching, peers, quality, reshape, results
 from ..sources import sinks
 from . import jobs
-from .queries import COMPANIES, POOL, RELIABLE, RESULTS, SNAPSHOTS, STATS, _nearest_sql, _pool, _table, companies, query, result_rows, snapshots, stats
+from .queries import COMPANIES, ITEMS, POOL, RELIABLE, RESULTS, SNAPSHOTS, STATS, _nearest_sql, _pool, _table, companies, query, result_rows, snapshots, stats
 
 
 # ---- tables kept up to date
@@ -52,6 +53,28 @@ def quota_by_day(spark, sf_dir):
     return jobs.quota_status(usage, 300)
 
 
+@query(f"""WITH {RESULTS}, f AS (SELECT o_custkey AS id, max(CAST(19980000000000 + o_orderkey AS VARCHAR)) AS filed FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1)
+SELECT r.id, filed AS rcept_no, CASE WHEN filed IS NULL THEN 'FAILED' ELSE parse_status END AS parse_status, CASE WHEN filed IS NOT NULL THEN revenue_cur END AS revenue_cur,
+  CASE WHEN filed IS NULL THEN 1 ELSE excluded_by_stale_disclosure END AS stale FROM results r LEFT JOIN f ON f.id = r.id""")
+def latest_filing_of_results(spark, sf_dir):
+    filed = _table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").cast("string").alias("corp_code"), (F.col("o_orderkey") + 19980000000000).cast("string").alias("rcept_no"))
+    rows = latest.with_latest_filing(result_rows(spark, sf_dir).withColumn("corp_code", F.col("id").cast("string")), filed)
+    return rows.select("id", "rcept_no", "parse_status", "revenue_cur", F.col("excluded_by_stale_disclosure").alias("stale"))
+
+
+@query("""SELECT key, max(ts) AS updated, max_by(value, ts) AS value FROM (SELECT event_type AS key, CAST(user_id AS VARCHAR) AS value, CAST(event_id AS BIGINT) AS ts FROM events) GROUP BY 1""")
+def key_value_state(spark, sf_dir):
+    """A table of keys with their last values; half of the loads replace what the other half wrote."""
+    e = _table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.col("user_id").cast("string").alias("value"), F.col("event_id").cast("bigint").alias("updated"))
+    first = latest.with_values(e.where("false"), e.where("updated % 2 = 0"), "updated")
+    return latest.with_values(first, e.where("updated % 2 = 1"), "updated").select("key", "updated", "value")
+
+
+@query("SELECT DISTINCT left(CAST(p_size AS VARCHAR), 2) AS code FROM part WHERE p_size >= 10")
+def mid_level_codes(spark, sf_dir):
+    return latest.mid_level_codes(_table(spark, sf_dir, "part").select(F.col("p_size").cast("string").alias("code")))
+
+
 # ---- matching
 
 
@@ -157,9 +180,57 @@ def unique_file_names(spark, sf_dir):
     return sinks.unique_names(p, "stem", "p_partkey").select("p_partkey", "file_name")
 
 
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '110111' || p_partkey WHEN 1 THEN CAST(p_partkey AS VARCHAR) END AS number FROM part")
+def corporate_numbers(spark, sf_dir):
+    k, n = F.col("p_partkey") % 3, F.col("p_partkey").cast("string")
+    raw = F.when(k == 0, F.concat(F.lit("110111-"), n)).when(k == 1, F.concat(F.lit(" "), n, F.lit("- "))).otherwise(" - ")
+    return _table(spark, sf_dir, "part").select("p_partkey", T.corporate_number(raw).alias("number"))
+
+
+@query(r"SELECT p_partkey, regexp_replace(' ' || p_type || ' ;(' || p_name || ')', '[\s;()]', '', 'g') AS name FROM part")
+def industry_names(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", T.industry_name(F.concat(F.lit(" "), "p_type", F.lit(" ;("), "p_name", F.lit(")"))).alias("name"))
+
+
+@query("SELECT p_partkey, replace(p_name, ' ', '') AS key FROM part")
+def cross_year_labels(spark, sf_dir):
+    """One account under the numbers and notes of different years."""
+    k = F.col("p_partkey") % 4
+    name = F.col("p_name")
+    shown = F.when(k == 0, F.concat(F.lit("12. "), name)).when(k == 1, F.concat(F.lit("IV) "), name, F.lit("(주석 3)"))).when(k == 2, F.concat(name, F.lit(" (당기) "))).otherwise(name)
+    return _table(spark, sf_dir, "part").select("p_partkey", T.cross_year_label(shown).alias("key"))
+
+
+@query("SELECT page_id, url || '?crtfc_key=***REDACTED***&serviceKey=***REDACTED*** end' AS line, page_id % 2 = 0 AS out_of_quota FROM pages")
+def log_lines(spark, sf_dir):
+    """Keys in the addresses that a log shows are masked, and answers that tell of a quota are known."""
+    n = F.col("page_id").cast("string")
+    line = F.concat(F.col("url"), F.lit("?crtfc_key="), n, F.lit("x&serviceKey="), n, F.lit("%2F end"))
+    answer = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("LIMITED_NUMBER_OF_SERVICE_REQUESTS_EXCEEDS "), n)).otherwise("NORMAL SERVICE")
+    return _table(spark, sf_dir, "pages").select("page_id", T.masked_keys(line).alias("line"), T.says_quota_exceeded(answer).alias("out_of_quota"))
+
+
 # ---- histories, peers, audits
 
 
+@query(f"""WITH {SNAPSHOTS} SELECT result_id, max_by(auditor_name, CAST(fiscal_year AS INTEGER)) AS label, max(CAST(fiscal_year AS INTEGER)) AS level FROM snapshots GROUP BY 1""")
+def newest_labels(spark, sf_dir):
+    s = snapshots(spark, sf_dir)
+    accounts = s.select(F.lit("revenue").alias("item"), F.col("result_id").alias("key"), F.col("auditor_name").alias("label"), F.col("fiscal_year").cast("int").alias("level"), "fiscal_year")
+    return history.newest_labels(accounts).select(F.col("key").alias("result_id"), "label", "level")
+
+
+@query(f"""WITH {SNAPSHOTS}, {COMPANIES} SELECT result_id, corp_name, fiscal_year, statement, count(*) AS n_accounts, CAST(sum(amount) AS BIGINT) AS amount FROM (
+  {' UNION ALL '.join(f"SELECT result_id, fiscal_year, '{s}' AS statement, {i if i in ITEMS else 'NULL'} AS amount FROM snapshots" for s, items in fixed.STATEMENTS.items() for i in items)})
+LEFT JOIN (SELECT * FROM companies WHERE id % 4 <> 0) ON id = result_id GROUP BY ALL""")
+def history_long(spark, sf_dir):
+    """All accounts of all years in long form; where the company isn't known, its name is null."""
+    s = snapshots(spark, sf_dir)
+    s = s.withColumns({i: F.lit(None).cast("bigint") for items in fixed.STATEMENTS.values() for i in items if i not in ITEMS})
+    rows = reshape.history_rows(s, companies(spark, sf_dir).where("id % 4 <> 0"))
+    return rows.groupBy("result_id", "corp_name", "fiscal_year", "statement").agg(F.count(F.lit(1)).alias("n_accounts"), F.sum("amount").alias("amount"))
+
+
 @query(f"""WITH {SNAPSHOTS} SELECT s.result_id, s.fiscal_year AS column_year, coalesce(s.revenue, 0) AS amount FROM snapshots s""")
 def history_cells(spark, sf_dir):
     s = snapshots(spark, sf_dir)

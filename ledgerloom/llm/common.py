@@ -139,3 +139,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     stars = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return stars.union(roots)
+
+
+def joined_small(df: DataFrame, small: DataFrame, key: str, most: int = 100_000) -> DataFrame:
+    """Add the columns of ``small``, which has one row per value of ``key`` (null is a value), to the rows of ``df``.
+
+    The rows of ``small`` are counted: up to ``most`` of them are broadcast. Beyond that the join goes by (key, salt) with
+    each row of ``small`` copied to every salt, so that a key with very many rows is spread.
+    """
+    small = small.withColumnRenamed(key, "_joined")
+    if small.limit(most + 1).count() <= most:
+        return df.join(F.broadcast(small), F.col(key).eqNullSafe(F.col("_joined")), "left").drop("_joined")
+    copies = small.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    salted = df.withColumn("_salt", (F.monotonically_increasing_id() % _SALTS).cast("int"))
+    return salted.join(copies, F.col(key).eqNullSafe(F.col("_joined")) & (F.col("_salt") == F.col("_copy")), "left").drop("_joined", "_salt", "_copy")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, html, langid, minhash, packing, preference, quality, secrets, sharding, tokens
+from . import embeddings, html, langid, merkle, minhash, packing, preference, quality, secrets, sharding, tokens
 from .common import read_table
 
 
@@ -56,6 +56,10 @@ def op10_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages_of(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -69,9 +73,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_hilbert_packing,
         op9_prefix_bpe,
         op10_byte_gru,
+        op12_merkle_manifest,
     )
 }
 
 SQL: dict[str, str] = {
     "op6_preference_pairs": preference.SQL,
+    "op12_merkle_manifest": merkle.SQL,
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -153,3 +154,16 @@ def joined_small(df: DataFrame, small: DataFrame, key: str, most: int = 100_000)
     copies = small.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     salted = df.withColumn("_salt", (F.monotonically_increasing_id() % _SALTS).cast("int"))
     return salted.join(copies, F.col(key).eqNullSafe(F.col("_joined")) & (F.col("_salt") == F.col("_copy")), "left").drop("_joined", "_salt", "_copy")
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows of ``df`` written as Parquet to the shared folder and read back, so that columns can be pruned; and where they are."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder), folder
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, html, langid, merkle, minhash, packing, preference, quality, secrets, sharding, tokens
+from . import direct, elkan, embeddings, html, langid, merkle, minhash, packing, preference, quality, secrets, sharding, tokens
 from .common import read_table
 
 
@@ -56,10 +56,18 @@ def op10_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages_of(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return direct.tokens_report(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_report(read_table(spark, sf_dir, "documents"))
 
 
+def op13_elkan_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elkan.codes_report(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -73,11 +81,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_hilbert_packing,
         op9_prefix_bpe,
         op10_byte_gru,
+        op11_direct_codes,
         op12_merkle_manifest,
+        op13_elkan_codes,
     )
 }
 
 SQL: dict[str, str] = {
     "op6_preference_pairs": preference.SQL,
     "op12_merkle_manifest": merkle.SQL,
+    "op13_elkan_codes": elkan.SQL,
 }

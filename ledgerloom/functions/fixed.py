@@ -205,6 +205,10 @@ LOOKALIKES = ("liΙⅠ", "IIII")
 PER_SHARE_SUFFIX = r"\(\s*주당[^()]*(?:\([^()]*\)[^()]*)*\)+\s*$"
 FOOTNOTE_SUFFIX = r"\(\s*(?:(?:주석|주)[\s0-9,과와]*|[\s0-9,]*)\)\s*$"
 FORMULA_SUFFIX = r"[\(\[][ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩIVX0-9\s+＋]+[\)\]]\s*$"
+SUBITEM_PREFIX = r"^(?:\d+\s*[.)]|\([0-9]+\)|[가-힣]\s*\.)"
+ORDINAL_PERIOD = r"제\d+(?:\([당전]\))?기"
+XML_DECLARATION = r"^\s*<\?xml[^>]*\?>"
+PSEUDO_TAG = r"</?[가-힣][^<>]*>"
 LABEL_BLANKS = " 　\n\r\t"
 ZERO_AMOUNTS = ["-", "−", "‐", "–"]
 RULE_CHARS = "=＝"

@@ -162,3 +162,87 @@ def value_histogram_uncapped(spark, sf_dir):
     """All values, where there are more than a page shows."""
     rows = _table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("value"))
     return results.value_histogram(rows, "value", limit=None)
+
+
+def _tree_row(label: str, cur: Column, prv: Column | None = None) -> Column:
+    prv = cur if prv is None else prv
+    return F.concat(F.lit(f"<TR><TD>{label}</TD><TD>"), F.coalesce(_shown(cur), F.lit("")), F.lit("</TD><TD>"), F.coalesce(_shown(prv), F.lit("")), F.lit("</TD></TR>"))
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS rcept_no, item, CAST(p AS BIGINT) AS position, label, CAST(level AS BIGINT) AS level, CAST(c_custkey * f AS BIGINT) AS cur, CAST(c_custkey * f + g AS BIGINT) AS prv
+FROM customer, (VALUES ('cf_operating', 0, '1.당기순이익', 1, 1, 1, 0), ('cf_operating', 1, '가.감가상각비', 1, 2, 1, 0), ('cf_operating', 2, '무형자산상각', 1, 3, 0, 1), ('cf_operating', 3, '(2)기타', 1, 4, 0, 1),
+  ('cf_investing', 0, '1.유형자산의 처분', 1, 7, 1, 0), ('cf_investing', 1, '토지의 취득', 1, -8, 1, 0), ('cf_financing', 0, '1. 현금유입액', 1, 11, 1, 0), ('cf_financing', 1, '유상증자', 2, 12, 1, 0),
+  ('current_assets', 0, '1.당좌자산', 1, 21, 1, 0), ('current_assets', 1, '현금및현금성자산', 3, 22, 1, 0), ('current_assets', 2, '2.재고자산', 2, 23, 1, 0), ('total_assets', 0, '덧붙임', 2, 25, 1, 0)) u(item, p, label, level, f, always, whole), (SELECT 1 AS g)
+WHERE always = 1 OR c_custkey % 5 <> 0""")
+def attached_account_trees(spark, sf_dir):
+    """Accounts of attached statements: levels by indent inside groups, groups by numbering where nothing is indented, rows that go on, parts that end."""
+    c = _table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    head = "<THEAD><TR><TH>과 목</TH><TH>제 6(당) 기</TH><TH>제 5(전) 기</TH></TR></THEAD><TBODY>"
+    row = lambda label, f: _tree_row(label, k * f, k * f + 1)
+    none = F.lit(None).cast("bigint")
+    text = F.concat(
+        F.lit(f"<DOC><TITLE>(첨부)재 무 제 표</TITLE><P>재 무 상 태 표</P><TABLE>{head}"),
+        _tree_row("자 산", none), row("Ⅰ.유동자산", 20), row("  1.당좌자산", 21), row("　　  현금및현금성자산", 22), row("   2.재고자산", 23), row("  자산총계", 24), row("   덧붙임", 25),
+        F.lit(f"</TBODY></TABLE><P>현 금 흐 름 표</P><TABLE>{head}"),
+        row("Ⅰ.영업활동으로 인한 현금흐름", 9), row("1.당기순이익", 1), row("가.감가상각비", 2),
+        F.when(k % 5 == 0, _tree_row("무형자산상각", none)).otherwise(row("무형자산상각", 3)), row("(2)기타", 4), _tree_row("자산", none), row("3.뒤의 행", 5),
+        row("Ⅱ.투자활동으로 인한 현금흐름", 6), row("1.유형자산의 처분", 7), row("토지의 취득", -8), row("Ⅳ.현금의 증감", 9), row("2.그 밖", 10),
+        row("Ⅲ.재무활동으로 인한 현금흐름", 10), row("1. 현금유입액", 11), row(" 유상증자", 12),
+        F.lit("</TBODY></TABLE></DOC>"),
+    )
+    rows = filings.account_details(filings.document_rows(c.select(k.cast("string").alias("rcept_no"), F.encode(text, "UTF-8").alias("content"))))
+    return rows.select("rcept_no", "item", F.col("position").cast("bigint").alias("position"), "label", F.col("level").cast("bigint").alias("level"), "cur", "prv")
+
+
+def _section_documents(spark, sf_dir) -> DataFrame:
+    """Odd customers: titled sections with spans, escapes and tags that aren't known; even ones: attached statements."""
+    c = _table(spark, sf_dir, "customer")
+    k = F.col("c_custkey").cast("string")
+    titled = F.concat(
+        F.lit('<DOC><SECTION-1 ID="a"><TITLE ATOC="Y">재 무 상 태 표</TITLE><P USERMARK="B">단위: <SPAN onclick="x()">원</SPAN> &amp; &lt;천원&gt;</P><SCRIPT>no "run"</SCRIPT><TABLE-GROUP><TABLE WIDTH="600"><THEAD><TR><TH ROWSPAN="2">과목</TH><TU COLSPAN="2">금액</TU></TR><TR><TH>당</TH><TH>전</TH></TR></THEAD><TBODY><TR><TD COLSPAN="1">'),
+        F.col("c_name"), F.lit('</TD><TE ROWSPAN="3" COLSPAN="x">'), k, F.lit("</TE><TD>A<B>굵게</B></TD></TR><TR><TD/></TR></TBODY></TABLE></TABLE-GROUP><P> </P></SECTION-1><SECTION-1><TITLE>주석</TITLE><P>"), k,
+        F.lit("</P><SECTION-2><TITLE>1. 회사's</TITLE><P>끝</P></SECTION-2></SECTION-1><P>밖</P></DOC>"),
+    )
+    attached = F.concat(
+        F.lit("<DOC><TITLE>(첨부)재 무 제 표</TITLE><P>표지</P><P>재 무 상 태 표</P><TABLE><TR><TD>기간</TD></TR></TABLE><TABLE><TR><TD>자산</TD><TD>"), k,
+        F.lit("</TD></TR></TABLE><TABLE><TR><TD>손 익 계 산 서</TD></TR><TR><TD>제5기</TD></TR></TABLE><TABLE><TR><TD>매출</TD></TR></TABLE><TITLE>감사보고서</TITLE><P>뒤</P></DOC>"),
+    )
+    text = F.when(F.col("c_custkey") % 2 == 1, titled).otherwise(attached)
+    return c.select(k.alias("rcept_no"), F.encode(text, "UTF-8").alias("content"))
+
+
+_H4 = "<h4 class=\"doc-section-title\">"
+
+
+@query(f"""SELECT CAST(c_custkey AS VARCHAR) AS rcept_no, 'bs' AS section, CASE WHEN c_custkey % 2 = 1 THEN '{_H4}재 무 상 태 표</h4><p>단위: 원 &amp; &lt;천원&gt;</p><table><tr><th rowspan="2">과목</th><th colspan="2">금액</th></tr><tr><th>당</th><th>전</th></tr><tr><td>' || c_name || '</td><td rowspan="3">' || c_custkey || '</td><td>A굵게</td></tr><tr><td></td></tr></table>'
+  ELSE '{_H4}재 무 상 태 표</h4><table><tr><td>기간</td></tr></table><table><tr><td>자산</td><td>' || c_custkey || '</td></tr></table>' END AS html FROM customer
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'notes', '{_H4}주석</h4><p>' || c_custkey || '</p>{_H4}1. 회사&#x27;s</h4><p>끝</p>' FROM customer WHERE c_custkey % 2 = 1
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'is', '{_H4}손 익 계 산 서</h4><table><tr><td>매출</td></tr></table>' FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'audit', '{_H4}(첨부)재 무 제 표</h4><p>표지</p><p>재 무 상 태 표</p><table><tr><td>기간</td></tr></table><table><tr><td>자산</td><td>' || c_custkey || '</td></tr></table><table><tr><td>손 익 계 산 서</td></tr><tr><td>제5기</td></tr></table><table><tr><td>매출</td></tr></table>{_H4}감사보고서</h4><p>뒤</p>' FROM customer WHERE c_custkey % 2 = 0""")
+def section_markup(spark, sf_dir):
+    """The sections' markup itself: what a title's parent holds or an attached caption opens, put together from known tags only."""
+    return filings.rendered_sections(filings.document_rows(_section_documents(spark, sf_dir)))
+
+
+@query("""WITH g AS (SELECT * FROM (VALUES (0, 0, '과목'), (0, 1, '금액'), (0, 2, '금액'), (1, 0, '과목'), (1, 1, '당'), (1, 2, '전'), (2, 0, 'n'), (2, 1, 'k'), (2, 2, 'A굵게'), (3, 0, ''), (3, 1, 'k')) v(line, col, t))
+SELECT CAST(c_custkey AS VARCHAR) AS rcept_no, line, col, CASE t WHEN 'n' THEN c_name WHEN 'k' THEN CAST(c_custkey AS VARCHAR) ELSE t END AS text FROM customer, g WHERE c_custkey % 2 = 1""")
+def spanned_cells(spark, sf_dir):
+    """Cells of a table with column and row spans, spread over the lines and columns that they cover."""
+    grid = filings.table_grid(filings.document_rows(_section_documents(spark, sf_dir))).where(F.col("rcept_no").cast("bigint") % 2 == 1)
+    return grid.select("rcept_no", F.col("line").cast("int").alias("line"), "col", "text")
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS rcept_no, CASE c_custkey % 4 WHEN 0 THEN '<?xml version="1.0" encoding="utf-8"?><DOC>회사 ' || c_name || '</DOC>' WHEN 1 THEN '<DOC>회사 ' || c_name || '</DOC>'
+  WHEN 2 THEN '<DOC>' || c_name || chr(65533) || chr(65533) || '</DOC>' END AS text FROM customer""")
+def repaired_encodings(spark, sf_dir):
+    """Filings in UTF-8, in code page 949 under an untrue declaration, in neither, and without a content."""
+    c = _table(spark, sf_dir, "customer")
+    k, name = F.col("c_custkey") % 4, F.encode("c_name", "UTF-8")
+    raw = lambda b: F.unhex(F.lit(b.hex()))
+    said, word = b'<?xml version="1.0" encoding="utf-8"?><DOC>', "회사 "
+    content = (
+        F.when(k == 0, F.concat(raw(said), raw(word.encode()), name, raw(b"</DOC>"))).when(k == 1, F.concat(raw(said), raw(word.encode("cp949")), name, raw(b"</DOC>")))
+        .when(k == 2, F.concat(raw(said), name, raw(b"\xff\xff</DOC>")))
+    )
+    return filings.repaired_documents(c.select(F.col("c_custkey").cast("string").alias("rcept_no"), content.alias("content")))

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.amounts import missing_items, parse_status, signed_by_item, signed_by_label, won_amount
-from ..functions.text import account_label, looked_up
+from ..functions.text import account_label, has_roman_prefix, looked_up, stripped
+from ..operators.ordering import materialised
 
 # fixed values: words that titles of statements hold, words before captions, titles that end a statement
 TITLES = {"bs": "재무상태표", "is": "손익계산서", "cf": "현금흐름표"}
@@ -25,16 +26,19 @@ ATTACHED_TITLE = "재무제표"
 NOTES_WORD = "주석"
 OTHER_TITLES = ["자본변동표", "결손금처리계산서", "이익잉여금처분계산서", "주석", "외부감사"]
 CAPTION_PREFIXES = ["연결", "별도", "개별", "포괄"]
+SECTION_WORDS = {"bs": "재무상태표", "is": "손익계산서", "cf": "현금흐름표", "notes": "주석", "audit": "감사보고서"}
 
-_DECLARATION = re.compile(r"^\s*<\?xml[^>]*\?>", re.IGNORECASE)
-_PSEUDO_TAG = re.compile(r"</?[가-힣][^<>]*>")
+_DECLARATION = re.compile(fixed.XML_DECLARATION, re.IGNORECASE)
+_PSEUDO_TAG = re.compile(fixed.PSEUDO_TAG)
 _TAG = re.compile(r"<(/?)([A-Za-z][\w:.-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<!--.*?-->|<[!?][^>]*>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([A-Za-z_:][\w:.-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
 _CELLS = {"TD", "TH", "TE", "TU"}
+_HEADS = {"TH", "TU"}
 
+_CELL = "text:string,span:int,indent:int,level:int,rows:int,head:boolean"
 ROWS = (
     "rcept_no string, pos int, kind string, table_no int, aclass string, in_head boolean, text string, "
-    "cells array<struct<text:string,span:int,indent:int,level:int>>"
+    f"cells array<struct<{_CELL}>>, since int, until int"
 )
 
 
@@ -59,11 +63,18 @@ def _number(text: str | None, default: int) -> int:
 
 
 def cut(text: str) -> list[tuple]:
-    """Titles, paragraphs and table rows of a document, in order; broken markup is read as far as it goes."""
+    """Titles, paragraphs and table rows of a document, in order; broken markup is read as far as it goes.
+
+    A title also tells which rows its parent element holds: those from ``since`` to before ``until``.
+    An element that is never closed ends with what is closed around it, or with the document.
+    """
     text = _PSEUDO_TAG.sub("", text)
+    elements: list[tuple[str, int, list[int]]] = []  # open elements: tag, rows before it, rows of the titles in it
+    opened: dict[str, int] = {}  # how many of each tag are open
+    ranges: dict[int, list] = {}  # of titles by their row
     out, at, table, depth, head = [], 0, 0, 0, False
     holder: list | None = None  # the text parts of the open title, paragraph or cell
-    kind, cells, aclass, attributes = "", None, None, {}
+    kind, cells, aclass, attributes, cell_tag, parent = "", None, None, {}, "", None
 
     def close():
         nonlocal holder
@@ -72,10 +83,15 @@ def cut(text: str) -> list[tuple]:
         words = html.unescape("".join(holder))
         plain = words.strip()
         if kind in ("TITLE", "P"):
+            if kind == "TITLE":
+                tag, before, titles = parent or ("", 0, [])
+                titles.append(len(out))
+                ranges[len(out)] = [before, None]
             out.append((kind, table if depth else None, None, None, plain, []))
         elif cells is not None:
             flat = words.translate({10: None, 13: None, 9: None})
-            cells.append((plain, _number(attributes.get("COLSPAN"), 1), len(flat) - len(flat.lstrip(" 　")), _number(attributes.get("ALEVEL"), -1)))
+            spans = _number(attributes.get("COLSPAN"), 1), _number(attributes.get("ROWSPAN"), 1)
+            cells.append((plain, spans[0], len(flat) - len(flat.lstrip(" 　")), _number(attributes.get("ALEVEL"), -1), spans[1], cell_tag in _HEADS))
         holder = None
 
     for m in _TAG.finditer(text):
@@ -88,7 +104,7 @@ def cut(text: str) -> list[tuple]:
         if tag in ("TITLE", "P") and not (tag == "P" and cells is not None):
             close()
             if not ends:
-                holder, kind = [], tag
+                holder, kind, parent = [], tag, elements[-1] if elements else None
         elif tag == "TABLE":
             close()
             depth += -1 if ends and depth else (0 if ends else 1)
@@ -106,10 +122,24 @@ def cut(text: str) -> list[tuple]:
         elif tag in _CELLS and cells is not None:
             close()
             if not ends:
-                holder, kind = [], "CELL"
+                holder, kind, cell_tag = [], "CELL", tag
                 attributes = {k.upper(): a or b for k, a, b in _ATTRIBUTE.findall(m[3])}
+        if not ends:
+            if not m[3].endswith("/"):
+                elements.append((tag, len(out), []))
+                opened[tag] = opened.get(tag, 0) + 1
+        elif opened.get(tag):
+            while True:
+                was, _, titles = elements.pop()
+                opened[was] -= 1
+                for t in titles:
+                    ranges[t][1] = len(out)
+                if was == tag:
+                    break
     close()
-    return out
+    for at, (since, until) in ranges.items():
+        ranges[at] = [since, len(out) if until is None else until]
+    return [(*row, *ranges.get(i, (None, None))) for i, row in enumerate(out)]
 
 
 def document_rows(documents: DataFrame, number: str = "rcept_no", content: str = "content") -> DataFrame:
@@ -124,11 +154,29 @@ def document_rows(documents: DataFrame, number: str = "rcept_no", content: str =
                 except Exception:  # one broken document must not end the job
                     found = []
                 rows += [(rcept_no, i, *x) for i, x in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["rcept_no", "pos", "kind", "table_no", "aclass", "in_head", "text", "cells"])
+            yield pd.DataFrame(rows, columns=["rcept_no", "pos", "kind", "table_no", "aclass", "in_head", "text", "cells", "since", "until"])
 
     return documents.select(number, content).mapInPandas(run, ROWS)
 
 
+def repaired_documents(documents: DataFrame, content: str = "content", text: str = "text") -> DataFrame:
+    """Each document's text instead of its bytes: valid UTF-8 is decoded by Spark, only other rows reach Python.
+
+    A null document has a null text.
+    """
+    plain = F.col(content).cast("string")
+    valid = F.coalesce(F.is_valid_utf8(plain), F.lit(True))
+    good = documents.where(valid).withColumn(text, plain).drop(content)
+    kinds = ", ".join(f"`{c}` {t}" for c, t in documents.dtypes if c != content)
+
+    def run(batches):
+        for pdf in batches:
+            pdf[text] = [repaired(raw) for raw in pdf[content]]
+            yield pdf.drop(columns=content)
+
+    return good.unionByName(documents.where(~valid).mapInPandas(run, f"{kinds}, `{text}` string"))
+
+
 def _packed(c: Column) -> Column:
     return F.translate(F.coalesce(c, F.lit("")), fixed.LABEL_BLANKS, "")
 
@@ -151,8 +199,8 @@ def title_mode(c: Column) -> Column:
     )
 
 
-def statement_rows(rows: DataFrame) -> DataFrame:
-    """Rows of statements' tables: section, format, table_no, pos, in_head, cells.
+def _sections_marked(rows: DataFrame) -> DataFrame:
+    """Rows with ``mode`` (what the last title opened), ``run`` (titles so far), ``caption``, ``section`` and ``part`` (captions so far).
 
     A running last title tells the mode; inside attached statements a running last caption
     (a paragraph or a table's first cell) tells the section.
@@ -167,7 +215,12 @@ def statement_rows(rows: DataFrame) -> DataFrame:
     by_run = Window.partitionBy("rcept_no", "run").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     section = F.when(F.col("mode") == "attached", F.last("caption", ignorenulls=True).over(by_run)).when(F.col("aclass") == "FINANCE", F.col("mode"))
     captions = F.count("caption").over(by_run)
-    found = marked.withColumns({"section": section, "part": captions}).where("kind = 'ROW' and section in ('bs', 'is', 'cf')")
+    return marked.withColumns({"section": section, "part": captions})
+
+
+def statement_rows(rows: DataFrame) -> DataFrame:
+    """Rows of statements' tables: section, format, table_no, pos, in_head, cells."""
+    found = _sections_marked(rows).where("kind = 'ROW' and section in ('bs', 'is', 'cf')")
     return found.select("rcept_no", "section", F.when(F.col("mode") == "attached", "attached").otherwise("finance").alias("format"), "run", "part", "table_no", "pos", "in_head", "cells")
 
 
@@ -195,7 +248,7 @@ def period_plan(cells: Column) -> Column:
     current = lambda c: says(c, "(당)", "당기") & ~says(c, "(전)", "전기")
     prior = lambda c: says(c, "(전)", "전기") & ~says(c, "(당)", "당기")
     cur, prv = F.filter(columns, current), F.filter(columns, prior)
-    ordinal = F.filter(columns, lambda c: c["text"].rlike(r"제\d+(?:\([당전]\))?기"))
+    ordinal = F.filter(columns, lambda c: c["text"].rlike(fixed.ORDINAL_PERIOD))
     one, two = F.get(ordinal, F.lit(0)), F.get(ordinal, F.lit(1))
 
     def role(c):
@@ -234,7 +287,7 @@ def labelled_amounts(rows: DataFrame) -> DataFrame:
     table = Window.partitionBy("rcept_no", "table_no")
     label = F.get("cells", F.lit(0))["text"]
     # statements: header spans tell how many columns a period has (two, if nothing tells)
-    head = F.max(F.when(F.col("in_head"), F.transform(F.slice("cells", 2, 100), lambda c: c["span"]))).over(table)
+    head = F.max(F.when(F.col("in_head"), F.transform(F.slice("cells", F.lit(2), F.size("cells")), lambda c: c["span"]))).over(table)
     spans = F.when(F.size(head) >= 2, F.struct(F.get(head, F.lit(0)).alias("a"), F.get(head, F.lit(1)).alias("b"))).when(F.size(head) == 1, F.struct(F.get(head, F.lit(0)).alias("a"), F.get(head, F.lit(0)).alias("b"))).otherwise(F.struct(F.lit(2).alias("a"), F.lit(2).alias("b")))
     # attached: the first row that is a plan, header rows first
     plan = F.when(F.col("format") == "attached", period_plan(F.col("cells")))
@@ -253,54 +306,59 @@ def labelled_amounts(rows: DataFrame) -> DataFrame:
     return body.withColumn("nth", first).where("nth = 1").select("rcept_no", "section", "format", "table_no", "pos", "label", "name", F.get("cells", F.lit(0))["indent"].alias("indent"), F.get("cells", F.lit(0))["level"].alias("level"), "cur_raw", "prv_raw", "item", "detail")
 
 
-def _netted(rows: DataFrame) -> DataFrame:
-    """Detail rows less the contra rows that follow them without a gap; amounts are only lowered.
-
-    Each table's rows are one bounded array (a printed table), folded by SQL functions.
-    """
-    entry = F.struct("pos", "name", "cur_raw", "prv_raw")
-    tables = rows.groupBy("rcept_no", "table_no").agg(F.array_sort(F.collect_list(entry)).alias("all"))
-    open_ = rows.where("detail is not null").join(tables, ["rcept_no", "table_no"])
-    after = F.filter("all", lambda r: r["pos"] > F.col("pos"))
-    markers, owner = F.lit(None).cast("string"), F.lit(None).cast("string")
+def _netted(all_: Column, owner: Column) -> Column:
+    """The amounts of a detail row less the contra rows that follow it in its table without a gap; amounts are only lowered."""
+    after = F.filter(all_, lambda r: r["pos"] > owner["pos"])
+    markers, word = F.lit(None).cast("string"), F.lit(None).cast("string")
     for item, (words, own) in fixed.CONTRA_ROWS.items():
-        markers = F.when(F.col("detail") == item, F.lit("|".join(words))).otherwise(markers)
-        owner = F.when(F.col("detail") == item, F.lit(own)).otherwise(owner)
+        markers = F.when(owner["detail"] == item, F.lit("|".join(words))).otherwise(markers)
+        word = F.when(owner["detail"] == item, F.lit(own)).otherwise(word)
 
     def step(s, r):
-        is_contra = s["open"] & F.coalesce(F.rlike(r["name"], F.col("_markers")) & (s["adjacent"] | F.contains(r["name"], F.col("_owner"))), F.lit(False))
+        is_contra = s["open"] & F.coalesce(F.rlike(r["name"], markers) & (s["adjacent"] | F.contains(r["name"], word)), F.lit(False))
 
         def less(x, y):
             return F.when(is_contra & y.isNotNull(), x - F.abs(y)).otherwise(x)
 
         return F.struct(less(s["cur"], r["cur_raw"]).alias("cur"), less(s["prv"], r["prv_raw"]).alias("prv"), is_contra.alias("open"), F.lit(False).alias("adjacent"))
 
-    start = F.struct(F.col("cur_raw").alias("cur"), F.col("prv_raw").alias("prv"), F.col("_markers").isNotNull().alias("open"), F.lit(True).alias("adjacent"))
-    out = open_.withColumns({"_markers": markers, "_owner": owner}).withColumn("_net", F.aggregate(after, start, step))
-    return out.select("rcept_no", "table_no", "pos", "format", F.col("detail").alias("item"), F.col("_net.cur").alias("cur"), F.col("_net.prv").alias("prv"))
+    start = F.struct(owner["cur_raw"].alias("cur"), owner["prv_raw"].alias("prv"), markers.isNotNull().alias("open"), F.lit(True).alias("adjacent"))
+    return F.aggregate(after, start, step)
 
 
 def statement_items(rows: DataFrame) -> DataFrame:
     """(rcept_no, item, cur, prv): one row per item of each document.
 
     Statement tables: the first row of an item counts even if it is empty. Attached ones and
-    detail accounts: the first row with an amount counts.
+    detail accounts: the first row with an amount counts. A table's rows are one bounded array
+    (a printed table), from which all three kinds are taken, so the documents are read once.
     """
     amounts = labelled_amounts(statement_rows(rows))
-    named = amounts.where("item is not null")
-    fin = named.where("format = 'finance'").select("rcept_no", "table_no", "pos", "format", "item", signed_by_label(F.col("label"), F.col("cur_raw")).alias("cur"), signed_by_label(F.col("label"), F.col("prv_raw")).alias("prv"))
-    att = named.where("format = 'attached' and (cur_raw is not null or prv_raw is not null)").select("rcept_no", "table_no", "pos", "format", "item", signed_by_item(F.col("item"), F.col("cur_raw")).alias("cur"), signed_by_item(F.col("item"), F.col("prv_raw")).alias("prv"))
-    det = _netted(amounts).where("cur is not null or prv is not null")
-    all_ = fin.unionByName(att).unionByName(det)
+    entry = F.struct("pos", "label", "name", "cur_raw", "prv_raw", "item", "detail")
+    tables = amounts.groupBy("rcept_no", "table_no", "format").agg(F.array_sort(F.collect_list(entry)).alias("all"))
+    finance = F.col("format") == "finance"
+
+    def named(r):
+        cur, prv = (F.when(finance, signed_by_label(r["label"], r[c])).otherwise(signed_by_item(r["item"], r[c])) for c in ("cur_raw", "prv_raw"))
+        return F.struct(r["item"].alias("item"), r["pos"].alias("pos"), cur.alias("cur"), prv.alias("prv"))
+
+    def detailed(r):
+        net = _netted(F.col("all"), r)
+        return F.struct(r["detail"].alias("item"), r["pos"].alias("pos"), net["cur"].alias("cur"), net["prv"].alias("prv"))
+
+    amount = lambda r: r["cur"].isNotNull() | r["prv"].isNotNull()
+    counted = F.transform(F.filter("all", lambda r: r["item"].isNotNull() & (finance | r["cur_raw"].isNotNull() | r["prv_raw"].isNotNull())), named)
+    details = F.filter(F.transform(F.filter("all", lambda r: r["detail"].isNotNull()), detailed), amount)
+    found = tables.select("rcept_no", "format", F.explode(F.concat(counted, details)).alias("r")).select("rcept_no", "format", "r.*")
     # an attached row without a current amount can still be replaced by a later one that has it
     rank = F.struct((F.col("format") == "attached") & F.col("cur").isNull(), F.col("pos"))
-    best = all_.groupBy("rcept_no", "item").agg(F.min_by(F.struct("cur", "prv"), rank).alias("v"))
+    best = found.groupBy("rcept_no", "item").agg(F.min_by(F.struct("cur", "prv"), rank).alias("v"))
     return best.select("rcept_no", "item", "v.cur", "v.prv")
 
 
 def parsed_filings(documents: DataFrame) -> DataFrame:
     """One row per document: parse_status, the items of both periods and the missing ones."""
-    rows = document_rows(documents)
+    rows = materialised(document_rows(documents))
     items = statement_items(rows)
     wide = items.groupBy("rcept_no").agg(
         *[F.max(F.when(F.col("item") == i, F.col("cur"))).alias(f"{i}_cur") for i in fixed.ITEMS],
@@ -317,38 +375,151 @@ def parsed_filings(documents: DataFrame) -> DataFrame:
 def account_details(rows: DataFrame) -> DataFrame:
     """(rcept_no, item, position, label, level, cur, prv): accounts below each summary row of a table.
 
-    A row of level 0 that names an item opens it; deeper rows up to the next such row are
-    its accounts. Levels come from the document, or from the ranks of indents in a group.
+    Marked tables state levels: a row of level 0 that names an item opens it, any other row of
+    level 0 closes it. Attached ones don't: rows whose (indent, numbered or not) is the table's
+    least are of level 0, the others are ranked by indent inside their group, and any row that
+    names an item opens it. Numbering thus only tells where groups begin, never how deep a row
+    lies. Where numbering alone made rows accounts, the table has no indents, and rows of level 0
+    go on with the accounts of the item - unless they have no amount or a Roman numeral, which
+    opens another part.
     """
     amounts = labelled_amounts(statement_rows(rows))
-    order = Window.partitionBy("rcept_no", "table_no").orderBy("pos")
-    least = F.min("indent").over(Window.partitionBy("rcept_no", "table_no"))
-    top = F.when(F.col("level") >= 0, F.col("level") == 0).otherwise(F.col("indent") == least)
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows_ = amounts.withColumn("top", top)
-    rows_ = rows_.withColumn("grp", F.count_if(F.col("top")).over(upto))
-    rows_ = rows_.withColumn("parent", F.first(F.when(F.col("top"), F.coalesce("item", F.lit(""))), ignorenulls=True).over(Window.partitionBy("rcept_no", "table_no", "grp").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    below = rows_.where("not top and coalesce(parent, '') <> ''")
-    depth = F.dense_rank().over(Window.partitionBy("rcept_no", "table_no", "grp").orderBy("indent"))
+    keys = ["rcept_no", "table_no"]
+    table = Window.partitionBy(*keys)
+    upto = table.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = F.col("format") == "finance"
+    numbered = stripped(F.col("label")).rlike(fixed.SUBITEM_PREFIX).cast("int")
+    out = amounts.withColumn("key", F.struct(F.col("indent").alias("indent"), numbered.alias("numbered")))
+    out = out.withColumn("base", F.min("key").over(table))
+    out = out.withColumn("top", F.when(marked, F.coalesce("level", F.lit(0)) <= 0).otherwise(F.col("key") == F.col("base")))
+    out = out.withColumn("opens", F.col("item").isNotNull() & (~marked | F.col("top")))
+    out = out.withColumns({"grp": F.count_if("top").over(upto), "part": F.count_if("opens").over(upto)})
+    depth = F.dense_rank().over(Window.partitionBy(*keys, "grp", "top").orderBy("indent"))
+    out = out.withColumn("depth", F.when(marked, F.col("level")).when(~F.col("top"), depth))
+    # inside a part: the depth that numbering alone gave last, and whether a row has ended the part
+    part = Window.partitionBy(*keys, "part").orderBy("pos")
+    flat = F.when(~marked & ~F.col("top") & ~F.col("opens") & (F.col("indent") == F.col("base.indent")), F.col("depth"))
+    out = out.withColumn("flat", F.last(flat, ignorenulls=True).over(part.rowsBetween(Window.unboundedPreceding, -1)))
+    empty = F.col("cur_raw").isNull() & F.col("prv_raw").isNull()
+    goes_on = ~marked & F.col("flat").isNotNull() & ~empty & ~has_roman_prefix(F.col("label"))
+    out = out.withColumn("ends", ~F.col("opens") & F.col("top") & ~goes_on)
+    out = out.withColumn("ended", F.count_if("ends").over(part.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    out = out.withColumn("parent", F.max(F.when(F.col("opens"), F.col("item"))).over(Window.partitionBy(*keys, "part")))
+    below = out.where("part > 0 and not opens and ended = 0")
     position = F.row_number().over(Window.partitionBy("rcept_no", "parent").orderBy("table_no", "pos")) - 1
+    shown = lambda c: F.when(marked, signed_by_label(F.col("label"), F.col(c))).otherwise(F.col(c))
     return below.select(
-        "rcept_no", F.col("parent").alias("item"), position.alias("position"), "label", F.when(F.col("level") >= 0, F.col("level")).otherwise(depth).cast("int").alias("level"),
-        F.when(F.col("format") == "finance", signed_by_label(F.col("label"), F.col("cur_raw"))).otherwise(F.col("cur_raw")).alias("cur"),
-        F.when(F.col("format") == "finance", signed_by_label(F.col("label"), F.col("prv_raw"))).otherwise(F.col("prv_raw")).alias("prv"),
+        "rcept_no", F.col("parent").alias("item"), position.alias("position"), "label", F.when(F.col("top"), F.col("flat")).otherwise(F.col("depth")).cast("int").alias("level"),
+        shown("cur_raw").alias("cur"), shown("prv_raw").alias("prv"),
     )
 
 
+def _escaped(c: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def _row_markup(c: Column) -> Column:
+    """A table row's cells; only the tags and spans known here are written."""
+
+    def span(name, n):
+        return F.when(n > 1, F.concat(F.lit(f' {name}="'), n.cast("string"), F.lit('"'))).otherwise("")
+
+    def cell(x):
+        tag = F.when(x["head"], "th").otherwise("td")
+        return F.concat(F.lit("<"), tag, span("colspan", x["span"]), span("rowspan", x["rows"]), F.lit(">"), _escaped(x["text"]), F.lit("</"), tag, F.lit(">"))
+
+    return F.concat(F.lit("<tr>"), F.concat_ws("", F.transform(c, cell)), F.lit("</tr>"))
+
+
+def _blocks_markup(blocks: DataFrame, *keys: str) -> DataFrame:
+    """(keys, html) of rows (keys, pos, kind, table_no, text, cells); rows of one table follow each other in one table element."""
+    inside = F.col("table_no").isNotNull() & F.col("kind").isin("ROW", "P", "TITLE")
+    markup = (
+        F.when(F.col("kind") == "ROW", _row_markup(F.col("cells")))
+        .when(inside | (F.col("text") == ""), F.lit(""))
+        .when(F.col("kind") == "TITLE", F.concat(F.lit('<h4 class="doc-section-title">'), _escaped(F.col("text")), F.lit("</h4>")))
+        .otherwise(F.concat(F.lit("<p>"), _escaped(F.col("text")), F.lit("</p>")))
+    )
+    # rows of a table are one block, any other block stands alone
+    block = F.when(F.col("kind") == "ROW", F.col("table_no")).otherwise(-F.col("pos") - 1)
+    lines = blocks.select(*keys, block.alias("_block"), (F.col("kind") == "ROW").alias("_row"), F.struct("pos", markup.alias("m")).alias("_r"))
+    made = lines.groupBy(*keys, "_block", "_row").agg(F.array_sort(F.collect_list("_r")).alias("_rs"))
+    text = F.concat_ws("", F.transform("_rs", lambda r: r["m"]))
+    text = F.when(F.col("_row"), F.concat(F.lit("<table>"), text, F.lit("</table>"))).otherwise(text)
+    made = made.select(*keys, F.struct(F.get("_rs", F.lit(0))["pos"].alias("pos"), text.alias("m")).alias("_b"))
+    joined = F.concat_ws("", F.transform(F.array_sort(F.collect_list("_b")), lambda b: b["m"]))
+    return made.groupBy(*keys).agg(joined.alias("html"))
+
+
+def rendered_sections(rows: DataFrame) -> DataFrame:
+    """(rcept_no, section, html) of the sections bs, is, cf, notes and audit that a document has.
+
+    The first title with a section's word stands for what its parent element holds: titles,
+    paragraphs and tables in order, with their spans, everything else as text. A document
+    without a title for a statement may have it in its attached statements: from its caption up
+    to the next one. Text outside of a table's rows isn't rendered inside the table.
+    """
+    words = F.explode(F.array(*[F.struct(F.lit(k).alias("section"), F.lit(w).alias("word")) for k, w in SECTION_WORDS.items()]))
+    titles = rows.where("kind = 'TITLE'").select("rcept_no", "pos", "text", "since", "until", words.alias("w"))
+    titles = titles.where(F.contains(F.translate("text", " 　", ""), F.col("w.word")))
+    first = titles.groupBy("rcept_no", F.col("w.section").alias("section")).agg(F.min_by(F.struct("since", "until"), "pos").alias("r"))
+    inside = (F.col("pos") >= F.col("r.since")) & (F.col("pos") < F.col("r.until"))
+    titled = rows.join(first, "rcept_no").where(inside).select("rcept_no", "section", "pos", "kind", "table_no", "text", "cells")
+    found = attached_blocks(rows).join(first.select("rcept_no", "section"), ["rcept_no", "section"], "left_anti")
+    return _blocks_markup(titled.unionByName(found), "rcept_no", "section")
+
+
+def attached_blocks(rows: DataFrame) -> DataFrame:
+    """The caption (as a title) and the table rows of each attached statement, up to the next caption or title."""
+    marked = _sections_marked(rows).where("mode = 'attached' and section is not null")
+    caption = F.col("caption").isNotNull()
+    text = F.when(F.col("kind") == "P", F.col("text")).otherwise(F.get("cells", F.lit(0))["text"])
+    title = marked.where(caption).select("rcept_no", "section", F.col("pos"), F.lit("TITLE").alias("kind"), F.lit(None).cast("int").alias("table_no"), text.alias("text"), F.array().cast(f"array<struct<{_CELL}>>").alias("cells"))
+    # a table whose first cell is the caption is the title itself
+    own = F.max(caption & (F.col("kind") == "ROW")).over(Window.partitionBy("rcept_no", "table_no", "kind"))
+    body = marked.withColumn("_own", own).where("kind = 'ROW' and not _own").select("rcept_no", "section", "pos", "kind", "table_no", "text", "cells")
+    return title.unionByName(body)
+
+
+def table_grid(rows: DataFrame) -> DataFrame:
+    """(rcept_no, table_no, line, col, text): each cell's text on every line and column that it spans, as a reader sees the table.
+
+    Lines are folded in order by SQL functions; the state holds, for each column, how many more
+    lines the cell above it reaches and its text. A table is a bounded array (a printed table).
+    """
+    table = rows.where("kind = 'ROW'").groupBy("rcept_no", "table_no").agg(F.array_sort(F.collect_list(F.struct("pos", "cells"))).alias("lines"))
+    held = "array<struct<col:int,left:int,text:string>>"
+    start = F.struct(F.array().cast(held).alias("held"), F.array().cast(f"array<{held}>").alias("done"))
+
+    def line(s, r):
+        taken = F.filter(s["held"], lambda h: h["left"] > 0)
+
+        def place(t, c):
+            # the first column from `t.at` on that no cell from above holds
+            free = lambda at: F.aggregate(taken, at, lambda a, h: F.when(h["col"] == a, a + 1).otherwise(a))  # noqa: E731  (columns ascend)
+            add = F.aggregate(
+                F.sequence(F.lit(1), F.greatest(c["span"], F.lit(1))), F.struct(t["at"].alias("at"), F.array().cast(held).alias("new")),
+                lambda u, _: F.struct((free(u["at"]) + 1).alias("at"), F.concat(u["new"], F.array(F.struct(free(u["at"]).alias("col"), F.greatest(c["rows"], F.lit(1)).alias("left"), c["text"].alias("text")))).alias("new")),
+            )
+            return F.struct(add["at"].alias("at"), F.concat(t["new"], add["new"]).alias("new"))
+
+        fresh = F.aggregate(r["cells"], F.struct(F.lit(0).alias("at"), F.array().cast(held).alias("new")), place)["new"]
+        now = F.array_sort(F.concat(taken, fresh))
+        later = F.transform(now, lambda h: F.struct(h["col"].alias("col"), (h["left"] - 1).alias("left"), h["text"].alias("text")))
+        return F.struct(later.alias("held"), F.concat(s["done"], F.array(now)).alias("done"))
+
+    grid = table.select("rcept_no", "table_no", F.posexplode(F.aggregate("lines", start, line)["done"]).alias("line", "cells"))
+    return grid.select("rcept_no", "table_no", "line", F.explode("cells").alias("c")).select("rcept_no", "table_no", "line", "c.col", "c.text")
+
+
 def section_html(rows: DataFrame) -> DataFrame:
-    """(rcept_no, section, html): the tables of each statement as plain markup, cells escaped."""
+    """(rcept_no, section, html): only the tables of each statement as plain markup, cells escaped."""
     found = statement_rows(rows)
 
-    def escaped(c):
-        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-            c = F.replace(c, F.lit(a), F.lit(b))
-        return c
-
     def cell(tag):
-        return lambda c: F.concat(F.lit(f"<{tag}"), F.when(c["span"] > 1, F.concat(F.lit(' colspan="'), c["span"].cast("string"), F.lit('"'))).otherwise(F.lit("")), F.lit(">"), escaped(c["text"]), F.lit(f"</{tag}>"))
+        return lambda c: F.concat(F.lit(f"<{tag}"), F.when(c["span"] > 1, F.concat(F.lit(' colspan="'), c["span"].cast("string"), F.lit('"'))).otherwise(F.lit("")), F.lit(">"), _escaped(c["text"]), F.lit(f"</{tag}>"))
 
     body = F.when(F.col("in_head"), F.concat_ws("", F.transform("cells", cell("th")))).otherwise(F.concat_ws("", F.transform("cells", cell("td"))))
     lines = found.select("rcept_no", "section", F.struct("table_no", "pos", F.concat(F.lit("<tr>"), body, F.lit("</tr>")).alias("line")).alias("r"))

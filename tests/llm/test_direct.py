@@ -77,7 +77,7 @@ def test_widths_are_the_best():
 
 TEXTS = [
     None, "", " ", "Don't  stop\n\nthe   café's É é ΣΑΣ İ ǅ 12345 … a b　c", "<|endoftext|> x <|startoftext|>y<|endoftext|>", "a" * 3000,
-    " ́ mark", "x" + " " * 500 + "y", "\u0085\x1c\x1f odd \x00 white", "日本語 한국어 हिन्दी 🙂👍🏽", "the end " * 4000, "'s 't it's", " don't ' s",
+    " ́ mark", "Straße ÇA Œuvre Ÿ ſ ŉ ĳ İx naïve×÷ ÄÖÜ's 'RE ½ «a» ÀÀÀÀ' é9é", "x" + " " * 500 + "y", "\u0085\x1c\x1f odd \x00 white", "日本語 한국어 हिन्दी 🙂👍🏽", "the end " * 4000, "'s 't it's", " don't ' s",
 ]
 
 

@@ -1,35 +1,19 @@
-"""Writing results: folders of CSV, single sheets, reports."""
+"""Writing results: folders of CSV and reports; single files are in :mod:`workbook`."""
 
 from __future__ import annotations
 
-import io
 import json
 import re
-import zipfile
-from collections.abc import Iterable
-from xml.sax.saxutils import escape
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import script_json, without_controls
+from ..functions.text import script_json
+from .workbook import cell
 
-SHEET_ROWS = 1_048_576
 _EMBEDDED = re.compile(r"(?:const|let|var)\s+EMBEDDED_DATA\s*=\s*")
 
 
-class TooManyRows(ValueError):
-    """More rows than a sheet can hold."""
-
-
-def cell(c: Column, kind: str) -> Column:
-    """What a sheet shows: blanks for null and NaN, words for infinities, texts without control signs."""
-    if kind in ("double", "float"):
-        return F.when(c.isNull() | F.isnan(c), None).when(c == float("inf"), "inf").when(c == float("-inf"), "-inf").otherwise(c.cast("string"))
-    return without_controls(c.cast("string"))
-
-
 def labelled(df: DataFrame, labels: dict[str, str]) -> DataFrame:
     """Chosen columns in order, under the names that people read."""
     return df.select(*[F.col(c).alias(label) for c, label in labels.items()])
@@ -40,93 +24,6 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*[cell(F.col(c), k).alias(c) for c, k in df.dtypes]).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
 
 
-def check_sheet(df: DataFrame) -> int:
-    """The number of rows, if a sheet with a header can hold them."""
-    n = df.count()
-    if n > SHEET_ROWS - 1:
-        raise TooManyRows(f"{n} rows; a sheet holds {SHEET_ROWS - 1}")
-    return n
-
-
-def csv_bytes(df: DataFrame) -> bytes:
-    """One CSV file that spreadsheet programs read as UTF-8; checked to fit a sheet, streamed by partition."""
-    check_sheet(df)
-    out = io.StringIO()
-    shown = df.select(*[cell(F.col(c), k).alias(c) for c, k in df.dtypes])
-    pd.DataFrame(columns=df.columns).to_csv(out, index=False)
-    for rows in _batches(shown):
-        rows.to_csv(out, index=False, header=False)
-    return b"\xef\xbb\xbf" + out.getvalue().encode()
-
-
-def _batches(df: DataFrame, size: int = 10_000) -> Iterable[pd.DataFrame]:
-    rows = []
-    for r in df.toLocalIterator():
-        rows.append(tuple(r))
-        if len(rows) == size:
-            yield pd.DataFrame(rows, columns=df.columns)
-            rows = []
-    if rows:
-        yield pd.DataFrame(rows, columns=df.columns)
-
-
-def _sheet_name(k: int) -> str:
-    return f"xl/worksheets/sheet{k}.xml"
-
-
-def _ref(col: int, row: int) -> str:
-    name = ""
-    col += 1
-    while col:
-        col, r = divmod(col - 1, 26)
-        name = chr(65 + r) + name
-    return f"{name}{row}"
-
-
-def xlsx_bytes(sheets: dict[str, DataFrame]) -> bytes:
-    """A workbook; each sheet's rows are streamed into the archive and checked to fit."""
-    for df in sheets.values():
-        check_sheet(df)
-    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    package = "http://schemas.openxmlformats.org/package/2006"
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        kinds = "".join(f'<Override PartName="/{_sheet_name(k)}" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for k in range(1, len(sheets) + 1))
-        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{kinds}</Types>')
-        z.writestr("_rels/.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        names = "".join(f'<sheet name="{escape(n)}" sheetId="{k}" r:id="rId{k}"/>' for k, n in enumerate(sheets, 1))
-        z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{names}</sheets></workbook>')
-        links = "".join(f'<Relationship Id="rId{k}" Type="{rel}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in range(1, len(sheets) + 1))
-        z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{package}/relationships">{links}</Relationships>')
-        for k, df in enumerate(sheets.values(), 1):
-            numeric = {c for c, t in df.dtypes if t in ("int", "bigint", "smallint", "tinyint", "double", "float")}
-            shown = df.select(*[cell(F.col(c), t).alias(c) for c, t in df.dtypes])
-            with z.open(_sheet_name(k), "w") as f:
-                f.write(f'{head}<worksheet xmlns="{main}"><sheetData>'.encode())
-                f.write(_row(1, list(df.columns), set()).encode())
-                n = 1
-                for rows in _batches(shown):
-                    for values in rows.itertuples(index=False):
-                        n += 1
-                        f.write(_row(n, values, {i for i, c in enumerate(df.columns) if c in numeric}).encode())
-                f.write(b"</sheetData></worksheet>")
-    return out.getvalue()
-
-
-def _row(n: int, values, numeric: set[int]) -> str:
-    cells = []
-    for i, v in enumerate(values):
-        if v is None or v == "":
-            continue
-        if i in numeric and v not in ("inf", "-inf"):
-            cells.append(f'<c r="{_ref(i, n)}"><v>{v}</v></c>')
-        else:
-            cells.append(f'<c r="{_ref(i, n)}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>')
-    return f'<row r="{n}">{"".join(cells)}</row>'
-
-
 def embedded_block(template: str) -> tuple[int, int]:
     """Where the embedded data of a template lies: from its brace to the matching one."""
     m = _EMBEDDED.search(template)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import bands, history, latest, matching, peers, quality, reshape, results
 from ledgerloom.plans import jobs
-from ledgerloom.sources import dimensions, filings, landed, sinks
+from ledgerloom.sources import dimensions, filings, landed, sinks, workbook
 
 
 def naive_fold(rows, n, had=()):
@@ -227,10 +227,12 @@ def test_account_details_and_sections(spark):
     assert html["is"].startswith("<table><tr><td>Ⅰ.매출액</td>") and '<th colspan="2">' in html["bs"]
 
 
-def test_sinks(spark):
+def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "가\x01<b>", 1.5), (2, None, float("nan"))], "id long, name string, v double")
-    assert sinks.csv_bytes(df).decode("utf-8-sig").splitlines() == ["id,name,v", "1,가<b>,1.5", "2,,"]
-    raw = sinks.xlsx_bytes({"results": df})
+    workbook.write_csv_file(df, str(tmp_path / "a.csv"), ["id"])
+    assert (tmp_path / "a.csv").read_bytes().decode("utf-8-sig").splitlines() == ["id,name,v", "1,가<b>,1.5", "2,,"]
+    workbook.write_workbook({"results": (df, ["id"])}, str(tmp_path / "a.xlsx"))
+    raw = (tmp_path / "a.xlsx").read_bytes()
     assert landed._sheet_rows(raw) == [["id", "name", "v"], ["1", "가<b>", "1.5"], ["2"]]
     assert "xl/workbook.xml" in zipfile.ZipFile(BytesIO(raw)).namelist()
     page = sinks.reports(spark.createDataFrame([('{"a": "</script>"}',)], "payload string"), "<script>const EMBEDDED_DATA = {x: '}', y: {}}; f()</script>").first()["html"]

@@ -107,6 +107,9 @@ def cut(text: str) -> list[tuple]:
                 holder, kind, parent = [], tag, elements[-1] if elements else None
         elif tag == "TABLE":
             close()
+            if ends and cells:
+                out.append(("ROW", table, aclass, head, None, cells))
+            cells = None
             depth += -1 if ends and depth else (0 if ends else 1)
             if not ends and depth == 1:
                 table += 1
@@ -132,6 +135,8 @@ def cut(text: str) -> list[tuple]:
             while True:
                 was, _, titles = elements.pop()
                 opened[was] -= 1
+                if was in ("TITLE", "P") or was in _CELLS:
+                    close()  # ends with what is closed around it
                 for t in titles:
                     ranges[t][1] = len(out)
                 if was == tag:

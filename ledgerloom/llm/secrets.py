@@ -28,7 +28,7 @@ repeated results; other columns pass through.
 from __future__ import annotations
 
 import base64
-import binascii
+import bisect
 import bz2
 import hashlib
 import itertools
@@ -65,12 +65,34 @@ _READABLE = re.compile(
     rb"\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})+"
 )
 
+# stretches of ASCII in two bytes a sign, either first
+_WIDE = re.compile(rb"(?:[\x09\x0a\x0d\x20-\x7e]\x00){12,}|(?:\x00[\x09\x0a\x0d\x20-\x7e]){12,}")
+
+
+
+def _shown_byte(b: int) -> str:
+    """A pattern of a byte as an escape or, if it is a printable sign, as itself."""
+    digits = "".join(f"[{d}{d.upper()}]" if d.isalpha() else d for d in f"{b:02x}")
+    return "(?:" + "|".join([rf"(?:%|\\x|\\u00){digits}", *([re.escape(chr(b))] if 0x20 < b < 0x7F else [r"\\0"] if not b else [])]) + ")"
+
+
+# fixed values: how compressed layers begin (gzip, zlib, bzip2, xz, zstd); a list holds the choices of one byte
+_STARTS = [[0x1F, 0x8B], [0x78, [0x01, 0x5E, 0x9C, 0xDA]], [*b"BZh", list(b"123456789"), *b"1AY&SY"], [0xFD, *b"7zXZ", 0], [0x28, 0xB5, 0x2F, 0xFD]]
+_ESCAPED_START = re.compile("|".join("".join("(?:" + "|".join(map(_shown_byte, x if isinstance(x, list) else [x])) + ")" for x in start) for start in _STARTS))
+_ESCAPE = re.compile(r"%[0-9A-Fa-f]{2}")
+_PART_OF_ONE = re.compile(r"(?:%[0-9A-Fa-f]?|\\(?:x[0-9A-Fa-f]?|u[0-9A-Fa-f]{0,3})?)$")
+_BACKSLASHED = re.compile(r"\\x([0-9A-Fa-f]{2})|\\u00([0-9A-Fa-f]{2})|\\([nrtabfv0\\'\"])", re.DOTALL)
+_SHORT = {"n": "\n", "r": "\r", "t": "\t", "a": "\a", "b": "\b", "f": "\f", "v": "\v", "0": "\0", "\\": "\\", "'": "'", '"': '"'}
+
 #: the shortest secret: a stretch of fewer bytes holds none
 _LEAST = 12
 #: bytes read at once, written at once, and those that two pieces of a very large layer share
 _FEED, _PIECE, _OVERLAP = 4096, 4 << 20, 1 << 16
 _FAULTS = (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError)
 
+#: the longest file name or comment in a gzip header
+NAME = 4096
+
 MAX_LAYER_BYTES = 32 << 20
 #: from so many layers on escapes are taken off all at once
 DEEP = 24
@@ -302,6 +324,72 @@ def _members(raw: bytes):
             raw = raw.lstrip(b"\x00")
 
 
+def _gzip_head(raw: bytes, at: int) -> str | None:
+    """"fault" or "more" for a header that can't be one, or isn't complete; names and comments have at most NAME bytes."""
+    if len(raw) < at + 12:
+        return "more"
+    flags, at = raw[at + 3], at + 10
+    if raw[at - 8] != 8 or flags & 0xE0:
+        return "fault"
+    if flags & 4:  # fields, each with its own length, fill the extra bytes exactly
+        end = at + 2 + int.from_bytes(raw[at : at + 2], "little")
+        at += 2
+        while at < end:
+            if len(raw) < at + 4:
+                return "more"
+            at += 4 + int.from_bytes(raw[at + 2 : at + 4], "little")
+        if at > end:
+            return "fault"
+    for bit in (8, 16):
+        if flags & bit:
+            stop = raw.find(b"\0", at, at + NAME)
+            if stop < 0:
+                return "fault" if len(raw) >= at + NAME else "more"
+            at = stop + 1
+    return None
+
+
+def _reach(raw: bytes) -> tuple[str, int]:
+    """How far the members at the start of ``raw`` go: ("done", their bytes), ("edge", ...) if another may begin with the last bytes, ("more", ...) if one goes on behind it, ("fault", ...)."""
+    at = 0
+    while True:
+        while raw[at : at + 1] == b"\x00" and at:
+            at += 1
+        if (found := _tool(raw[at : at + 8])) is None:
+            return ("edge" if at else "more") if len(raw) - at < 8 else "done", at
+        tool, size, limits = found
+        if raw[at : at + 2] == b"\x1f\x8b" and (state := _gzip_head(raw, at)):
+            return state, at
+        try:
+            while not tool.eof:
+                feed = b""
+                if getattr(tool, "needs_input", True):
+                    feed = raw[at : at + size]
+                    at += len(feed)
+                    if not feed:
+                        return "more", at
+                tool.decompress(feed, *limits)
+            at -= len(tool.unused_data)
+        except Exception as e:
+            if not isinstance(e, _FAULTS) and type(e).__name__ != "ZstdError":
+                raise
+            return "fault", at
+
+
+def _from(read, length: int) -> tuple[bytes, bool]:
+    """The bytes of a compressed layer, of which ``read(n)`` gives those behind the first ``n`` signs, and whether more was there.
+
+    Read in growing parts, until the layer ends or breaks, so that the many false starts in a text cost little each.
+    """
+    size = 512
+    while True:
+        raw = read(size)
+        state, at = _reach(raw)
+        if state not in ("more", "edge") or size >= length:
+            return raw, state in ("done", "edge")
+        size *= 4
+
+
 def _unpacked(raw: bytes, limit: int) -> bytes | None:
     """One compressed layer less; None if ``raw`` isn't compressed. Raises OverflowError above ``limit``."""
     parts, n, cut = [], 0, False
@@ -453,24 +541,26 @@ def _blobs(layer: _Layer, limit: int):
         code, places, begins = _run(layer.text, m.start(), m.end())
         code = code.replace("-", "+").replace("_", "/")
         plain: set[int] = set()
+        done = 0
         for begin in begins:
             if len(code) - begin < 4:
                 break
             head = _decoded(code[begin : begin + 8])
-            if _tool(head) is not None and len(code) - begin >= 16:
-                # two bytes tell little of zlib: try a part first
-                if head[0] != 0x78 or len(code) - begin < 8192 or _unpacked(_decoded(code[begin : begin + 4096]), 1 << 30):
-                    yield from _packed(_decoded(code[begin:]), layer.span(places[begin], m.end()), limit)
+            if begin >= done and _tool(head) is not None and len(code) - begin >= 16:
+                raw, whole = _from(lambda n, b=begin: _decoded(code[b : b + n]), len(code) - begin)
+                yield from _packed(raw, layer.span(places[begin], m.end()), limit)
+                if whole:  # starts inside it aren't starts
+                    done = begin + _reach(raw)[1] * 8 // 6
             if begin % 4 in plain:
                 continue
             plain.add(begin % 4)
             raw = _decoded(code[begin:])
-            for x in _READABLE.finditer(raw):
+            for x, wide in [*((x, 0) for x in _READABLE.finditer(raw)), *((x, 1) for x in _WIDE.finditer(raw))]:
                 if x.end() - x.start() < _LEAST:
                     continue
-                text, at, starts, ends = x[0].decode(), x.start(), array("q"), array("q")
+                text, at, starts, ends = (x[0].replace(b"\x00", b"") if wide else x[0]).decode(), x.start(), array("q"), array("q")
                 for c in text:
-                    n = len(c.encode()) if ord(c) > 127 else 1
+                    n = 2 if wide else len(c.encode()) if ord(c) > 127 else 1
                     s, e = layer.span(places[begin + at * 8 // 6], places[begin - (-(at + n) * 8 // 6) - 1] + 1)
                     starts.append(s)
                     ends.append(e)
@@ -478,8 +568,51 @@ def _blobs(layer: _Layer, limit: int):
                 yield _Layer(text, starts, ends)
 
 
+def _escaped_bytes(text: str, percent: bool, plus: bool) -> bytes:
+    """The bytes that a text with escapes stands for; up to the first sign that is no byte."""
+    if percent:
+        text = _PERCENT.sub(lambda m: bytes.fromhex(m[0].replace("%", "")).decode("latin-1"), text.replace("+", " ") if plus else text)
+    else:
+        text = _BACKSLASHED.sub(lambda m: _SHORT[m[3]] if m[3] else chr(int(m[1] or m[2], 16)), text)
+    try:
+        return text.encode("latin-1")
+    except UnicodeEncodeError as e:
+        return text[: e.start].encode("latin-1")
+
+
+def _escaped_blobs(layer: _Layer, limit: int):
+    """Layers behind compressed bytes that are written as escapes, with all other signs as they are."""
+    text, done = layer.text, 0
+    if "%" not in text and "\\" not in text:
+        return
+    for m in _ESCAPED_START.finditer(text):
+        if m.start() < done:
+            continue
+        percent = "%" in m[0] if "%" in m[0] or "\\" in m[0] else "%" in text[m.end() : m.end() + 64]
+        for plus in (False, True) if percent else (False,):  # a plus sign may stand for a space
+
+            def read(n: int, b: int = m.start(), plus: bool = plus) -> bytes:
+                part = text[b : b + n]
+                return _escaped_bytes(_PART_OF_ONE.sub("", part) if b + n < len(text) else part, percent, plus)
+
+            raw, whole = _from(read, len(text) - m.start())
+            if whole or not percent or plus or "+" not in text[m.start() : m.start() + len(raw) * 3]:
+                break
+        if next(filter(None, _members(raw)), None) is None:  # no byte comes out: a false start
+            continue
+        size = _reach(raw)[1]
+        # the signs that the bytes take
+        end = m.start() + bisect.bisect_left(range(min(6 * size, len(text) - m.start())), True, key=lambda n: read(n)[:size] == raw[:size])
+        if last := (_ESCAPE if percent else _BACKSLASHED).match(text, end - 1):  # its first sign alone would give the same byte
+            end = last.end()
+        yield from _packed(raw, layer.span(m.start(), max(end, m.end())), limit)
+        if whole:
+            done = end
+
+
 def _below(layer: _Layer, limit: int, depth: int = 0):
     yield from filter(None, (_settled(layer),) if depth == DEEP else (_percent(layer), _unicode(layer)))
+    yield from _escaped_blobs(layer, limit)
     yield from _blobs(layer, limit)
 
 

@@ -537,3 +537,64 @@ def test_extract_keeps_rows_and_columns(spark):
     got = sorted((r["page_id"], r["url"], r["text"], r["n_chars"]) for r in html.extract(df).collect())
     assert got == [(1, "u", "a", 1), (1, "u", "a", 1), (2, "u", "", 0)]
     assert json.dumps(html.extract(df.limit(0)).columns)
+
+
+# ---- secrets: compressed bytes behind escapes, many starts
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, lambda b: gzip.compress(zlib.compress(b)), lambda b: zlib.compress(b, 1), lambda b: gzip.compress(base64.b64encode(gzip.compress(b)))])
+def test_compressed_bytes_behind_escapes(pack):
+    from urllib.parse import quote_plus
+
+    for k in range(12):
+        raw = pack(random.Random(k).randbytes(20 * k) + SECRET)
+        shown = [quote(raw), quote_plus(raw), quote(raw, safe=""), "".join(f"%{b:02x}" for b in raw), "".join(f"\\x{b:02x}" for b in raw), str(raw)[2:-1], "".join(f"\\u{b:04x}" for b in raw)]
+        for x in shown:
+            spans = secrets.unwrap(f"é see data={x} and more words")[1]
+            assert any(k == 0 and s == 11 and 11 + len(x) - 4 <= e <= 12 + len(x) for s, k, e in spans), (x, spans)
+
+
+def test_many_false_starts_take_linear_time():
+    import time
+
+    for unit in ("H4sI/", "eJw/", "%1F%8B%08", "x%9C", "\\x1f\\x8b\\x08\\x00", "QlpoOTFBWSZTWQ/", "BZh91AY&SY"):
+        began = time.process_time()
+        assert secrets.unwrap(unit * 5_000)[1] == []
+        assert time.process_time() - began < 15, unit
+
+
+def test_many_members_take_linear_time():
+    import time
+
+    raw = gzip.compress(b"some words") * 4000 + gzip.compress(SECRET)
+    for x in (base64.b64encode(raw).decode(), quote(raw)):
+        began = time.process_time()
+        assert (0, 0, len(x.rstrip("="))) in [(s, k, len(x.rstrip("="))) for s, k, e in secrets.unwrap(x)[1]]
+        assert time.process_time() - began < 15
+
+
+@pytest.mark.parametrize("kind", ["utf-16-le", "utf-16-be", "utf-16"])
+def test_two_bytes_a_sign(kind):
+    text = "x" + base64.b64encode("\n some words, password: hunter2222 more".encode(kind)).decode()
+    assert "assign:" in found("powershell -enc " + text[1:]) and "assign:" in found(quote(text[1:], safe=""))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_planted_layers_are_found(seed):
+    """Secrets behind random chains of layers, each planted at a known place: every span lies where the chain stands."""
+    rng = random.Random(seed)
+    wraps = [
+        lambda t: quote(t, safe=""), lambda t: "".join(f"\\u{ord(c):04x}" for c in t), lambda t: base64.b64encode(t.encode()).decode(), lambda t: base64.urlsafe_b64encode(gzip.compress(t.encode())).decode(),
+        lambda t: quote(zlib.compress(t.encode())), lambda t: base64.b64encode(t.encode("utf-16-le")).decode(), lambda t: "".join(f"\\x{b:02x}" for b in bz2.compress(t.encode())), lambda t: lines(lzma.compress(t.encode())),
+    ]
+    text, places = "", []
+    for k in range(12):
+        inner = f"some words {k} password: hunter{k}2222 "
+        for _ in range(rng.randint(1, 4)):
+            inner = rng.choice(wraps)(inner)
+        text += "Words between, plain ones. "
+        places.append((len(text), len(text) + len(inner)))
+        text += inner + " "
+    spans = secrets.unwrap(text)[1]
+    for s, e in places:
+        assert any(k == 0 and s <= a and b <= e for a, k, b in spans), (seed, text[s:e][:80])

@@ -19,9 +19,9 @@ aren't scanned one by one there.
 
 Defined results: a null text counts as empty; empty texts have no spans; a payload that
 cannot be decoded is left as it is; compressed layers over ``max_layer_bytes`` are counted in
-``n_oversize``, unpacked as a stream through all compressed layers inside them, and scanned in
-overlapping pieces: memory doesn't grow with them. What is longer than the overlap of 64 KB
-may be found in two spans there, and base64 is then decoded piece by piece. Repeated rows give
+``n_oversize``, unpacked as a stream through all compressed and long base64 layers inside them, and
+scanned in overlapping pieces: memory doesn't grow with them. A secret longer than the overlap of
+64 KB may be found in two spans there, and escapes that are compressed bytes end with a piece. Repeated rows give
 repeated results; other columns pass through.
 """
 
@@ -31,7 +31,6 @@ import base64
 import bisect
 import bz2
 import hashlib
-import itertools
 import lzma
 import re
 import zlib
@@ -59,6 +58,9 @@ _BASE64 = re.compile(
 )
 _NEXT_LINE = re.compile(_LINE_END)
 _SEPARATOR = re.compile(r"[+/_-]")
+_SIGNS = re.compile(f"{_SIGN}+")
+_LINES, _SHORT_LINE = re.compile(f"{_SIGN}{{16,}}"), re.compile(f"{_LINE_END}({_SIGN}{{1,15}})(?!{_SIGN})")
+_UNSETTLED = re.compile(rf"(?:[ \t\r\n\\]|(?<=\\)[rn]){{0,64}}{_SIGN}{{0,15}}$|$")
 # stretches of valid UTF-8 without control signs
 _READABLE = re.compile(
     rb"(?:[\x09-\x0d\x1b\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|"
@@ -406,86 +408,186 @@ def _unpacked(raw: bytes, limit: int) -> bytes | None:
     return _Cut(b"".join(parts)) if cut else b"".join(parts)
 
 
-def _inflated(pieces):
-    """The output of the members that come in pieces; None where one breaks off."""
-    tool, limits, held = None, (), b""
-    for piece in pieces:
-        if piece is None:
-            yield None
-            continue
-        held, at = held + piece, 0
-        while at < len(held):
-            if tool is None:
-                while held[at : at + 1] == b"\x00":
+class _Flow:
+    """A layer that comes in pieces and is never held as a whole; ``feed`` and ``close`` yield what there is to scan.
+
+    A compressed one is unpacked into a flow of its own. Any other is scanned in overlapping
+    pieces; base64 runs longer than the overlap are decoded on the way into further flows.
+    """
+
+    def __init__(self, where, limit: int, seen: frozenset = frozenset(), packed: bool = False):
+        self.where, self.limit, self.seen, self.packed = where, limit, seen, packed
+        self.size = max(min(limit, _PIECE), 2)
+        self.shared = min(_OVERLAP, self.size // 2)
+        self.held, self.old, self.child, self.tool, self.limits, self.state = b"", 0, None, None, (), "head"
+        self.runs = _Runs(self)
+
+    def feed(self, data: bytes):
+        if self.state == "head":
+            self.held += data
+            if len(self.held) >= _FEED:
+                yield from self._open()
+        elif self.state == "packed":
+            yield from self._unpack(data)
+        elif self.state == "plain":
+            yield from self._scan(data)
+
+    def _open(self):
+        head, self.held = self.held, b""
+        start = head[:_FEED]
+        if start not in self.seen and _tool(start) is not None and _unpacked(start, 1 << 30):  # else it unpacks to itself, or is no compressed layer
+            self.state, self.child = "packed", _Flow(self.where, self.limit, self.seen | {start})
+        else:
+            self.state = "over" if self.packed else "plain"
+        yield from self.feed(head)
+
+    def _unpack(self, data: bytes):
+        self.held, at = self.held + data, 0
+        while at < len(self.held):
+            if self.tool is None:
+                while self.held[at : at + 1] == b"\x00":
                     at += 1
-                if len(held) - at < 8:
+                if len(self.held) - at < 8:
                     break
-                if (found := _tool(held[at : at + 8])) is None:
+                if (found := _tool(self.held[at : at + 8])) is None:
+                    self.state = "over"
                     return
-                tool, _, limits = found
-            feed = held[at : at + _FEED]
+                self.tool, _, self.limits = found
+            feed = self.held[at : at + _FEED]
             at += len(feed)
             try:
                 while True:
-                    out = tool.decompress(feed, *limits)
+                    out = self.tool.decompress(feed, *self.limits)
                     if out:
-                        yield out
-                    if tool.eof:
-                        at, tool = at - len(tool.unused_data), None
+                        yield from self.child.feed(out)
+                    if self.tool.eof:
+                        at, self.tool = at - len(self.tool.unused_data), None
                         break
-                    if getattr(tool, "needs_input", True):
+                    if getattr(self.tool, "needs_input", True):
                         break
                     feed = b""
             except Exception as e:
                 if not isinstance(e, _FAULTS) and type(e).__name__ != "ZstdError":
                     raise
-                yield None
+                yield TRUNCATED
+                self.state = "over"
                 return
-        held = held[at:]
-    if tool is not None:
-        yield None
-
-
-def _stream(pieces, seen: frozenset = frozenset()):
-    """The pieces, through all compressed layers that are in them, one in the other."""
-    head, cut = b"", False
-    pieces = iter(pieces)
-    for piece in pieces:
-        cut |= piece is None
-        head += piece or b""
-        if len(head) >= _FEED:
-            break
-    if cut:
-        yield None
-    whole = itertools.chain([head], pieces)
-    start = head[:_FEED]
-    if start in seen or not _unpacked(start, 1 << 30):  # it unpacks to itself, or is no compressed layer
-        yield from whole
-    else:
-        yield from _stream(_inflated(whole), seen | {start})
-
-
-def _overlapping(pieces, limit: int):
-    """Pieces of at most ``limit`` bytes, each beginning with the end of the one before it."""
-    size = max(min(limit, _PIECE), 2)
-    shared, held, old = min(_OVERLAP, size // 2), b"", 0
-    for piece in pieces:
-        for k in range(0, len(piece or b""), size):
-            held += piece[k : k + size]
-            while len(held) >= size:
-                yield held[:size]
-                held, old = held[size - shared :], shared
-    if len(held) > old:
-        yield held
-
-
-def _told(pieces, cut: list[bool]):
-    """The pieces; ``cut`` gets an entry for each that tells of a layer that breaks off."""
-    for piece in pieces:
-        if piece is None:
-            cut.append(True)
+        self.held = self.held[at:]
+
+    def _scan(self, data: bytes):
+        for k in range(0, len(data), self.size):
+            self.held += data[k : k + self.size]
+            while len(self.held) >= self.size:
+                yield _Layer(self.held[: self.size].decode("utf-8", "replace"), fixed=self.where)
+                self.held, self.old = self.held[self.size - self.shared :], self.shared
+        yield from self.runs.feed(data)
+
+    def close(self):
+        if self.state == "head":
+            yield from self._open()
+        if self.state == "plain":
+            yield from self.runs._last(self.runs.carry, 0)
+            if len(self.held) > self.old:
+                yield _Layer(self.held.decode("utf-8", "replace"), fixed=self.where)
+        elif self.child:
+            if self.state == "packed" and self.tool is not None:
+                yield TRUNCATED
+            yield from self.child.close()
+        self.state = "done"
+
+
+class _Runs:
+    """Follows the base64 runs of a flow; one that is longer than what pieces share is decoded as it comes."""
+
+    def __init__(self, flow: _Flow):
+        self.flow, self.carry, self.open = flow, "", False
+        self._start()
+
+    def _start(self) -> None:
+        self.length, self.waiting, self.tail, self.decoders = 0, [], "", None
+
+    def feed(self, data: bytes):
+        """Stretches of 16 and more signs, which are whole lines of a run, and the short line behind the last of them."""
+        text, at = self.carry + data.decode("latin-1"), 0
+        if self.open and (m := _SIGNS.match(text)):  # the last stretch goes on
+            at = m.end()
+            yield from self._signs(m[0], False)
+        # a stretch or gap that the next piece may go on with stays for it
+        stop = len(text) - len(_UNSETTLED.search(text, max(len(text) - 160, at))[0]) if at < len(text) else len(text)
+        for m in _LINES.finditer(text, at, max(stop, at)):
+            if m.start() > at or not self.length:
+                gap = _NEXT_LINE.fullmatch(text, at, m.start()) if self.length else None
+                if not gap:
+                    yield from self._last(text, at)
+                yield from self._signs(m[0], bool(gap))
+            else:
+                yield from self._signs(m[0], False)
+            at = m.end()
+        if at < stop and not _NEXT_LINE.fullmatch(text, at, stop):
+            yield from self._last(text, at)
+            at = stop
+        self.open = at == len(text) and self.length > 0
+        self.carry = text[at:] if self.length else text[stop:]
+
+    def _last(self, text: str, at: int):
+        """The run ends at ``at``, or with a short line behind it."""
+        if self.length and (m := _SHORT_LINE.match(text, at)):
+            yield from self._signs(m[1], True)
+        yield from self.end()
+
+    def _signs(self, code: str, line: bool):
+        code = code.replace("-", "+").replace("_", "/")
+        self.length += len(code)
+        if self.decoders is None:
+            self.waiting.append((code, line))
+            if self.length <= self.flow.shared:
+                return
+            # the four ways in which signs can be grouped, read as text
+            self.decoders = [[skip, "", _Flow(self.flow.where, self.flow.limit)] for skip in range(4)]
+            waiting, self.waiting = self.waiting, []
+            for part, begins in waiting:
+                yield from self._decode(part, begins)
         else:
-            yield piece
+            yield from self._decode(code, line)
+
+    def _decode(self, code: str, line: bool):
+        for d in self.decoders:
+            yield from self._push(d, code)
+        # compressed payloads may begin with a line or behind a sign that is also a separator; they are known by 8 signs
+        known = len(self.tail)
+        text = self.tail + code
+        if line or self.tail == "" and not known:
+            yield from self._try(text, known)
+        for m in _SEPARATOR.finditer(text, max(known - 8, 0)):
+            if m.end() + 8 <= len(text) and (m.end() + 8 > known):
+                yield from self._try(text, m.end())
+        self.tail = text[-16:]
+        self.decoders = [d for d in self.decoders if d[2].state != "over"]
+
+    def _try(self, text: str, begin: int):
+        if len(text) - begin >= 8 and _tool(_decoded(text[begin : begin + 8])) is not None:
+            d = [0, "", _Flow(self.flow.where, self.flow.limit, packed=True)]
+            self.decoders.append(d)
+            yield from self._push(d, text[begin:])
+
+    @staticmethod
+    def _push(d: list, code: str):
+        """Decode all whole groups of signs."""
+        skip = min(d[0], len(code))
+        d[0] -= skip
+        code = d[1] + code[skip:]
+        whole = len(code) // 4 * 4
+        d[1] = code[whole:]
+        if whole:
+            yield from d[2].feed(base64.b64decode(code[:whole]))
+
+    def end(self):
+        decoders = self.decoders or []
+        for _, rest, flow in decoders:
+            if len(rest) > 1:
+                yield from flow.feed(_decoded(rest))
+            yield from flow.close()
+        self._start()
 
 
 def _run(text: str, start: int, end: int):
@@ -522,9 +624,18 @@ def _packed(raw: bytes, where, limit: int):
             raw, packed = bytes(out), True
     except OverflowError:
         yield OVERSIZE
-        cut: list[bool] = []
-        for piece in _overlapping(_told(_stream(_members(raw)), cut), limit):
-            yield _Layer(piece.decode("utf-8", "replace"), fixed=where)
+        flow, cut = _Flow(where, limit), False
+        for piece in _members(raw):
+            for found in flow.feed(piece) if piece is not None else (TRUNCATED,):
+                if found.__class__ is str:
+                    cut = True
+                else:
+                    yield found
+        for found in flow.close():
+            if found.__class__ is str:
+                cut = True
+            else:
+                yield found
         if cut:
             yield TRUNCATED
         return

@@ -152,6 +152,16 @@ def test_layers_in_oversize_ones_are_streamed():
     assert secrets._unwrap(broken, 1 << 12)[3:] == (1, 1)
 
 
+@pytest.mark.parametrize("limit", [5_000, 100_000, 32 << 20])
+def test_any_limit_finds_the_same(limit):
+    noise = random.Random(3).randbytes
+    deep = gzip.compress(noise(120_000) + b" password=hunter2hunter2 " + noise(500))
+    for inner in (base64.b64encode(deep), base64.b64encode(b"x y " * 40_000 + b" password=hunter2hunter2 " + b"z " * 40_000), lines(deep).encode(), b"a/" + base64.urlsafe_b64encode(deep), base64.b64encode(base64.b64encode(deep)), deep):
+        text = "blob " + base64.b64encode(gzip.compress(b"some words " * 9_000 + inner + b"\nmore words")).decode().rstrip("=")
+        _, spans, _, oversize, _ = secrets._unwrap(text, limit)
+        assert (5, 0, len(text)) in spans and oversize == (limit < 1 << 20), (limit, inner[:20])
+
+
 def test_memory_of_large_layers_is_flat():
     import resource
 

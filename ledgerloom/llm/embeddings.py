@@ -17,7 +17,9 @@ Defined results: vectors that are null, empty, zero or hold null or non-finite c
 and vectors without a label, link with nothing; very small and very large components are
 scaled before lengths are taken; vectors of different lengths never link; repeated rows count
 as vectors of their own; different vectors with one vec_id are one vec_id with the links of
-all of them; an empty table gives no rows.
+all of them; rows with a null vec_id have links and are counted as links of others, and a
+component of nothing but such rows has a null component_id, which counts as their own; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -123,8 +125,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, fit_rows:
     same = ["label", "embedding"]
     fine = usable.groupBy(*same, "_salt").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n"))
     over = Window.partitionBy(*same)
-    fine = checkpointed(fine.select(*same, "_salt", F.min("low").over(over).alias("rep"), F.sum("n").over(over).alias("copies"), F.col("low")))
-    classes = fine.where("rep = low").select("rep", "label", "embedding", "copies", F.size("embedding").alias("dims"))
+    # a class has a number of its own, so that one whose vec_ids are all null is a class like others
+    number = F.when(F.row_number().over(over.orderBy("_salt")) == 1, F.monotonically_increasing_id())
+    fine = fine.withColumns({"smallest": F.min("low").over(over), "copies": F.sum("n").over(over), "number": number})
+    fine = checkpointed(fine.select(*same, "_salt", F.max("number").over(over).alias("rep"), "copies", "smallest", F.col("number").isNotNull().alias("first")))
+    # classes that share their smallest vec_id are one node of the links; seldom there are any
+    named = fine.where("first and smallest is not null").groupBy("smallest").agg(F.min("rep").alias("node"), F.count(F.lit(1)).alias("n"))
+    shared = named.where("n > 1").select("smallest", "node")
+    if not shared.isEmpty():
+        fine = checkpointed(fine.join(shared, "smallest", "left").withColumn("rep", F.coalesce("node", "rep")).drop("node"))
+    classes = fine.where("first").select("rep", "label", "embedding", "copies", F.size("embedding").alias("dims"))
 
     counts = classes.groupBy("label", "dims").count().groupBy("dims")
     sizes = counts.agg(F.max("count").alias("largest"), F.sum("count").alias("n")).collect()  # one row per length
@@ -186,13 +196,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, fit_rows:
     found = checkpointed(map_blocks(full, bucket, compare, ["rep", "links", "root"], "rep long, links long, root long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     components = connected_components(found, "rep", "root").withColumnRenamed("node", "rep")
-    per_class = links.join(components, "rep")
+    # a component is named by the smallest vec_id in it
+    named = components.join(fine.where("first").select("rep", "smallest").distinct(), "rep").groupBy("component").agg(F.min("smallest").alias("name"))
+    per_class = links.join(components, "rep").join(named, "component").select("rep", "links", "name")
     # classes learn their links by rep, vectors by (vector, salt): a class of very many copies stays spread
     settled = fine.join(per_class, "rep", "left").select(
         *same,
         "_salt",
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id"),
+        F.coalesce("name", "smallest").alias("component_id"),
     )
     known = usable.join(settled, [*same, "_salt"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.coalesce(_usable(), F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

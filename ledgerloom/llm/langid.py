@@ -179,9 +179,11 @@ def training_windows(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row per language
     if not counts:
         return []
-    shares = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, docs_per_language / n))])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(_SEED)), F.lit(1_000_000)) / 1_000_000
+    shares = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, docs_per_language / n) * (1 << 40)))])
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(_SEED)), F.lit(1 << 40))
     chosen = labelled.where(draw < F.element_at(shares, F.col("lang"))).where(F.col("text").rlike(r"\p{L}"))
+    # equal rows fall in or out together, so what is drawn is limited too
+    chosen = chosen.limit(4 * docs_per_language * len(counts))
     room = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
     cuts = F.array(*[F.substring("text", (F.pmod(F.xxhash64("doc_id", F.lit(k)), room) + 1).cast("int"), F.lit(WINDOW)) for k in range(windows)])
     rows = chosen.select("lang", F.explode(cuts).alias("cut")).collect()

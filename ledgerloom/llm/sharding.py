@@ -4,9 +4,11 @@ Documents with equal texts are linked. Each document starts in the shard that it
 a hashed order gives; then rounds of joins move linked documents to the shard where most of
 their group is, as far as that shard has room. A group that is larger than half a shard is
 propagated in parts. Moves are drawn by hash with the probability room / demand, so no
-shard's queue is ever brought together; a last distributed ranking turns the near-equal
-loads into exact quotas: numbers of rows at most one apart (law ``rows``). Rows that must
-give way are unlinked ones first.
+shard's queue is ever brought together. In the last round every group, or part of one, goes
+as a whole to the shard where most of it is, and a distributed ranking turns the near-equal
+loads into exact quotas: numbers of rows at most one apart (law ``rows``). What lies beyond a
+quota fills the shards with room, group by group: unlinked rows give way first, and a group is
+split only where it lies across a quota, at most twice a shard.
 
 The rounds work on counts per (group part, shard), at most ``SALTS`` x shards rows for a
 group however many rows it has; documents are joined on (group, salt), which splits hot
@@ -101,17 +103,18 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
             loads[r["shard"]] -= r["rows"]
             loads[r["at"]] += r["rows"]
 
-    # a unit that came together has one shard; the rows of others stay where they are
-    settled = units.groupBy("g", "sub").agg(F.min("shard").alias("low"), F.max("shard").alias("high"))
-    final = fine.select("g", "f", "sub", "group_size").distinct().join(settled, ["g", "sub"])
-    final = final.select("g", "f", "group_size", F.when(F.col("low") == F.col("high"), F.col("low")).alias("unit_shard"))
+    # a unit that hasn't come together goes as a whole to where most of it is; in the order below its
+    # rows follow each other, so only a unit across a quota is split
+    settled = units.groupBy("g", "sub").agg(F.max_by("shard", F.struct("rows", -F.col("shard"))).alias("unit_shard"))
+    final = fine.select("g", "f", "sub", "group_size").distinct().join(settled, ["g", "sub"]).select("g", "f", "group_size", "unit_shard")
     moved = placed.join(final, ["g", "f"], "left").select(
         "uid", "doc_id", "size", "text_crc32", F.coalesce("unit_shard", "shard").alias("shard"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.when(F.col("unit_shard").isNotNull(), 0).when(F.col("group_size").isNotNull(), 1).otherwise(2).alias("gives_way"),
-        F.coalesce(F.xxhash64("g"), F.lit(0)).alias("near"),
+        F.when(F.col("unit_shard").isNotNull(), 0).otherwise(1).alias("gives_way"),
+        (-F.coalesce("group_size", F.lit(1))).alias("smaller"), F.coalesce(F.xxhash64("g"), F.lit(0)).alias("near"),
     )
-    ranked = checkpointed(with_rank(moved, "shard", "gives_way", "near", "uid", rank="at"))
+    # larger groups first, so that those across a quota are small ones
+    ranked = checkpointed(with_rank(moved, "shard", "gives_way", "smaller", "near", "uid", rank="at"))
 
     # exact quotas: what lies beyond a shard's quota fills the shards that have room, in order
     load = {r["shard"]: r["count"] for r in ranked.groupBy("shard").count().collect()}
@@ -124,7 +127,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
     slot = (F.col("at") - _by_shard(first)).cast("long")
     ranked = ranked.withColumn("slot", slot)
     stay = ranked.where(F.col("slot") < _by_shard(quotas))
-    over = with_rank(ranked.where(F.col("slot") >= _by_shard(quotas)).drop("at", "slot", "shard"), "near", "uid", rank="at")
+    over = with_rank(ranked.where(F.col("slot") >= _by_shard(quotas)).drop("at", "slot", "shard"), "smaller", "near", "uid", rank="at")
     targets = [s for s in range(shards) if load.get(s, 0) < quotas[s]]
     to = F.lit(0)
     for s in targets:

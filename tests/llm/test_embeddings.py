@@ -84,6 +84,22 @@ def test_one_vec_id_with_several_vectors(spark):
     assert got == [(1, 2, 1), (1, 2, 1), (2, 1, 1), (3, 1, 1)]
 
 
+def test_null_vec_ids_have_links(spark):
+    v = vectors(60)
+    rows = [(None if i % 4 == 0 else i, x, lab) for i, x, lab in v] + [(None, [9.0] * 16, 7), (None, [18.0] * 16, 7)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, KIND)).collect()
+    want = brute([*v, (1000, [9.0] * 16, 7), (1001, [18.0] * 16, 7)])
+    null = {i for i, (k, _, _) in enumerate(rows) if k is None} | {1000, 1001}
+    assert sorted((r["vec_id"], r["n_links"]) for r in got if r["vec_id"] is not None) == sorted((i, n) for i, (n, _, _) in want.items() if i not in null)
+    assert sorted(r["n_links"] for r in got if r["vec_id"] is None) == sorted(n for i, (n, _, _) in want.items() if i in null)
+    members = {}
+    for i, (_, c, _) in want.items():
+        members.setdefault(c, []).append(i)
+    name = {c: min((i for i in own if i not in null), default=None) for c, own in members.items()}
+    assert all(r["component_id"] == name[want[r["vec_id"]][1]] and r["kept"] == (r["vec_id"] == r["component_id"]) for r in got if r["vec_id"] is not None)
+    assert sum(r["component_id"] is None for r in got) == sum(len(members[c]) for c, k in name.items() if k is None) >= 2
+
+
 def test_the_plan_counts_what_centring_takes():
     rng = np.random.default_rng(3)
     unit = embeddings.unit_vectors(rng.standard_normal((3000, 32)) + np.r_[2.0, np.zeros(31)])

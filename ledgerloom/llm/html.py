@@ -44,7 +44,7 @@ _SELF_CLOSING = {
     "option": ({"option"}, {"select", "datalist"}),
 }
 _DROPPED = frozenset(
-    "head script style noscript template svg math canvas object embed iframe audio video nav footer aside form button select input "
+    "head script style noscript template svg canvas object embed iframe audio video nav footer aside form button select input "
     "textarea dialog menu search map".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
@@ -190,6 +190,42 @@ def _inside(node: Node, tag: str) -> bool:
     return False
 
 
+#: elements that are never a page's wrapper
+_NEVER = _DROPPED - {"form"}
+
+
+def keep_wrappers(body: Node) -> None:
+    """Forms and named surroundings that hold most of a page's running text and its main heading are wrappers, not surroundings.
+
+    Running text is what stands outside of links, and outside of elements that no name or place can make content.
+    """
+    order, todo = [], [body]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [x for x in node.parts if x.__class__ is Node and x.tag not in _NEVER]
+    held: dict[int, int] = {}
+    headed: set[int] = set()
+    rank = min((x.tag for x in order if x.tag in _HEADINGS), default=None)
+    for node in reversed(order):
+        own = 0
+        if node.tag == rank or any(x.__class__ is Node and id(x) in headed for x in node.parts):
+            headed.add(id(node))
+        for x in node.parts:
+            if x.__class__ is Node:
+                # what lies in further surroundings doesn't make the outer ones a wrapper
+                own += 0 if x.tag in _NEVER or x.tag == "a" else held[id(x)]
+            else:
+                own += len("".join(x.split()))
+        held[id(node)] = own
+    most = held[id(body)] / 2
+    for node in order:
+        if node.noise and node.tag not in _NEVER and held[id(node)] > most and (node.tag == "form" or id(node) in headed):
+            inside = sum(held[id(x)] for x in node.parts if x.__class__ is Node and x.tag in ("p", "article", "main", "div", "section", "table", "ul", "ol", *_HEADINGS))
+            if inside > most:
+                node.noise = False
+
+
 def densities(body: Node) -> list[Node]:
     """Fill the densities and density sums of all nodes that aren't left out."""
     order = _walk(body)
@@ -326,7 +362,9 @@ def main_text(page: str | None) -> str:
     """The main text of a page, whole; empty if there is none."""
     if not isinstance(page, str) or not page:
         return ""
-    return "\n".join(blocks(*content(parse(page))))
+    body = parse(page)
+    keep_wrappers(body)
+    return "\n".join(blocks(*content(body)))
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text", n_chars: str = "n_chars") -> DataFrame:

@@ -608,3 +608,16 @@ def test_planted_layers_are_found(seed):
     spans = secrets.unwrap(text)[1]
     for s, e in places:
         assert any(k == 0 and s <= a and b <= e for a, k, b in spans), (seed, text[s:e][:80])
+
+
+# ---- html: wrappers
+
+
+def test_forms_around_whole_pages_are_wrappers():
+    article = "".join(f"<p>Paragraph {k} of the article, with some running text in it.</p>" for k in range(8))
+    want = "\n".join(["Title", *[f"Paragraph {k} of the article, with some running text in it." for k in range(8)]])
+    for open_, close in (('<form id="aspnetForm">', "</form>"), ('<div class="sidebar-layout">', "</div>"), ('<form class="form"><div id="content">', "</div></form>")):
+        page = f'<body>{open_}<nav><a href="/">Home</a></nav><div><h1>Title</h1>{article}</div><form class="search"><p>Search here for more</p></form>{close}</body>'
+        assert html.main_text(page) == want, open_
+    assert html.main_text(f'<body><div><h1>Title</h1>{article}</div><form><p>Your name and a message</p><textarea>x</textarea></form></body>') == want
+    assert "x = y" in html.main_text(f"<body><div><h1>T</h1>{article}<p>so <math><mi>x</mi> = <mi>y</mi></math> holds</p></div></body>")

@@ -80,7 +80,8 @@ class Store:
         schema = T.StructType.fromJson(found["schema"])
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
-    def _bucket(self, name: str) -> Column:
+    def bucket(self, name: str) -> Column:
+        """The bucket of a table's row."""
         return F.pmod(F.xxhash64(self.keys[name]), F.lit(self.buckets)).cast("int")
 
     def commit(self, base: int, changes: Mapping[str, DataFrame], touched: Mapping[str, list[int]] | None = None) -> int:
@@ -88,7 +89,7 @@ class Store:
         now = {k: dict(v, buckets=dict(v["buckets"])) for k, v in self.manifest(base).items()}
         for name, rows in changes.items():
             folder = f"{self.folder}/{name}/{uuid.uuid4().hex}"
-            rows.withColumn("_bucket", self._bucket(name)).repartition("_bucket").write.partitionBy("_bucket").parquet(folder)
+            rows.withColumn("_bucket", self.bucket(name)).repartition("_bucket").write.partitionBy("_bucket").parquet(folder)
             made = {str(r[0]) for r in self.spark.read.parquet(folder).select("_bucket").distinct().collect()} if not self._empty(folder) else set()
             kept = now.get(name, {"buckets": {}})["buckets"]
             gone = set(map(str, touched[name])) if touched and name in touched else set(kept)
@@ -106,7 +107,7 @@ class Store:
 
     def _parts(self, name: str, base: int, where: Column) -> tuple[DataFrame, list[int]]:
         """The rows of the buckets that hold a row for which ``where`` is true, and those buckets."""
-        rows = self.table(name, base).withColumn("_bucket", self._bucket(name))
+        rows = self.table(name, base).withColumn("_bucket", self.bucket(name))
         hit = [r[0] for r in rows.where(where).select("_bucket").distinct().collect()]  # at most as many as there are buckets
         return rows.where(F.col("_bucket").isin(hit) if hit else F.lit(False)).drop("_bucket"), hit
 
@@ -140,12 +141,25 @@ class Store:
             ids = ids.where("_id is not null").distinct()
             rows = self.table(name, base)
             gone[name] = rows.join(ids, rows[column] == F.col("_id"), "left_semi")
-            marked = gone[name].select(self._bucket(name).alias("_bucket")).groupBy("_bucket").count().collect()  # one row per bucket
+            marked = gone[name].select(self.bucket(name).alias("_bucket")).groupBy("_bucket").count().collect()  # one row per bucket
             counts[name] = sum(r[1] for r in marked)
             if marked:
                 touched[name] = [r[0] for r in marked]
-                part = rows.where(self._bucket(name).isin(touched[name]))
+                part = rows.where(self.bucket(name).isin(touched[name]))
                 changes[name] = part.join(ids, part[column] == F.col("_id"), "left_anti")
         if changes:
             self.commit(base, changes, touched)
         return counts
+
+    def forget(self, versions: int) -> None:
+        """Remove the manifests before the newest ``versions`` and the folders that no later one names."""
+        newest = self.version()
+        store, path = self._files()
+        old = sorted(int(f.getPath().getName().removesuffix(".json")) for f in store.listStatus(path) if f.getPath().getName().endswith(".json"))
+        old = [v for v in old if v <= newest - versions]
+        if not old:
+            return
+        kept = {f for v in range(newest - versions + 1, newest + 1) for t in self.manifest(v).values() for f in t["buckets"].values()}
+        gone = {f for v in old for t in self.manifest(v).values() for f in t["buckets"].values()} - kept
+        for name in [*gone, *(f"{path.toString()}/{v:012d}.json" for v in old)]:
+            store.delete(self.spark._jvm.org.apache.hadoop.fs.Path(name), True)

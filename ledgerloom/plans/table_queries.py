@@ -189,7 +189,7 @@ def _wanted(spark, sf_dir):
 @query("""WITH j AS (SELECT p_partkey AS k, p_partkey % 4 AS r, p_partkey % 3 AS i FROM part),
  c AS (SELECT c_custkey AS id, c_nationkey AS n, CASE WHEN c_custkey % 11 <> 0 THEN c_custkey % 5 END AS d, CASE WHEN c_custkey % 13 <> 0 THEN lpad(CAST(c_custkey * 37 % 40000 AS VARCHAR), 5, '0') END AS code,
    CASE WHEN c_custkey % 10 <> 0 THEN c_custkey % 9000 END AS revenue, CASE WHEN c_custkey % 10 <> 1 THEN c_custkey % 7000 END AS assets FROM customer)
-SELECT j.k AS job_id, count(*) AS n, min(c.id) AS low, sum(c.id) AS total FROM j JOIN c ON
+SELECT j.k AS job_id, count(*) AS n, min(c.id) AS low, CAST(sum(c.id) AS BIGINT) AS total FROM j JOIN c ON
  CASE r WHEN 0 THEN c.n = k % 25 WHEN 1 THEN c.n = (k + 7) % 25 OR (c.n = k % 25 AND coalesce(c.d = k % 5, false)) WHEN 2 THEN c.n = k % 25 AND coalesce(c.d IN (k % 3, 4), false) ELSE true END
  AND CASE i WHEN 0 THEN coalesce(starts_with(code, CAST(k % 4 AS VARCHAR)) OR starts_with(code, '30') OR starts_with(code, '31') OR starts_with(code, '32'), false) WHEN 1 THEN coalesce(starts_with(code, CAST(k % 40 AS VARCHAR)), false) ELSE true END
  AND CASE WHEN k % 5 <> 0 THEN coalesce(revenue >= k % 7 * 1000, true) ELSE coalesce(revenue <= k % 9 * 1000, true) END AND (k % 6 <> 0 OR coalesce(assets <= k % 11 * 500, true))

@@ -132,6 +132,18 @@ def test_a_lost_update_is_refused(spark, tmp_path):
     assert store.table("jobs", 1).where("status <> 'DONE'").isEmpty()
 
 
+def test_old_versions_are_forgotten(spark, tmp_path):
+    store = Store(spark, str(tmp_path), {"t": "id"}, buckets=4)
+    store.commit(0, {"t": spark.range(20)})
+    for k in range(4):
+        store.commit(store.version(), {"t": spark.range(k, k + 1)}, {"t": [k]})
+        store.forget(2)
+    assert store.version() == 5 and sorted(int(f.name[:12]) for f in (tmp_path / "_commits").glob("*.json")) == [4, 5]
+    assert store.table("t").count() >= 1 and store.table("t", 4).count() >= 1
+    folders = {p.parent for p in (tmp_path / "t").rglob("*.parquet")}
+    assert len(folders) <= 8
+
+
 def test_cascade_is_one_commit(spark, tmp_path):
     store = Store(spark, str(tmp_path), {"jobs": "id", "results": "job_id", "snapshots": "result_id"}, buckets=4)
     rows = {"jobs": ([(1,), (2,), (None,)], "id long"), "results": ([(10, 1), (11, 1), (12, 2), (13, None)], "id long, job_id long"), "snapshots": ([(5, 10), (6, 11), (7, 12), (8, None)], "id long, result_id long")}

@@ -212,3 +212,9 @@ PSEUDO_TAG = r"</?[가-힣][^<>]*>"
 LABEL_BLANKS = " 　\n\r\t"
 ZERO_AMOUNTS = ["-", "−", "‐", "–"]
 RULE_CHARS = "=＝"
+
+# fixed values: warnings of reports
+WARNING_NAMES = 3
+YEAR_SUFFIX = "년"
+MORE_NAMES = (" 외 ", "곳")
+CONTACT_PLACEHOLDER = "연락처 미입력"

@@ -174,3 +174,24 @@ def warnings(snapshots: DataFrame) -> DataFrame:
     )
     kinds = F.array_compact(F.array(*[F.when(F.col(c) > 0, F.lit(c)) for c in ("failed", "incomplete", "partial", "borrowed", "negative_equity")]))
     return flags.select("result_id", F.when(F.col("usable") == 0, F.array(F.lit("nothing_usable"))).otherwise(kinds).alias("warnings"))
+
+
+def comparison_warnings(chosen: DataFrame, shown: int = fixed.WARNING_NAMES) -> DataFrame:
+    """(target_id, n, names, text): the compared companies whose year is only partly read, each once, in the order of ``rank``.
+
+    ``chosen`` has target_id, result_id, name, year, partial and rank. A target's companies are
+    first reduced to one row each, so what is put in order is as many as a comparison shows.
+    """
+    first = chosen.where("partial").groupBy("target_id", "result_id").agg(F.min(F.struct("rank", "name", "year")).alias("c"))
+    label = F.concat(F.coalesce("c.name", F.lit("")), F.lit("("), F.col("c.year"), F.lit(f"{fixed.YEAR_SUFFIX})"))
+    found = first.groupBy("target_id").agg(F.array_sort(F.collect_list(F.struct(F.col("c.rank").alias("rank"), "result_id", label.alias("label")))).alias("all"))
+    names = F.transform("all", lambda x: x["label"])
+    rest = F.size("all") - shown
+    text = F.concat(F.array_join(F.slice(names, 1, shown), ", "), F.when(rest > 0, F.concat(F.lit(fixed.MORE_NAMES[0]), rest.cast("string"), F.lit(fixed.MORE_NAMES[1]))).otherwise(""))
+    return found.select("target_id", F.size("all").cast("bigint").alias("n"), F.slice(names, 1, shown).alias("names"), text.alias("text"))
+
+
+def is_placeholder(contact: Column) -> Column:
+    """Whether a contact is blank or still the text that asks for one."""
+    text = stripped(F.coalesce(contact, F.lit("")))
+    return (text == "") | text.startswith(fixed.CONTACT_PLACEHOLDER)

@@ -246,3 +246,37 @@ def repaired_encodings(spark, sf_dir):
         .when(k == 2, F.concat(raw(said), name, raw(b"\xff\xff</DOC>")))
     )
     return filings.repaired_documents(c.select(F.col("c_custkey").cast("string").alias("rcept_no"), content.alias("content")))
+
+
+@query("""SELECT c_custkey AS result_id, CAST(CASE WHEN c_custkey % 7 IN (0, 1, 2, 3, 4) OR c_custkey % 2 = 0 THEN 0 ELSE 3 END AS BIGINT) AS n_details,
+  CASE c_custkey % 7 WHEN 0 THEN 'no_filing' WHEN 1 THEN 'no_document' WHEN 2 THEN 'pdf_only' WHEN 3 THEN 'not_read' WHEN 4 THEN 'no_details' ELSE CASE WHEN c_custkey % 2 = 0 THEN 'no_details' END END AS reason FROM customer""")
+def detail_reasons(spark, sf_dir):
+    """Accounts of results' filings, or why there are none: no filing, no document, a PDF only, nothing to cut, no accounts."""
+    c = _table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    results_ = c.select(k.alias("id"), F.when(k % 7 != 0, k.cast("string")).alias("rcept_no"))
+    at = F.col("rcept_no").cast("bigint") % 7
+    text = F.when(at == 3, F.encode(F.lit("no markup"), "UTF-8")).when(at == 4, F.encode(F.lit("<DOC><P>text</P></DOC>"), "UTF-8")).otherwise(F.col("content"))
+    documents = _statements(spark, sf_dir).select("rcept_no", F.when(at == 2, "PDF").otherwise("XML").alias("kind"), text.alias("content")).where(at != 1)
+    return filings.details_with_reasons(results_, documents)
+
+
+@query("""WITH c AS (SELECT o_custkey AS target_id, o_orderkey % 23 AS result_id, o_orderstatus <> 'F' AS partial, o_orderkey AS rank, 'N' || (o_orderkey % 23) || '(' || year(o_orderdate) || '년)' AS label FROM orders),
+ f AS (SELECT target_id, result_id, min(rank) AS rank, arg_min(label, rank) AS label FROM c WHERE partial GROUP BY 1, 2),
+ p AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY rank) AS place, count(*) OVER (PARTITION BY target_id) AS n FROM f)
+SELECT target_id, any_value(n) AS n, string_agg(label, ', ' ORDER BY place) FILTER (WHERE place <= 3) || CASE WHEN any_value(n) > 3 THEN ' 외 ' || (any_value(n) - 3) || '곳' ELSE '' END AS text FROM p GROUP BY 1""")
+def comparison_warnings(spark, sf_dir):
+    """Partly read companies in each comparison: how many, and the first three by name."""
+    o = _table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey") % 23
+    chosen = o.select(F.col("o_custkey").alias("target_id"), k.alias("result_id"), F.concat(F.lit("N"), k.cast("string")).alias("name"), F.year("o_orderdate").cast("string").alias("year"), (F.col("o_orderstatus") != "F").alias("partial"), F.col("o_orderkey").alias("rank"))
+    return peers.comparison_warnings(chosen).select("target_id", "n", "text")
+
+
+@query("SELECT c_custkey, c_custkey % 4 <> 0 AS placeholder FROM customer")
+def placeholder_contacts(spark, sf_dir):
+    """Contacts that are missing, blank or still the text that asks for one."""
+    c = _table(spark, sf_dir, "customer")
+    k = F.col("c_custkey") % 4
+    contact = F.when(k == 0, F.concat(F.lit("T. "), "c_name")).when(k == 1, F.lit(" 　")).when(k == 2, F.concat(F.lit(" 연락처 미입력 — "), "c_name"))
+    return c.select("c_custkey", peers.is_placeholder(contact).alias("placeholder"))

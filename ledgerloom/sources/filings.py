@@ -531,3 +531,25 @@ def section_html(rows: DataFrame) -> DataFrame:
     tables = lines.groupBy("rcept_no", "section", "r.table_no").agg(F.array_sort(F.collect_list("r")).alias("rs"))
     table = F.concat(F.lit("<table>"), F.concat_ws("", F.transform("rs", lambda r: r["line"])), F.lit("</table>"))
     return tables.groupBy("rcept_no", "section").agg(F.array_sort(F.collect_list(F.struct("table_no", table.alias("t")))).alias("ts")).select("rcept_no", "section", F.concat_ws("\n", F.transform("ts", lambda t: t["t"])).alias("html"))
+
+
+def details_with_reasons(results: DataFrame, documents: DataFrame) -> DataFrame:
+    """(result_id, n_details, reason): how many accounts each result's filing gives, or why it gives none.
+
+    ``results`` has id and rcept_no; ``documents`` rcept_no, kind (XML, PDF) and content. Reasons:
+    ``no_filing``, ``no_document``, ``pdf_only``, ``not_read`` (nothing could be cut from it) and
+    ``no_details``. The documents are read once; a filing of several results is cut once.
+    """
+    wanted = results.where("coalesce(rcept_no, '') <> ''").select("rcept_no").distinct()
+    found = documents.join(wanted, "rcept_no", "left_semi")
+    kinds = found.groupBy("rcept_no").agg(F.max(F.col("kind") == "XML").alias("_xml"))
+    rows = materialised(document_rows(found.where("kind = 'XML'")))
+    read = rows.select("rcept_no").distinct().withColumn("_read", F.lit(True))
+    counts = account_details(rows).groupBy("rcept_no").agg(F.count(F.lit(1)).alias("n_details"))
+    known = kinds.join(read, "rcept_no", "left").join(counts, "rcept_no", "left")
+    reason = (
+        F.when(F.coalesce("rcept_no", F.lit("")) == "", "no_filing").when(F.col("_xml").isNull(), "no_document").when(~F.col("_xml"), "pdf_only")
+        .when(F.col("_read").isNull(), "not_read").when(F.col("n_details").isNull(), "no_details")
+    )
+    out = results.select(F.col("id").alias("result_id"), "rcept_no").join(known, "rcept_no", "left")
+    return out.select("result_id", F.coalesce("n_details", F.lit(0)).cast("bigint").alias("n_details"), reason.alias("reason"))

@@ -42,7 +42,8 @@ def ranked(df: DataFrame, keys: list, place: str = "place", counted=None) -> Dat
         before.append((r["_part"], start))
         start += r["n"]
     offsets = df.sparkSession.createDataFrame(before, "_part int, _before long")
-    inside = F.sum("_one").over(Window.partitionBy("_part").orderBy("_row"))
+    # the low 33 bits of a row's number count the rows of its partition, so nothing is shuffled for places of all rows
+    inside = F.sum("_one").over(Window.partitionBy("_part").orderBy("_row")) if counted is not None else F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)) + 1
     return placed.withColumn(place, inside).join(F.broadcast(offsets), "_part").withColumn(place, F.col(place) + F.col("_before")).drop("_part", "_row", "_one", "_before")
 
 
@@ -57,11 +58,10 @@ def ranked_within(df: DataFrame, groups: list[str], keys: list, place: str = "pl
     by = [*groups, *keys]
     placed = materialised(df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}))
     earlier = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = placed.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    counts = counts.select(F.col("_part").alias("_p"), "_before", *[F.col(g).alias(f"_g_{g}") for g in groups])
+    # a group's rows follow each other in a partition: a row's place there is its distance from the first of them
+    counts = placed.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    counts = counts.select(F.col("_part").alias("_p"), "_before", "_first", *[F.col(g).alias(f"_g_{g}") for g in groups])
     same = F.col("_part") == F.col("_p")
     for g in groups:
         same &= F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    inside = F.row_number().over(Window.partitionBy("_part", *groups).orderBy("_row"))
-    rows = placed.withColumn("_inside", inside).join(counts, same)
-    return rows.select(*df.columns, (F.col("_inside") + F.col("_before")).alias(place))
+    return placed.join(counts, same).select(*df.columns, (F.col("_row") - F.col("_first") + 1 + F.col("_before")).alias(place))

@@ -45,9 +45,11 @@ def repair_swapped(index: DataFrame, profiles: DataFrame, attributes: list[str])
     tells each company's number; the group's row with that number holds its attributes. If
     no row has it, the profile's own fields are taken and the industry's name is cleared.
     """
-    members = ambiguous_groups(index).select("name", "unit", F.explode("codes").alias("corp_code"))
     number = corporate_number(F.col("jurir_no"))
-    mine = index.join(members, "corp_code").withColumn("_number", F.col("jurir_no"))
+    # members of a group are found by its count, so no group is put together in one row
+    rows = index.withColumns({"name": F.nullif("corp_name_norm", F.lit("")), "unit": F.coalesce("crawl_induty_code", F.lit(""))}).where("name is not null and coalesce(corp_code, '') <> ''")
+    many = rows.groupBy("name", "unit").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    mine = materialised(rows.join(many, ["name", "unit"]).withColumn("_number", F.col("jurir_no")))
     source = mine.where("jurir_no is not null and jurir_no <> ''").select("name", "unit", F.col("_number").alias("_want"), F.struct(*attributes).alias("_from"))
     source = source.groupBy("name", "unit", "_want").agg(F.min("_from").alias("_from"))
     known = [c for c in profiles.columns if c in attributes and c != "jurir_no"]
@@ -68,6 +70,7 @@ def repair_swapped(index: DataFrame, profiles: DataFrame, attributes: list[str])
 
     kept = [c for c in index.columns if c not in attributes]
     fixed = fixed.select(*kept, *[value(c) for c in attributes], F.when(~found, "fallback").when(~F.col("_from.jurir_no").eqNullSafe(F.col("_number")), "repaired").otherwise("kept").alias("repair"))
+    fixed = materialised(fixed)
     rest = index.join(fixed.select("corp_code"), "corp_code", "left_anti").withColumn("repair", F.lit("untouched"))
     return rest.unionByName(fixed.select(*rest.columns))
 

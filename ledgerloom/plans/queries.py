@@ -284,7 +284,7 @@ SELECT count(*) AS total, count(*) FILTER (WHERE excluded_by_stale_disclosure =
   count(*) FILTER (WHERE excluded_by_assets = 1) AS out_of_assets, count(*) FILTER (WHERE parse_status = 'FAILED' AND rcept_no IS NOT NULL) AS failed,
   count(*) FILTER (WHERE rcept_no IS NULL) AS no_disclosure, count(*) FILTER (WHERE id NOT IN (SELECT result_id FROM snapshots WHERE fiscal_year >= '2000')) AS no_history FROM chosen""")
 def selection_summary(spark, sf_dir):
-    rows = result_rows(spark, sf_dir)
+    rows = materialised(result_rows(spark, sf_dir))
     return results.selection_summary(rows, snapshots(spark, sf_dir).where("fiscal_year >= '2000'"), rows.where("revenue_cur is not null").select("id"))
 
 

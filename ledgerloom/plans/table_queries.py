@@ -14,7 +14,8 @@ from ..operators.ordering import materialised, shared_folder
 from ..operators.versioned import Store
 from ..sources import pages, workbook
 from ..streaming import quota
-from .queries import _table, query
+from . import jobs
+from .queries import CANDIDATE, CHILDREN, COMPANIES, JOB, LATEST, _table, companies, query, stats
 
 
 def _folder(spark, name: str) -> str:
@@ -269,3 +270,30 @@ def three_generations(spark, sf_dir):
     c.where(k % 3 == 2).select(F.col("c_name").alias("name"), k.cast("int").alias("id"), F.col("c_acctbal").cast("decimal(9,3)").alias("balance"), F.col("c_mktsegment").alias("phone"), (k % 2).cast("int").alias("excluded")).write.parquet(f"{folder}/3")
     rows = schemas.read_generations(spark, folder, {"balance": "decimal(14,3)"}, {"phone": "-", "excluded": 0})
     return rows.withColumn("balance", F.col("balance").cast("double"))
+
+
+# ---- both phases of a job
+
+
+@query(f"""WITH {COMPANIES}, {LATEST} SELECT id, corp_name, revenue AS ref_revenue, total_assets AS ref_total_assets, 1 AS job_id
+FROM companies LEFT JOIN latest ON crno = jurir_no WHERE {CANDIDATE} AND id NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 31 = 0)""")
+def first_phase(spark, sf_dir):
+    """New results of a job: its candidates that it doesn't have yet, with their latest reference figures."""
+    had = _table(spark, sf_dir, "orders").where("o_orderkey % 31 = 0").select(F.col("o_custkey").cast("string").alias("corp_code"))
+    found = jobs.phase_one(companies(spark, sf_dir), stats(spark, sf_dir), had, JOB, CHILDREN)
+    return found.select("id", "corp_name", "ref_revenue", "ref_total_assets", "job_id")
+
+
+@query("""WITH r AS (SELECT c_custkey AS id, c_custkey % 9000 AS revenue, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 7000 END AS assets, c_custkey % 3 AS old, CASE WHEN c_custkey % 6 <> 0 THEN CAST(2020 + c_custkey % 5 AS VARCHAR) || '0331000' || (100 + c_custkey % 900) END AS rcept_no FROM customer)
+SELECT id, CASE WHEN revenue BETWEEN 100 AND 5000 THEN 0 ELSE 1 END AS excluded_by_revenue, CASE WHEN assets IS NULL THEN CAST(old AS INTEGER) WHEN assets <= 4000 THEN 0 ELSE 1 END AS excluded_by_assets, substr(rcept_no, 1, 8) AS filed FROM r""")
+def flags_of_results(spark, sf_dir):
+    """Range flags and filing dates of a job's results from their current amounts; a missing amount keeps the flag that was there."""
+    k = F.col("c_custkey")
+    number = F.concat((2020 + k % 5).cast("string"), F.lit("0331000"), (100 + k % 900).cast("string"))
+    rows = _table(spark, sf_dir, "customer").select(
+        k.alias("id"), (k % 9000).alias("revenue_cur"), F.when(k % 4 != 0, k % 7000).alias("total_assets_cur"), (k % 3).cast("int").alias("excluded_by_revenue"),
+        (k % 3).cast("int").alias("excluded_by_assets"), F.when(k % 6 != 0, number).alias("rcept_no"),
+    )
+    job = jobs.Job(1, revenue={"min_krw": 100, "max_krw": 5000}, assets={"max_krw": 4000})
+    found = jobs.flagged(rows, job, "2024-06-30")
+    return found.select("id", "excluded_by_revenue", "excluded_by_assets", F.col("latest_disclosure_date").alias("filed"))

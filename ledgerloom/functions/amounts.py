@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import account_label, stripped
+from .text import account_label, bound, stripped
 
 
 def whole_number(c: Column) -> Column:
@@ -19,11 +18,6 @@ def whole_number(c: Column) -> Column:
     return F.coalesce(text.try_cast("decimal(38,10)").try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once, however often it stands in there."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def won_amount(c: Column) -> Column:
     """The amount of a statement's cell: rule signs dropped, dashes are zero, parentheses negative."""
 
@@ -35,15 +29,19 @@ def won_amount(c: Column) -> Column:
         bracketed = raw.startswith("(") & raw.endswith(")")
         body = F.regexp_replace(F.when(bracketed, F.regexp_replace(raw, r"^\(|\)$", "")).otherwise(raw), r"(?U)[,\s]", "")
         zero = F.lit(0).cast("decimal(20,0)")
-        value = _bound(body, lambda x: F.when(x.isin(fixed.ZERO_AMOUNTS), zero).otherwise(F.nullif(x, F.lit("")).try_cast("decimal(20,0)")))
+        value = bound(body, lambda x: F.when(x.isin(fixed.ZERO_AMOUNTS), zero).otherwise(F.nullif(x, F.lit("")).try_cast("decimal(20,0)")))
         return F.when(bracketed, -value).otherwise(value).try_cast("bigint")
 
-    return _bound(_bound(stripped(F.coalesce(c, F.lit(""))), without_rules), amount)
+    return bound(bound(stripped(F.coalesce(c, F.lit(""))), without_rules), amount)
 
 
 def signed_by_label(label: Column, value: Column) -> Column:
     """Rows that are named as a loss first hold losses as positive numbers: they are turned."""
-    name = account_label(label)
+    return bound(account_label(label), lambda name: signed_by_name(name, value))
+
+
+def signed_by_name(name: Column, value: Column) -> Column:
+    """The same for a label that :func:`account_label` has made a name."""
     loss, gain = F.instr(name, "손실"), F.instr(name, "이익")
     return F.when((loss > 0) & ((gain == 0) | (loss < gain)), -value).otherwise(value)
 

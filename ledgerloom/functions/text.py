@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -19,6 +20,11 @@ def looked_up(entries: dict[str, str], key: Column) -> Column:
     return F.try_element_at(text_map(entries), key)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it stands in there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def stripped(c: Column) -> Column:
     """Without white space at both ends; Unicode spaces count."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -71,9 +77,13 @@ def corporate_number(c: Column) -> Column:
 
 def _roman_repaired(c: Column) -> Column:
     """Signs that look like a Roman numeral in front are made one, if one comes of it."""
-    found = F.translate(F.regexp_extract(c, fixed.LOOKALIKE_PREFIX, 1), *fixed.LOOKALIKES)
-    rest = F.regexp_replace(c, fixed.LOOKALIKE_PREFIX, "")
-    return F.when(found.isin(fixed.ROMAN), F.concat(found, F.lit("."), rest)).otherwise(c)
+
+    def repaired(text: Column) -> Column:
+        found = F.translate(F.regexp_extract(text, fixed.LOOKALIKE_PREFIX, 1), *fixed.LOOKALIKES)
+        made = bound(found, lambda f: F.when(f.isin(fixed.ROMAN), F.concat(f, F.lit("."), F.regexp_replace(text, fixed.LOOKALIKE_PREFIX, ""))).otherwise(text))
+        return F.when(text.contains("."), made).otherwise(text)
+
+    return bound(c, repaired)
 
 
 def has_roman_prefix(c: Column) -> Column:
@@ -82,11 +92,19 @@ def has_roman_prefix(c: Column) -> Column:
 
 def account_label(c: Column) -> Column:
     """A statement's row label without numbering, remarks and blanks."""
-    c = _roman_repaired(stripped(F.coalesce(c, F.lit(""))))
-    for pattern in (fixed.LABEL_PREFIX, fixed.PER_SHARE_SUFFIX, fixed.FOOTNOTE_SUFFIX, fixed.FORMULA_SUFFIX):
-        for _ in range(2):
-            c = stripped(F.regexp_replace(c, pattern, ""))
-    return F.translate(c, fixed.LABEL_BLANKS, "")
+
+    def without(text: Column, *patterns: str) -> Column:
+        for pattern in patterns:
+            for _ in range(2):
+                text = stripped(F.regexp_replace(text, pattern, ""))
+        return text
+
+    def without_remarks(text: Column) -> Column:  # each of them ends with a bracket
+        remarks = without(text, fixed.PER_SHARE_SUFFIX, fixed.FOOTNOTE_SUFFIX, fixed.FORMULA_SUFFIX)
+        return F.when(text.endswith(")") | text.endswith("]"), remarks).otherwise(text)
+
+    c = without(_roman_repaired(stripped(F.coalesce(c, F.lit("")))), fixed.LABEL_PREFIX)
+    return F.translate(bound(c, without_remarks), fixed.LABEL_BLANKS, "")
 
 
 def cross_year_label(c: Column) -> Column:

@@ -13,6 +13,12 @@ from .queries import SNAPSHOTS, _table, query, snapshots
 _NAMES = ["삼일", "안경", "한영", "대주"]
 
 
+def _customers(spark, sf_dir) -> DataFrame:
+    """The customers spread over all tasks: each becomes a document, and a small file of them would be one task's."""
+    c = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+    return c.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _shown(amount: Column) -> Column:
     """An amount as statements print it: grouped digits, parentheses for a minus."""
     digits = F.regexp_replace(F.format_number(F.abs(amount).cast("decimal(20,0)"), 0), r"\.0$", "")
@@ -31,7 +37,7 @@ def _row(label, cur: Column, prv: Column, level: int | None = None, right: bool
 
 def _statements(spark, sf_dir) -> DataFrame:
     """(rcept_no, content): marked statements of odd customers, attached ones of even customers."""
-    c = _table(spark, sf_dir, "customer")
+    c = _customers(spark, sf_dir)
     k, loss = F.col("c_custkey"), F.col("c_acctbal") < 0
     worth = F.col("c_nationkey") * 11 + 1
     label = F.when(loss, "영업손실").otherwise("영업이익")
@@ -176,7 +182,7 @@ FROM customer, (VALUES ('cf_operating', 0, '1.당기순이익', 1, 1, 1, 0), ('c
 WHERE always = 1 OR c_custkey % 5 <> 0""")
 def attached_account_trees(spark, sf_dir):
     """Accounts of attached statements: levels by indent inside groups, groups by numbering where nothing is indented, rows that go on, parts that end."""
-    c = _table(spark, sf_dir, "customer")
+    c = _customers(spark, sf_dir)
     k = F.col("c_custkey")
     head = "<THEAD><TR><TH>과 목</TH><TH>제 6(당) 기</TH><TH>제 5(전) 기</TH></TR></THEAD><TBODY>"
     row = lambda label, f: _tree_row(label, k * f, k * f + 1)
@@ -197,7 +203,7 @@ def attached_account_trees(spark, sf_dir):
 
 def _section_documents(spark, sf_dir) -> DataFrame:
     """Odd customers: titled sections with spans, escapes and tags that aren't known; even ones: attached statements."""
-    c = _table(spark, sf_dir, "customer")
+    c = _customers(spark, sf_dir)
     k = F.col("c_custkey").cast("string")
     titled = F.concat(
         F.lit('<DOC><SECTION-1 ID="a"><TITLE ATOC="Y">재 무 상 태 표</TITLE><P USERMARK="B">단위: <SPAN onclick="x()">원</SPAN> &amp; &lt;천원&gt;</P><SCRIPT>no "run"</SCRIPT><TABLE-GROUP><TABLE WIDTH="600"><THEAD><TR><TH ROWSPAN="2">과목</TH><TU COLSPAN="2">금액</TU></TR><TR><TH>당</TH><TH>전</TH></TR></THEAD><TBODY><TR><TD COLSPAN="1">'),

@@ -11,13 +11,13 @@ from __future__ import annotations
 import html
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.amounts import missing_items, parse_status, signed_by_item, signed_by_label, won_amount
-from ..functions.text import account_label, has_roman_prefix, looked_up, stripped
+from ..functions.amounts import missing_items, parse_status, signed_by_item, signed_by_name, won_amount
+from ..functions.text import account_label, bound, has_roman_prefix, looked_up, stripped
 from ..operators.ordering import materialised
 
 # fixed values: words that titles of statements hold, words before captions, titles that end a statement
@@ -30,10 +30,12 @@ SECTION_WORDS = {"bs": "재무상태표", "is": "손익계산서", "cf": "현금
 
 _DECLARATION = re.compile(fixed.XML_DECLARATION, re.IGNORECASE)
 _PSEUDO_TAG = re.compile(fixed.PSEUDO_TAG)
-_TAG = re.compile(r"<(/?)([A-Za-z][\w:.-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<!--.*?-->|<[!?][^>]*>", re.DOTALL)
+_TAG = re.compile(r"<(/?)([A-Za-z][\w:.-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<!--.*?-->|<[!?][^>]*>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([A-Za-z_:][\w:.-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
 _CELLS = {"TD", "TH", "TE", "TU"}
 _HEADS = {"TH", "TU"}
+_BLANKS = (" ", "　", "\n", "\r", "\t")
+_NO_BREAKS = {10: None, 13: None, 9: None}
 
 _CELL = "text:string,span:int,indent:int,level:int,rows:int,head:boolean"
 ROWS = (
@@ -89,18 +91,26 @@ def cut(text: str) -> list[tuple]:
                 ranges[len(out)] = [before, None]
             out.append((kind, table if depth else None, None, None, plain, []))
         elif cells is not None:
-            flat = words.translate({10: None, 13: None, 9: None})
-            spans = _number(attributes.get("COLSPAN"), 1), _number(attributes.get("ROWSPAN"), 1)
-            cells.append((plain, spans[0], len(flat) - len(flat.lstrip(" 　")), _number(attributes.get("ALEVEL"), -1), spans[1], cell_tag in _HEADS))
+            indent = 0
+            if words[:1] in _BLANKS:
+                flat = words.translate(_NO_BREAKS)
+                indent = len(flat) - len(flat.lstrip(" 　"))
+            if attributes:
+                span, spanned, level = _number(attributes.get("COLSPAN"), 1), _number(attributes.get("ROWSPAN"), 1), _number(attributes.get("ALEVEL"), -1)
+            else:
+                span, spanned, level = 1, 1, -1
+            cells.append((plain, span, indent, level, spanned, cell_tag in _HEADS))
         holder = None
 
     for m in _TAG.finditer(text):
+        begin, end = m.span()
         if holder is not None:
-            holder.append(text[at : m.start()])
-        at = m.end()
-        if not m[2]:
+            holder.append(text[at:begin])
+        at = end
+        slash, name, inside = m.groups()
+        if not name:
             continue
-        tag, ends = m[2].rpartition(":")[2].upper(), bool(m[1])
+        tag, ends = name.rpartition(":")[2].upper(), bool(slash)
         if tag in ("TITLE", "P") and not (tag == "P" and cells is not None):
             close()
             if not ends:
@@ -113,7 +123,7 @@ def cut(text: str) -> list[tuple]:
             depth += -1 if ends and depth else (0 if ends else 1)
             if not ends and depth == 1:
                 table += 1
-                aclass = {k.upper(): a or b for k, a, b in _ATTRIBUTE.findall(m[3])}.get("ACLASS")
+                aclass = {k.upper(): a or b for k, a, b in _ATTRIBUTE.findall(inside)}.get("ACLASS")
                 head = False
         elif tag == "THEAD":
             head = not ends
@@ -126,9 +136,9 @@ def cut(text: str) -> list[tuple]:
             close()
             if not ends:
                 holder, kind, cell_tag = [], "CELL", tag
-                attributes = {k.upper(): a or b for k, a, b in _ATTRIBUTE.findall(m[3])}
+                attributes = {k.upper(): a or b for k, a, b in _ATTRIBUTE.findall(inside)} if inside else {}
         if not ends:
-            if not m[3].endswith("/"):
+            if not inside.endswith("/"):
                 elements.append((tag, len(out), []))
                 opened[tag] = opened.get(tag, 0) + 1
         elif opened.get(tag):
@@ -151,17 +161,40 @@ def document_rows(documents: DataFrame, number: str = "rcept_no", content: str =
     """One row per title, paragraph and table row of each document; unreadable documents give none."""
 
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for rcept_no, raw in zip(pdf[number], pdf[content], strict=True):
+            for rcept_no, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     found = cut(repaired(raw)) if raw is not None else []
                 except Exception:  # one broken document must not end the job
                     found = []
                 rows += [(rcept_no, i, *x) for i, x in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["rcept_no", "pos", "kind", "table_no", "aclass", "in_head", "text", "cells", "since", "until"])
+                if len(rows) >= _BATCH:
+                    yield _as_batch(rows)
+                    rows = []
+            if rows:
+                yield _as_batch(rows)
+
+    return documents.select(F.col(number).cast("string"), content).mapInArrow(run, ROWS)
+
+
+_BATCH = 10_000
+_KINDS = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.string(), None, pa.int32(), pa.int32()]
+_CELL_KINDS = {"text": pa.string(), "span": pa.int32(), "indent": pa.int32(), "level": pa.int32(), "rows": pa.int32(), "head": pa.bool_()}
 
-    return documents.select(number, content).mapInPandas(run, ROWS)
+
+def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of :data:`ROWS` as Arrow columns; all cells are one flat table with an offset a row."""
+    columns = list(zip(*rows, strict=True))
+    flat, offsets = [], []
+    for cells in columns[7]:
+        offsets.append(None if cells is None else len(flat))
+        flat += cells or ()
+    parts = list(zip(*flat, strict=True)) or [()] * len(_CELL_KINDS)
+    cells = pa.StructArray.from_arrays([pa.array(v, k) for v, k in zip(parts, _CELL_KINDS.values(), strict=True)], list(_CELL_KINDS))
+    lists = pa.ListArray.from_arrays(pa.array([*offsets, len(flat)], pa.int32()), cells)
+    names = ["rcept_no", "pos", "kind", "table_no", "aclass", "in_head", "text", "cells", "since", "until"]
+    return pa.RecordBatch.from_arrays([lists if k is None else pa.array(v, k) for v, k in zip(columns, _KINDS, strict=True)], names)
 
 
 def repaired_documents(documents: DataFrame, content: str = "content", text: str = "text") -> DataFrame:
@@ -242,8 +275,10 @@ def _columns_of(cells: Column) -> Column:
 
 def period_plan(cells: Column) -> Column:
     """Struct (cur, prv) of column numbers for a header row of an attached statement; null if it is none."""
-    columns = _columns_of(cells)
+    return bound(_columns_of(cells), _plan_of)
+
 
+def _plan_of(columns: Column) -> Column:
     def spread(kept):
         return F.flatten(F.transform(kept, lambda c: F.sequence(c["at"], c["at"] + c["span"] - 1)))
 
@@ -252,18 +287,20 @@ def period_plan(cells: Column) -> Column:
 
     current = lambda c: says(c, "(당)", "당기") & ~says(c, "(전)", "전기")
     prior = lambda c: says(c, "(전)", "전기") & ~says(c, "(당)", "당기")
-    cur, prv = F.filter(columns, current), F.filter(columns, prior)
-    ordinal = F.filter(columns, lambda c: c["text"].rlike(fixed.ORDINAL_PERIOD))
-    one, two = F.get(ordinal, F.lit(0)), F.get(ordinal, F.lit(1))
-
     def role(c):
         return F.when(current(c), "cur").when(prior(c), "prv").otherwise("")
 
-    swapped = (role(one) != role(two)) & ((role(one) == "prv") | (role(two) == "cur"))
-    first, second = F.when(swapped, two).otherwise(one), F.when(swapped, one).otherwise(two)
-    return F.when((F.size(cur) > 0) & (F.size(prv) > 0), F.struct(spread(cur).alias("cur"), spread(prv).alias("prv"))).when(
-        F.size(ordinal) >= 2, F.struct(spread(F.array(first)).alias("cur"), spread(F.array(second)).alias("prv"))
-    )
+    def by_ordinal(ordinal):
+        one, two = F.get(ordinal, F.lit(0)), F.get(ordinal, F.lit(1))
+        swapped = (role(one) != role(two)) & ((role(one) == "prv") | (role(two) == "cur"))
+        pair = F.when(swapped, F.struct(two.alias("a"), one.alias("b"))).otherwise(F.struct(one.alias("a"), two.alias("b")))
+        return F.when(F.size(ordinal) >= 2, bound(pair, lambda p: F.struct(spread(F.array(p["a"])).alias("cur"), spread(F.array(p["b"])).alias("prv"))))
+
+    def by_word(s):
+        named = F.struct(spread(s["cur"]).alias("cur"), spread(s["prv"]).alias("prv"))
+        return F.when((F.size(s["cur"]) > 0) & (F.size(s["prv"]) > 0), named).otherwise(bound(F.filter(columns, lambda c: c["text"].rlike(fixed.ORDINAL_PERIOD)), by_ordinal))
+
+    return bound(F.struct(F.filter(columns, current).alias("cur"), F.filter(columns, prior).alias("prv")), by_word)
 
 
 def _first_value(cells: Column, at: Column) -> Column:
@@ -295,8 +332,11 @@ def labelled_amounts(rows: DataFrame) -> DataFrame:
     head = F.max(F.when(F.col("in_head"), F.transform(F.slice("cells", F.lit(2), F.size("cells")), lambda c: c["span"]))).over(table)
     spans = F.when(F.size(head) >= 2, F.struct(F.get(head, F.lit(0)).alias("a"), F.get(head, F.lit(1)).alias("b"))).when(F.size(head) == 1, F.struct(F.get(head, F.lit(0)).alias("a"), F.get(head, F.lit(0)).alias("b"))).otherwise(F.struct(F.lit(2).alias("a"), F.lit(2).alias("b")))
     # attached: the first row that is a plan, header rows first
-    plan = F.when(F.col("format") == "attached", period_plan(F.col("cells")))
-    ranked = F.min(F.when(plan.isNotNull(), F.struct((~F.col("in_head")).alias("late"), F.col("pos").alias("pos"), plan.alias("plan")))).over(table)
+    # any word or number of a period has one of these signs
+    words = F.array_join(F.col("cells")["text"], " ")
+    may_be = (F.col("format") == "attached") & (words.contains("당") | words.contains("제"))
+    rows = rows.withColumn("plan", F.when(may_be, period_plan(F.col("cells"))))
+    ranked = F.min(F.when(F.col("plan").isNotNull(), F.struct((~F.col("in_head")).alias("late"), F.col("pos").alias("pos"), F.col("plan").alias("plan")))).over(table)
     rows = rows.withColumns({"spans": spans, "chosen": ranked})
     body = rows.where(~F.col("in_head") & ((F.col("format") == "finance") | (F.col("chosen").isNotNull() & (~F.col("chosen.late") | (F.col("pos") > F.col("chosen.pos"))))))
     cur_at = F.when(F.col("format") == "finance", F.sequence(F.lit(1), F.col("spans.a"))).otherwise(F.col("chosen.plan.cur"))
@@ -344,12 +384,11 @@ def statement_items(rows: DataFrame) -> DataFrame:
     finance = F.col("format") == "finance"
 
     def named(r):
-        cur, prv = (F.when(finance, signed_by_label(r["label"], r[c])).otherwise(signed_by_item(r["item"], r[c])) for c in ("cur_raw", "prv_raw"))
+        cur, prv = (F.when(finance, signed_by_name(r["name"], r[c])).otherwise(signed_by_item(r["item"], r[c])) for c in ("cur_raw", "prv_raw"))
         return F.struct(r["item"].alias("item"), r["pos"].alias("pos"), cur.alias("cur"), prv.alias("prv"))
 
     def detailed(r):
-        net = _netted(F.col("all"), r)
-        return F.struct(r["detail"].alias("item"), r["pos"].alias("pos"), net["cur"].alias("cur"), net["prv"].alias("prv"))
+        return bound(_netted(F.col("all"), r), lambda net: F.struct(r["detail"].alias("item"), r["pos"].alias("pos"), net["cur"].alias("cur"), net["prv"].alias("prv")))
 
     amount = lambda r: r["cur"].isNotNull() | r["prv"].isNotNull()
     counted = F.transform(F.filter("all", lambda r: r["item"].isNotNull() & (finance | r["cur_raw"].isNotNull() | r["prv_raw"].isNotNull())), named)
@@ -412,7 +451,7 @@ def account_details(rows: DataFrame) -> DataFrame:
     out = out.withColumn("parent", F.max(F.when(F.col("opens"), F.col("item"))).over(Window.partitionBy(*keys, "part")))
     below = out.where("part > 0 and not opens and ended = 0")
     position = F.row_number().over(Window.partitionBy("rcept_no", "parent").orderBy("table_no", "pos")) - 1
-    shown = lambda c: F.when(marked, signed_by_label(F.col("label"), F.col(c))).otherwise(F.col(c))
+    shown = lambda c: F.when(marked, signed_by_name(F.col("name"), F.col(c))).otherwise(F.col(c))
     return below.select(
         "rcept_no", F.col("parent").alias("item"), position.alias("position"), "label", F.when(F.col("top"), F.col("flat")).otherwise(F.col("depth")).cast("int").alias("level"),
         shown("cur_raw").alias("cur"), shown("prv_raw").alias("prv"),
@@ -466,6 +505,7 @@ def rendered_sections(rows: DataFrame) -> DataFrame:
     without a title for a statement may have it in its attached statements: from its caption up
     to the next one. Text outside of a table's rows isn't rendered inside the table.
     """
+    rows = materialised(rows)  # used three times, and cut from its documents once
     words = F.explode(F.array(*[F.struct(F.lit(k).alias("section"), F.lit(w).alias("word")) for k, w in SECTION_WORDS.items()]))
     titles = rows.where("kind = 'TITLE'").select("rcept_no", "pos", "text", "since", "until", words.alias("w"))
     titles = titles.where(F.contains(F.translate("text", " 　", ""), F.col("w.word")))
@@ -499,19 +539,22 @@ def table_grid(rows: DataFrame) -> DataFrame:
     start = F.struct(F.array().cast(held).alias("held"), F.array().cast(f"array<{held}>").alias("done"))
 
     def line(s, r):
-        taken = F.filter(s["held"], lambda h: h["left"] > 0)
+        return bound(F.filter(s["held"], lambda h: h["left"] > 0), lambda taken: bound(F.array_sort(F.concat(taken, fresh(taken, r))), lambda now: after(s, now)))
 
+    def fresh(taken, r):
         def place(t, c):
-            # the first column from `t.at` on that no cell from above holds
+            # the first column from `u.at` on that no cell from above holds
             free = lambda at: F.aggregate(taken, at, lambda a, h: F.when(h["col"] == a, a + 1).otherwise(a))  # noqa: E731  (columns ascend)
-            add = F.aggregate(
-                F.sequence(F.lit(1), F.greatest(c["span"], F.lit(1))), F.struct(t["at"].alias("at"), F.array().cast(held).alias("new")),
-                lambda u, _: F.struct((free(u["at"]) + 1).alias("at"), F.concat(u["new"], F.array(F.struct(free(u["at"]).alias("col"), F.greatest(c["rows"], F.lit(1)).alias("left"), c["text"].alias("text")))).alias("new")),
-            )
-            return F.struct(add["at"].alias("at"), F.concat(t["new"], add["new"]).alias("new"))
-
-        fresh = F.aggregate(r["cells"], F.struct(F.lit(0).alias("at"), F.array().cast(held).alias("new")), place)["new"]
-        now = F.array_sort(F.concat(taken, fresh))
+
+            def add(u, _):
+                new = lambda at: F.struct(at.alias("col"), F.greatest(c["rows"], F.lit(1)).alias("left"), c["text"].alias("text"))
+                return bound(free(u["at"]), lambda at: F.struct((at + 1).alias("at"), F.concat(u["new"], F.array(new(at))).alias("new")))
+
+            return F.aggregate(F.sequence(F.lit(1), F.greatest(c["span"], F.lit(1))), t, add)
+
+        return F.aggregate(r["cells"], F.struct(F.lit(0).alias("at"), F.array().cast(held).alias("new")), place)["new"]
+
+    def after(s, now):
         later = F.transform(now, lambda h: F.struct(h["col"].alias("col"), (h["left"] - 1).alias("left"), h["text"].alias("text")))
         return F.struct(later.alias("held"), F.concat(s["done"], F.array(now)).alias("done"))
 

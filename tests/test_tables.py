@@ -281,3 +281,31 @@ def test_broken_markup_still_has_sections():
     assert [r[0] for r in rows] == ["TITLE", "P", "ROW", "ROW", "P"] and rows[0][-2:] == (0, 2)
     assert [c[4:] for c in rows[2][5]] == [(2, False), (1, False)] and rows[3][5][0][5] is True
     assert filings.cut("") == [] and filings.cut("</A></A><P/>")[0][0] == "P"
+
+
+def test_documents_are_spread_and_cut_once(spark):
+    from .conftest import SF
+
+    from ledgerloom.plans import filing_queries
+
+    for made in (filing_queries._statements, filing_queries._section_documents):
+        assert made(spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # one small file isn't one task's
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    text = "<DOC><TITLE>재무상태표</TITLE><TABLE><TR><TD>a</TD></TR></TABLE></DOC>".encode()
+    docs = spark.createDataFrame([(str(k), text) for k in range(20)], "rcept_no string, content binary").mapInPandas(read, "rcept_no string, content binary")
+    assert filings.rendered_sections(filings.document_rows(docs)).count() == 20 and seen.value == 20
+
+
+def test_batches_of_rows_stay_small(spark):
+    text = ("<TABLE>" + "<TR><TD COLSPAN='2'>　a</TD><TD/></TR>" * 3000 + "</TABLE>").encode()
+    rows = filings.document_rows(spark.createDataFrame([(str(k), text) for k in range(12)] + [("x", None)], "rcept_no string, content binary").coalesce(1))
+    got = rows.groupBy("rcept_no").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("cells")).alias("c"), F.max(F.get("cells", F.lit(0))).alias("first")).collect()
+    assert len(got) == 12 and all((r["n"], r["c"], tuple(r["first"])) == (3000, 6000, ("a", 2, 1, -1, 1, False)) for r in got)
+    made = filings._as_batch([("1", 0, "P", None, None, None, "t", None, None, None), ("1", 1, "ROW", 1, "F", True, None, [], 0, 2)])
+    assert made.column(7).to_pylist() == [None, []]

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import without_controls
-from ..operators.ordering import materialised, shared_folder
+from ..operators.ordering import materialised, ranked, shared_folder
 
 SHEET_ROWS = 1_048_576
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -359,41 +359,71 @@ def put_files(files: DataFrame, folder: str) -> int:
 
 
 def read_workbook(spark: SparkSession, path: str) -> DataFrame:
-    """The cells of a workbook: sheet (name), row and col (from 1 and 0), value; inline and shared texts, and numbers as they stand."""
+    """The cells of a workbook: sheet (name), row and col (from 1 and 0), value; inline and shared texts, and numbers as they stand.
 
-    def run(batches):
+    One task lists the sheets, then each sheet is a task's, which reads only that part of the
+    file, as a stream. ``path`` is a file in a store that all executors reach, or a pattern.
+    """
+
+    def listed(batches):
         for pdf in batches:
-            for raw in pdf["content"]:
-                yield from _cells(raw)
-
-    raw = spark.read.format("binaryFile").load(path).select("content")
-    return raw.mapInPandas(run, "sheet string, row long, col int, value string")
-
-
-def _cells(raw: bytes, size: int = 50_000) -> Iterable[pd.DataFrame]:
-    names = ["sheet", "row", "col", "value"]
-    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        book = ElementTree.fromstring(z.read("xl/workbook.xml"))
-        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.itertext()) for t in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
-        for sheet in book.iter(f"{{{_MAIN}}}sheet"):
-            rows = []
-            with z.open("xl/" + targets[sheet.get(f"{{{_REL}}}id")].removeprefix("/xl/")) as f:
-                for _, node in ElementTree.iterparse(f):
-                    if node.tag != f"{{{_MAIN}}}row":
-                        continue
-                    for c in node:
-                        ref = c.get("r")
-                        letters = ref.rstrip("0123456789")
-                        col = 0
-                        for x in letters:
-                            col = col * 26 + ord(x) - 64
-                        value = "".join(c.itertext())
-                        rows.append((sheet.get("name"), int(ref[len(letters) :]), col - 1, shared[int(value)] if c.get("t") == "s" else value))
-                    node.clear()
-                    if len(rows) >= size:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
-            yield pd.DataFrame(rows, columns=names)
+            for file in pdf["path"]:
+                store, place = store_of(file)
+                with store.open_input_file(place) as raw, zipfile.ZipFile(raw) as z:
+                    found = _targets(z)
+                yield pd.DataFrame({"path": [file] * len(found), "sheet": [n for n, _ in found], "target": [t for _, t in found]})
+
+    def run(batches):
+        for batch in batches:
+            for file, sheet, target in zip(*(batch.column(c).to_pylist() for c in ("path", "sheet", "target")), strict=True):
+                store, place = store_of(file)
+                with store.open_input_file(place) as raw, zipfile.ZipFile(raw) as z:
+                    yield from _cells(z, sheet, target)
+
+    files = spark.read.format("binaryFile").load(path).select("path")
+    sheets = materialised(files.mapInPandas(listed, "path string, sheet string, target string"))
+    # places in a global order deal the sheets evenly; a hash of their names would put several into one task
+    order = ranked(sheets, ["path", "target"]).withColumn("place", F.col("place") - 1)
+    n = max(1, min(order.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return order.repartitionById(n, (F.col("place") % n).cast("int")).mapInArrow(run, "sheet string, row long, col int, value string")
+
+
+def _targets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """The names of a workbook's sheets and of their parts in the archive."""
+    book = ElementTree.fromstring(z.read("xl/workbook.xml"))
+    targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    return [(sheet.get("name"), "xl/" + targets[sheet.get(f"{{{_REL}}}id")].removeprefix("/xl/")) for sheet in book.iter(f"{{{_MAIN}}}sheet")]
+
+
+def _cells(z: zipfile.ZipFile, name: str, target: str, size: int = 50_000) -> Iterable[pa.RecordBatch]:
+    shared = []
+    if "xl/sharedStrings.xml" in z.namelist():
+        shared = ["".join(t.itertext()) for t in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
+    columns: dict[str, int] = {}  # of letters
+    rows, cols, values = [], [], []
+
+    def batch() -> pa.RecordBatch:
+        kinds = [("sheet", pa.string(), [name] * len(rows)), ("row", pa.int64(), rows), ("col", pa.int32(), cols), ("value", pa.string(), values)]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for _, t, v in kinds], [n for n, _, _ in kinds])
+
+    with z.open(target) as f:
+        for _, node in ElementTree.iterparse(f):
+            if node.tag != f"{{{_MAIN}}}row":
+                continue
+            for c in node:
+                ref = c.get("r")
+                letters = ref.rstrip("0123456789")
+                if letters not in columns:
+                    col = 0
+                    for x in letters:
+                        col = col * 26 + ord(x) - 64
+                    columns[letters] = col - 1
+                value = "".join(c.itertext())
+                rows.append(int(ref[len(letters) :]))
+                cols.append(columns[letters])
+                values.append(shared[int(value)] if c.get("t") == "s" else value)
+            node.clear()
+            if len(rows) >= size:
+                yield batch()
+                rows, cols, values = [], [], []
+    yield batch()

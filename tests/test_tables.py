@@ -309,3 +309,16 @@ def test_batches_of_rows_stay_small(spark):
     assert len(got) == 12 and all((r["n"], r["c"], tuple(r["first"])) == (3000, 6000, ("a", 2, 1, -1, 1, False)) for r in got)
     made = filings._as_batch([("1", 0, "P", None, None, None, "t", None, None, None), ("1", 1, "ROW", 1, "F", True, None, [], 0, 2)])
     assert made.column(7).to_pylist() == [None, []]
+
+
+def test_each_sheet_is_a_task(spark, tmp_path):
+    path = str(tmp_path / "book.xlsx")
+    df = spark.range(35).select("id", F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    workbook.write_workbook({"a": (df, ["id"]), "b & c": (df.limit(0), ["id"])}, path, split=True, most=10)
+    cells = workbook.read_workbook(spark, path)
+    parts = {(r["sheet"], r["part"]) for r in cells.select("sheet", F.spark_partition_id().alias("part")).distinct().collect()}
+    assert len(parts) == 5 and len({part for _, part in parts}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = {(r["sheet"], r["row"], r["col"]): r["value"] for r in cells.collect()}
+    want = {(s, 1, c): v for s in ("a", "a (2)", "a (3)", "a (4)", "b & c") for c, v in enumerate(("id", "text"))}
+    want |= {("a" if k < 10 else f"a ({k // 10 + 1})", k % 10 + 2, c): v for k in range(35) for c, v in enumerate((str(k), f"t{k}"))}
+    assert got == want and cells.count() == len(want)

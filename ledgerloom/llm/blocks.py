@@ -140,39 +140,42 @@ def _stars(near: Callable[[pd.DataFrame], Callable[[int, np.ndarray], np.ndarray
     return work
 
 
-def edges_in_groups(
-    rows: DataFrame, keys: list[str], row: list[str], attach: Callable[[DataFrame], DataFrame], near, block: int, size: str = "bucket_size"
-) -> DataFrame:
+def edges_in_groups(rows: DataFrame, keys: list[str], row: list[str], near, block: int, size: str = "bucket_size") -> DataFrame:
     """Distinct edges (a, b) whose components are those of all near pairs of each group.
 
-    ``rows`` has the keys, the columns ``row`` that name a row (the first one is the id that
-    edges tell of) and the group's size. ``attach`` joins what ``near`` compares. Groups of up
-    to ``block`` rows are compared pair by pair in one task. In a larger one all rows are first
-    compared with one middle row, in blocks; only rows that aren't near to it are then compared
-    with all rows of the group, again in blocks. A group of copies takes linear work so.
+    ``rows`` has the keys, the columns ``row`` that name a row once in a group (the first one is
+    the id that edges tell of), the group's size and what ``near`` compares. It is read several
+    times, so it should be written. Groups of up to ``block`` rows are compared pair by pair in
+    one task. In a larger one all rows are first compared with one middle row, in blocks; only
+    rows that aren't near to it are then compared with all rows of the group, again in blocks.
+    A group of copies takes linear work so.
     """
-    rows = rows.select(*keys, *row, size)
     id_, zero, yes, no = row[0], F.lit(0), F.lit(True), F.lit(False)
+    types = dict(rows.dtypes)
+    more = [c for c in rows.columns if c not in {*keys, *row, size}]
 
     def compared(parts: DataFrame, with_keys: bool) -> DataFrame:
         told = [*keys, *row[1:]] if with_keys else []
-        types = dict(rows.dtypes)
         schema = ", ".join(["a long", "b long", *(f"{k} {types[k]}" for k in told)])
-        return map_blocks(attach(parts), keys, _stars(near, row, keys if with_keys else []), ["a", "b", *told], schema)
+        return map_blocks(parts, keys, _stars(near, row, keys if with_keys else []), ["a", "b", *told], schema)
 
     whole = rows.where(F.col(size) <= block).drop(size)
     edges = compared(whole.select("*", zero.alias("lo"), zero.alias("hi"), yes.alias("left"), yes.alias("right")), False)
-    large = rows.where(F.col(size) > block)
+    edges = checkpointed(edges.distinct())
+    heavy = rows.where(F.col(size) > block)
+    large = heavy.select(*keys, *row, size)
     if large.isEmpty():
-        return checkpointed(edges.distinct())
+        return edges
     parts = F.ceil(F.col(size) / block).cast("int")
     own = F.pmod(F.xxhash64(id_, F.lit(9)), parts).cast("int")
-    middle = large.groupBy(*keys).agg(F.min(F.struct(*row)).alias("m"), F.max(size).alias(size)).select(*keys, "m.*", size)
-    members = large.select(*keys, *row, own.alias("lo"), zero.alias("hi"), yes.alias("left"), no.alias("right"))
-    middles = middle.select(*keys, *row, F.explode(F.sequence(zero, parts - 1)).alias("lo"), zero.alias("hi"), no.alias("left"), yes.alias("right"))
+    # with what is compared, so that it is brought together for one row a group only
+    middle = heavy.groupBy(*keys).agg(F.min_by(F.struct(*row, size, *more), F.struct(*row)).alias("m")).select(*keys, "m.*")
+    members = heavy.select(*keys, *row, own.alias("lo"), zero.alias("hi"), yes.alias("left"), no.alias("right"), *more)
+    middles = middle.select(*keys, *row, F.explode(F.sequence(zero, parts - 1)).alias("lo"), zero.alias("hi"), no.alias("left"), yes.alias("right"), *more)
     star = checkpointed(compared(members.unionByName(middles), True))
     # rows that the middle one isn't near to
-    known = star.select(*keys, F.col("a").alias(id_), *row[1:]).unionByName(middle.select(*keys, *row)).distinct()
+    named = large.groupBy(*keys).agg(F.min(F.struct(*row)).alias("m")).select(*keys, "m.*")
+    known = star.select(*keys, F.col("a").alias(id_), *row[1:]).unionByName(named).distinct()
     apart = checkpointed(large.join(known, [*keys, *row], "left_anti"))
     out = edges.unionByName(star.where("a <> b").select("a", "b"))
     if not apart.isEmpty():
@@ -184,7 +187,7 @@ def edges_in_groups(
         lefts = lefts.select(*keys, *row, own.alias("lo"), F.explode(F.sequence(zero, slices - 1)).alias("hi"), yes.alias("left"), no.alias("right"))
         slot = F.pmod(F.xxhash64(id_, F.lit(13)), slices).cast("int")
         rights = apart.select(*keys, *row, F.explode(F.sequence(zero, parts - 1)).alias("lo"), slot.alias("hi"), no.alias("left"), yes.alias("right"))
-        out = out.unionByName(compared(lefts.unionByName(rights), False))
+        out = out.unionByName(compared(lefts.unionByName(rights).join(heavy.drop(size), [*keys, *row]), False))
     return checkpointed(out.distinct())
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,6 +40,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def little_kept(spark: SparkSession, batch_rows: int = 1024) -> Iterator[None]:
+    """Inside, a job's shuffle files go as soon as it ends, and Python gets ``batch_rows`` rows at a time.
+
+    For operators that checkpoint or write what a job has made: the shuffles before that are
+    never read again, but would stay on disk until the driver happens to collect its garbage.
+    The session's own settings hold again afterwards.
+    """
+    now = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(batch_rows)}
+    before = {k: spark.conf.get(k, None) for k in now}
+    try:
+        for k, v in now.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def drawn(df: DataFrame, rows: int, most: int, *keys: str, seed: int = 0) -> DataFrame:
     """About ``most`` of the ``rows`` rows of ``df``, the same ones at each run: those whose hash of ``keys`` is small.
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import SALTS, edges_in_groups, with_bucket_size
-from .common import checkpointed, connected_components
+from .common import checkpointed, connected_components, little_kept, removed, written
 
 WORDS = 5
 SIMILARITY = 80  # percent
@@ -291,32 +291,45 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILARI
 
     Documents are linked with 100 * shared shingles >= percent * all shingles of both.
     group_id is alike for all rows of a group, also where they have no doc_id; null without shingles.
+    Signatures and the texts of candidates are written once as Parquet and removed when compared.
     """
-    signed = checkpointed(signatures(docs.select(F.col("doc_id").cast("long"), "text"), words))
-    full = signed.where("set_key is not null").withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    with little_kept(docs.sparkSession):
+        return _near_duplicates(docs, words, percent)
+
+
+def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    spark = docs.sparkSession
+    signed, signed_folder = written(signatures(docs.select(F.col("doc_id").cast("long"), "text"), words))
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+    known = checkpointed(signed.drop("runs", "sketch").withColumn("_salt", salt))
+    full = known.where("set_key is not null")
     # classes of equal sets; counted and joined per salt, so that large classes are spread
     fine = full.groupBy("set_key", "_salt").agg(F.min("node").alias("low"), F.min_by("text_key", "node").alias("text_key"))
     fine = checkpointed(fine.withColumn("rep", F.min("low").over(Window.partitionBy("set_key"))))
     heads = fine.where("rep = low").select("rep", "text_key", "set_key")
-    member = full.select(F.col("node").alias("rep"), "text_key", "set_key", "runs", "sketch")
-    classes = checkpointed(member.join(heads, ["rep", "text_key", "set_key"], "left_semi").dropDuplicates(["rep", "text_key"]))
-
+    member = signed.where("set_key is not null").select(F.col("node").alias("rep"), "text_key", "set_key", "runs", "sketch")
     row = ["rep", "text_key"]
-    sketches = classes.select(*row, "sketch")
-    tied = edges_in_groups(
-        forest_regions(classes.select(*row, "runs")), ["region"], row, lambda x: x.join(sketches, row), _may_be_similar(percent), BLOCK
-    )
+    classes, classes_folder = written(member.join(heads, [*row, "set_key"], "left_semi").dropDuplicates(row).drop("set_key"))
+    removed(spark, signed_folder)
+
+    regions = forest_regions(classes.select(*row, "runs"))
+    sketched, sketched_folder = written(regions.drop("depth").join(classes.select(*row, "sketch"), row))
+    removed(spark, classes_folder)
+    tied = edges_in_groups(sketched, ["region"], row, _may_be_similar(percent), BLOCK)
+    removed(spark, sketched_folder)
     # candidate clusters, and inside them the links by full sets
     clusters = connected_components(tied).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    placed = checkpointed(with_bucket_size(clusters.join(classes.select(*row), "rep"), ["cluster"], "rep"))
+    placed = checkpointed(with_bucket_size(clusters.join(heads.select(*row).distinct(), "rep"), ["cluster"], "rep"))
     texts = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), "text").select(row_node().alias("rep"), "text_key", "text")
-    links = edges_in_groups(placed, ["cluster"], row, lambda x: x.join(texts, row), _similar(words, percent), BLOCK)
+    candidates, candidates_folder = written(placed.join(texts, row).dropDuplicates(row))
+    links = edges_in_groups(candidates, ["cluster"], row, _similar(words, percent), BLOCK)
+    removed(spark, candidates_folder)
     components = connected_components(links).withColumnRenamed("node", "rep")
 
     # classes learn their component by rep, documents by (set, salt): a class of very many copies stays spread
     settled = fine.join(components, "rep", "left").select("set_key", "_salt", F.coalesce("component", "rep").alias("group_id"))
-    known = full.select("doc_id", "n_shingles", "text_key", "set_key", "_salt").join(settled, ["set_key", "_salt"]).drop("set_key", "_salt")
-    known = known.withColumn("component_id", F.when(F.col("group_id") < _NAMELESS, F.col("group_id")))
-    bare = signed.where("set_key is null").select("doc_id", "n_shingles", "text_key", F.lit(None).cast("long").alias("group_id"), F.col("doc_id").alias("component_id"))
-    both = known.unionByName(bare).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    linked = full.select("doc_id", "n_shingles", "text_key", "set_key", "_salt").join(settled, ["set_key", "_salt"]).drop("set_key", "_salt")
+    linked = linked.withColumn("component_id", F.when(F.col("group_id") < _NAMELESS, F.col("group_id")))
+    bare = known.where("set_key is null").select("doc_id", "n_shingles", "text_key", F.lit(None).cast("long").alias("group_id"), F.col("doc_id").alias("component_id"))
+    both = linked.unionByName(bare).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     return both.select("doc_id", "n_shingles", "component_id", "kept", "text_key", "group_id")

@@ -168,3 +168,27 @@ def test_word_hashes_depend_on_words_alone():
 def test_query_covers_the_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert as_dict(op5_lsh_forest(spark, SF)) == brute(rows, 4)
+
+
+def test_texts_are_read_twice_and_no_shuffle_stays(spark, monkeypatch):
+    """A scan for signatures and one for all comparisons, also where groups are compared in blocks; finished jobs leave no shuffle files."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "REGION", 8)
+    rows = documents(9, 40) + [(1000 + i, "the same words again and again " * 8 + f"tail{i}") for i in range(50)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    def shuffled():
+        return spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+
+    before, batch = shuffled(), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").mapInPandas(counted, "doc_id long, text string")
+    found = minhash.near_duplicates(docs, words=4)
+    assert shuffled() <= before
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch
+    assert as_dict(found) == brute(rows, 4)
+    assert seen.value == 2 * len(rows)

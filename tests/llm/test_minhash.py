@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -192,3 +193,18 @@ def test_texts_are_read_twice_and_no_shuffle_stays(spark, monkeypatch):
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch
     assert as_dict(found) == brute(rows, 4)
     assert seen.value == 2 * len(rows)
+
+
+def test_the_pipelines_stage_leaves_no_intermediate_files(spark):
+    from corpus_pipeline import _near_dedup
+    from ledgerloom.llm.common import shared_folder
+
+    def kept():
+        folder = Path(shared_folder(spark).removeprefix("file:"))
+        return spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size(), len(list(folder.glob("table-*")))
+
+    before = kept()
+    rows = _near_dedup(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    after = kept()
+    assert after[0] <= before[0] and after[1] == before[1]
+    assert 0 < rows.count() < spark.read.parquet(f"{SF}/documents.parquet").count()

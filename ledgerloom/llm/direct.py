@@ -34,7 +34,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -82,36 +81,44 @@ def pack_bits(values: np.ndarray, width: int) -> bytes:
     """The low ``width`` bits of each value, one behind the other."""
     out = []
     for at in range(0, len(values), 1 << 18):  # a multiple of eight values fills whole bytes
-        raw = values[at : at + (1 << 18)].astype("<u4").view("u1").reshape(-1, 4)
-        out.append(np.packbits(np.unpackbits(raw, axis=1, bitorder="little")[:, :width].ravel(), bitorder="little").tobytes())
+        some = values[at : at + (1 << 18)]
+        places = np.zeros((8, -(-len(some) // 8)), "<u4")  # row j has the values 8 * i + j: eight values are ``width`` bytes
+        for j in range(8):
+            places[j, : -(-(len(some) - j) // 8)] = some[j::8]
+        places &= np.uint32((1 << width) - 1)
+        packed = np.zeros((places.shape[1], width), "u1")
+        for j in range(8):
+            for byte in range(j * width // 8, (j * width + width + 7) // 8):
+                shift = j * width - 8 * byte
+                packed[:, byte] |= (places[j] << np.uint32(shift) if shift >= 0 else places[j] >> np.uint32(-shift)).astype("u1")
+        out.append(packed.tobytes()[: (len(some) * width + 7) // 8])
     return b"".join(out)
 
 
 def unpack_bits(raw: bytes, skip: int, count: int, width: int) -> np.ndarray:
     """``count`` values of ``width`` bits that begin ``skip`` bits into ``raw``."""
-    out = np.zeros((count, 4), "u1")
-    data = np.frombuffer(raw, "u1")
-    for at in range(0, count, 1 << 18):
-        some = min(count - at, 1 << 18)
-        first = skip + at * width
-        bits = np.unpackbits(data[first // 8 : (first + some * width + 7) // 8], bitorder="little")[first % 8 :][: some * width]
-        packed = np.packbits(bits.reshape(some, width), axis=1, bitorder="little")
-        out[at : at + some, : packed.shape[1]] = packed
-    return out.view("<u4").ravel()
+    out, data = np.zeros(count, "<u4"), bytes(raw) + bytes(8)
+    for j in range(min(count, 8)):  # the values 8 * i + j lie ``width`` bytes apart
+        first = skip + j * width
+        words = np.ndarray(-(-(count - j) // 8), "<u8", data, first // 8, (width,))
+        out[j::8] = words >> np.uint64(first % 8) & np.uint64((1 << width) - 1)
+    return out
 
 
 def encode_file(ids: np.ndarray, ends: np.ndarray, keys: pa.Array, start: int = 0) -> bytes:
     """The bytes of a file of documents; ``ends`` says where each one's ids end."""
     ids = np.ascontiguousarray(ids, "<u4")
-    bits = np.frexp(ids.astype("f8"))[1] if len(ids) else np.zeros(0, "i8")  # bit lengths
-    widths = best_widths(np.bincount(bits, minlength=34))
+    most = int(ids.max(initial=0)).bit_length()
+    upto = [np.count_nonzero(ids < (1 << k)) for k in range(most)] + [len(ids)] * (34 - most)  # ids with k bits at most
+    widths = best_widths(np.diff(upto, prepend=0))
     sections, levels, left = [], [], ids
     for k, width in enumerate(widths):
         more, directory, bitmap = left[:0], b"", b""
         if k + 1 < len(widths):
             goes = (left >> np.uint32(width)) > 0
             bitmap = np.packbits(goes, bitorder="little").tobytes()
-            counts = np.add.reduceat(goes, np.arange(0, len(goes), BLOCK), dtype="i8") if len(goes) else np.zeros(0, "i8")
+            blocks = np.frombuffer(bitmap + bytes(-len(bitmap) % (BLOCK // 8)), "u1").reshape(-1, BLOCK // 8)
+            counts = np.bitwise_count(blocks).sum(axis=1, dtype="i8")
             directory = np.r_[0, np.cumsum(counts)].astype("<u4").tobytes()
             more = left[goes] >> np.uint32(width)
         levels.append((width, len(left), pack_bits(left, width), bitmap, directory))
@@ -262,18 +269,66 @@ def ranks_with_ends(path: str) -> dict[bytes, int] | None:
 
 
 _END = b"\x01"
-#: Signs up to U+017F that are printable ASCII or letters of Latin blocks: they have no marks to
-#: compose, and each is lower-cased on its own to as many bytes. The one that isn't is left out.
+#: Signs up to U+017F that are printable ASCII, white space of ASCII or letters of Latin blocks: they
+#: have no marks to compose, and each is lower-cased on its own to as many bytes. The one that isn't is left out.
 _LAST, _DOTTED = 0xC5, "\u0130"
+# what a byte is to the word pattern; other bytes aren't met
+_SPACE, _LETTER, _DIGIT, _SYMBOL, _ODD = range(5)
+_KINDS = np.full(256, _ODD, "u1")
+_KINDS[0x21:0x7F] = _SYMBOL
+_KINDS[[0x20, *range(0x09, 0x0E)]] = _SPACE
+_KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), *range(0xC3, _LAST + 1)]] = _LETTER
+_KINDS[0x30:0x3A] = _DIGIT
+_IS_ODD = _KINDS == _ODD
+
+
+def pieces_of(texts: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """The pieces of the word pattern in lower-case texts of bytes that aren't odd, and the number of each text's first (and the end)."""
+    data, places = _buffers(texts)
+    n = len(data)
+    kinds = _KINDS[data]
+    at = np.flatnonzero(data == 0xC3)
+    at = at[(data[at + 1] == 0x97) | (data[at + 1] == 0xB7)]  # times and division signs
+    kinds[at] = kinds[at + 1] = _SYMBOL
+    begins = np.ones(n + 3, bool)
+    np.not_equal(kinds[1:], kinds[:-1], out=begins[1:n])
+    begins[:n] |= kinds == _DIGIT
+    begins[places] = True
+    # an apostrophe alone before s, t, m, d, re, ve or ll takes these along
+    at = np.flatnonzero(data == 0x27)
+    end = places[np.searchsorted(places, at, "right")] if len(at) else at
+    at = at[begins[at] & begins[at + 1] & (at + 1 < end)]
+    end = places[np.searchsorted(places, at, "right")] if len(at) else at
+    one, two = data[at + 1], data[np.minimum(at + 2, n - 1)]
+    short = np.isin(one, [*b"stmd"])
+    long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    long &= at + 2 < end
+    begins[at[short | long] + 1] = False
+    begins[at[short] + 2] = begins[at[long] + 3] = True
+    solid = kinds != _SPACE
+    begins = begins[:n]
+    first = np.searchsorted(np.flatnonzero(begins & solid), places)
+    data, starts = data[solid], np.flatnonzero(begins[solid])
+    pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data))
+    return pieces, first
+
+
+def _spread(ids: np.ndarray, counts: np.ndarray, indices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of distinct units, one behind the other, for the units in their order, and how many each has."""
+    begin, many = np.cumsum(counts) - counts, counts[indices]
+    at = np.repeat(begin[indices] - (np.cumsum(many) - many), many)
+    at += np.arange(len(at))
+    return ids[at], many
 
 
 class WordIds:
     """The ids of the tokenizers library, for many texts at once.
 
-    Where words stand alone, texts are cut at single spaces and each distinct part of a chunk is
-    encoded once. Parts of Latin letters and printable ASCII are encoded together by a faster
-    library, if merging by rank is proved to give the same; others by the tokenizers library, with
-    a bounded memo.
+    Where words stand alone, texts of Latin letters, printable ASCII and its white space are cut to
+    pieces by their bytes, and the distinct pieces of a chunk are encoded together by a faster
+    library, if merging by rank is proved to give the same. Other texts are cut at single spaces,
+    and so are their parts if these have such signs only; the others' distinct parts are encoded by
+    the tokenizers library, with a bounded memo.
     Where words don't stand alone, whole texts are encoded.
     """
 
@@ -291,14 +346,15 @@ class WordIds:
         if ranks := ranks_with_ends(path):
             import tiktoken
 
-            self.lengths = np.zeros(max(ranks.values()) + 2, "i8")
-            for token, i in ranks.items():
-                self.lengths[i] = len(token.removesuffix(_END))
-            ranks[_END] = len(self.lengths) - 1  # never left over: every sign before an end merges with it first
-            self.pieces = regex.compile(_WORDS)
+            self.final = np.zeros(max(ranks.values()) + 2, bool)  # ids that end a piece
+            self.final[[i for token, i in ranks.items() if token.endswith(_END)]] = True
+            ranks[_END] = len(self.final) - 1  # never left over: every sign before an end merges with it first
             self.fast = tiktoken.Encoding("words", pat_str="[^\x01]+\x01", mergeable_ranks=ranks, special_tokens={})
 
-    def _by_library(self, parts: list[str]) -> list[bytes]:
+    def _by_library(self, units: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units in a row, and how many each has."""
+        alike = units.dictionary_encode()
+        parts = alike.dictionary.to_pylist()
         out: list[bytes | None] = list(map(self.memo.get, parts))
         new = [i for i, c in enumerate(out) if c is None]
         for at in range(0, len(new), 2048):
@@ -309,52 +365,58 @@ class WordIds:
                     if len(self.memo) >= MEMO_ENTRIES:
                         self.memo.clear()
                     self.memo[parts[i]] = out[i]
-        return out
-
-    def _codes(self, parts: pa.LargeStringArray) -> pa.LargeBinaryArray:
-        """The ids of each part, as bytes."""
-        data, places = _buffers(parts)
-        plain = np.zeros(len(parts), bool)
-        if self.fast:
-            odd = np.r_[0, np.cumsum((data < 0x20) | (data == 0x7F) | (data == 0xC2) | (data > _LAST))]
-            plain = odd[places[1:]] == odd[places[:-1]]
-            for token in [*self.added, _DOTTED]:
-                plain &= ~pc.match_substring(parts, token).to_numpy(zero_copy_only=False)
-        ids, counts = np.zeros(0, "<u4"), np.zeros(0, "i8")
-        if plain.any():
-            some = parts.filter(pa.array(plain))
-            raw, bounds = _buffers(some)
-            solid = np.r_[0, np.cumsum(raw != 0x20)][bounds[1:]]  # signs up to the end of each part
-            lines, _ = _buffers(pc.binary_join_element_wise(some, *[pa.scalar(v, pa.large_string()) for v in ("", "\n")]))
-            pieces = self.pieces.findall(lines.tobytes().decode().lower())
-            ids = self.fast.encode_to_numpy("\x01".join([*pieces, ""])) if pieces else ids
-            ends = np.r_[0, np.cumsum(self.lengths[ids])]
-            upto = np.searchsorted(ends, solid, "right") - 1
-            if not (ends[upto] == solid).all():
-                raise ValueError("a token reaches over the end of a part")
-            counts = np.diff(upto, prepend=0)
-        slow = self._by_library(parts.filter(pa.array(~plain)).to_pylist())
-        whole = np.ascontiguousarray(ids, "<u4").tobytes() + b"".join(slow)
-        sizes = np.r_[counts * 4, np.array([len(c) for c in slow], "i8")].astype("i8")
-        codes = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(parts), [None, pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype("i8")), pa.py_buffer(whole)])
-        order = np.empty(len(parts), "i8")
-        order[plain], order[~plain] = np.arange(plain.sum()), np.arange(plain.sum(), len(parts))
-        return codes.take(pa.array(order))
+        return _spread(np.frombuffer(b"".join(out), "<u4"), np.array([len(c) // 4 for c in out], "i8"), alike.indices.to_numpy())
+
+    def _by_rank(self, units: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for units that are plain."""
+        pieces, first = pieces_of(pc.utf8_lower(units))
+        if not len(pieces):
+            return np.zeros(0, "<u4"), np.zeros(len(units), "i8")
+        alike = pieces.dictionary_encode()
+        lines, _ = _buffers(pc.binary_join_element_wise(alike.dictionary, *[pa.scalar(v, pa.large_string()) for v in ("", _END.decode())]))
+        ids = self.fast.encode_to_numpy(lines.tobytes().decode())
+        ends = np.flatnonzero(self.final[ids]) + 1
+        if len(ends) != len(alike.dictionary) or ends[-1] != len(ids):
+            raise ValueError("a token reaches over the end of a piece")
+        ids, many = _spread(ids, np.diff(ends, prepend=0), alike.indices.to_numpy())
+        return ids, np.diff(np.r_[0, np.cumsum(many)][first])
+
+    def _plain(self, units: pa.LargeStringArray) -> np.ndarray:
+        """Which units can be merged by rank."""
+        if not self.fast:
+            return np.zeros(len(units), bool)
+        data, places = _buffers(units)
+        plain = np.ones(len(units), bool)
+        plain[np.searchsorted(places, np.flatnonzero(_IS_ODD[data]), "right") - 1] = False
+        raw = data.tobytes()
+        for token in [*self.added, _DOTTED]:
+            if token.encode() in raw:
+                plain &= ~pc.match_substring(units, token).to_numpy(zero_copy_only=False)
+        return plain
+
+    def _apart(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, which are cut to parts, and how many each has."""
+        parts, first = parts_of(texts)
+        ids, counts = self._by_kind(parts, self._by_library)
+        return ids, np.diff(np.r_[0, np.cumsum(counts)][first])
+
+    def _by_kind(self, units: pa.LargeStringArray, other: Callable) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units in a row, by ``other`` of those that aren't plain, and how many each has."""
+        plain = self._plain(units)
+        if plain.all():
+            return self._by_rank(units)
+        (some, has), (rest, have) = self._by_rank(units.filter(pa.array(plain))), other(units.filter(pa.array(~plain)))
+        counts = np.empty(len(units), "i8")
+        counts[plain], counts[~plain] = has, have
+        own = np.repeat(plain, counts)
+        ids = np.empty(len(own), "<u4")
+        ids[own], ids[~own] = some, rest
+        return ids, counts
 
     def __call__(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin (and the end)."""
-        if self.apart:
-            parts, first = parts_of(texts)
-        else:
-            parts, first = texts, np.arange(len(texts) + 1)
-        if not len(parts):
-            return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, "i8")
-        alike = parts.dictionary_encode()
-        codes = self._codes(alike.dictionary).take(alike.indices)
-        _, places, data = codes.buffers()
-        places = np.frombuffer(places, "i8")[: len(codes) + 1]
-        ids = np.frombuffer(data, "<u4")[: places[-1] // 4] if data is not None else np.zeros(0, "<u4")
-        return ids, places[first] // 4
+        ids, counts = self._by_kind(texts, self._apart if self.apart else self._by_library)
+        return ids, np.r_[0, np.cumsum(counts)]
 
 
 _TOOLS: dict[str, WordIds] = {}

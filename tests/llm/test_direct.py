@@ -144,3 +144,51 @@ def test_null_and_repeated_keys(spark):
     assert [r["doc_id"] for r in got] == [None, None, 4, 4, 4, 9] and got[0]["start"] == 0
     assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
     assert direct.tokens_report(spark.createDataFrame([], "doc_id long, text string"), WORDS).collect() == []
+
+
+class Counted:
+    """Stands for a tool and keeps what it is asked."""
+
+    def __init__(self, tool):
+        self.tool, self.asked = tool, []
+
+    def encode_to_numpy(self, text):
+        self.asked += text.split("\x01")[:-1]
+        return self.tool.encode_to_numpy(text)
+
+    def encode_batch_fast(self, texts, **options):
+        self.asked += texts
+        return self.tool.encode_batch_fast(texts, **options)
+
+
+def test_each_distinct_piece_is_encoded_once():
+    tool = direct.WordIds(WORDS)
+    texts = ["Word, word. (word)\nWORD! Word's  don't\r\n\tword\x0bÉté été,", "it's word 11 21", "中 word's"] * 50
+    want = [e.ids for e in tool.tool.encode_batch(texts, add_special_tokens=False)]
+    fast, slow = tool.fast, tool.tool = Counted(tool.fast), Counted(tool.tool)
+    for part in (texts[:2] * 50, texts):
+        fast.asked, slow.asked = [], []
+        ids, bounds = tool(pa.array(part, pa.large_string()))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == (want[:2] * 50 if part is not texts else want)
+        assert slow.asked == ([] if part is not texts else ["中"])
+        # texts with other signs are encoded apart, so a piece comes twice at most
+        assert max(map(fast.asked.count, fast.asked)) <= (1 if part is not texts else 2)
+    assert {"word", "été", "'s", "'t", "1", ".", ")"} <= set(fast.asked)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from("  ''\n\t.,1stmdrevlSTMDREVL×÷éÉ"), st.characters(max_codepoint=0x17F)), max_size=30), max_size=8))
+def test_ids_of_latin_texts(texts):
+    tool = _fuzzed()
+    ids, bounds = tool(pa.array(texts, pa.large_string()))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [e.ids for e in tool.tool.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("width", [1, 3, 8, 11, 16, 31, 32])
+def test_bits_lie_one_behind_the_other(width):
+    values = np.random.default_rng(width).integers(0, 2**32, 1003).astype("u4")
+    raw = direct.pack_bits(values, width)
+    whole = sum((int(v) & (1 << width) - 1) << width * i for i, v in enumerate(values))
+    assert raw == whole.to_bytes((len(values) * width + 7) // 8, "little")
+    for at in (0, 1, 5, 8, 1002):
+        assert direct.unpack_bits(raw[at * width // 8 :], at * width % 8, len(values) - at, width).tolist() == [int(v) & (1 << width) - 1 for v in values[at:]]
